@@ -103,12 +103,12 @@ def _seed(vectors: DataFrame, centres: dict[str, np.ndarray], salt: int, per_spa
 
     drawn = vectors.mapInArrow(draw, "space string, key double, vec binary")
     w = W.partitionBy("space").orderBy("key", "vec")
-    got = drawn.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_space).select("space", "vec").collect()
+    got = drawn.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_space).select("space", "_n", "vec").collect()
     shared.unpersist()
     out: dict[str, list[bytes]] = {}
-    for space, vec in got:
+    for space, _, vec in sorted(got):
         out.setdefault(space, []).append(bytes(vec))
-    return {s: unit(np.frombuffer(b"".join(sorted(v)), np.float32).reshape(len(v), -1)) for s, v in out.items()}
+    return {s: unit(np.frombuffer(b"".join(v), np.float32).reshape(len(v), -1)) for s, v in out.items()}
 
 
 def _sums(vectors: DataFrame, centres: dict[str, np.ndarray], least: float) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quarryset.llm import p1_clusters
+from quarryset.llm import p1_clusters, p2_neighbours
 
 QUERIES = {
     "p1_found": p1_clusters.p1_found,
     "p1_groups": p1_clusters.p1_groups,
+    "p2_found": p2_neighbours.p2_found,
+    "p2_neighbours": p2_neighbours.p2_neighbours,
 }
 SQL: dict[str, str] = {}
