@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quarryset.llm import p1_clusters, p2_neighbours
+from quarryset.llm import p1_clusters, p2_neighbours, p3_percentiles
 
 QUERIES = {
     "p1_found": p1_clusters.p1_found,
     "p1_groups": p1_clusters.p1_groups,
     "p2_found": p2_neighbours.p2_found,
     "p2_neighbours": p2_neighbours.p2_neighbours,
+    "p3_percentiles": p3_percentiles.p3_percentiles,
+    "p3_spans": p3_percentiles.p3_spans,
+}
+SQL: dict[str, str] = {
+    "p3_percentiles": p3_percentiles.P3_SQL,
 }
-SQL: dict[str, str] = {}
