@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryset.llm import p1_clusters, p2_neighbours, p3_percentiles
+from quarryset.llm import p1_clusters, p2_neighbours, p3_percentiles, p5_history, p6_tokens
 
 QUERIES = {
     "p1_found": p1_clusters.p1_found,
@@ -11,6 +11,10 @@ QUERIES = {
     "p2_neighbours": p2_neighbours.p2_neighbours,
     "p3_percentiles": p3_percentiles.p3_percentiles,
     "p3_spans": p3_percentiles.p3_spans,
+    "p5_found": p5_history.p5_found,
+    "p5_batches": p5_history.p5_batches,
+    "p6_ids": p6_tokens.p6_ids,
+    "p6_roundtrip": p6_tokens.p6_roundtrip,
 }
 SQL: dict[str, str] = {
     "p3_percentiles": p3_percentiles.P3_SQL,
