@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryset.llm import p1_clusters, p2_neighbours, p3_percentiles, p5_history, p6_tokens
+from quarryset.llm import p1_clusters, p2_neighbours, p3_percentiles, p5_history, p6_tokens, p7_leaks, p8_truncated
 
 QUERIES = {
     "p1_found": p1_clusters.p1_found,
@@ -15,6 +15,11 @@ QUERIES = {
     "p5_batches": p5_history.p5_batches,
     "p6_ids": p6_tokens.p6_ids,
     "p6_roundtrip": p6_tokens.p6_roundtrip,
+    "p7_found": p7_leaks.p7_found,
+    "p7_regions": p7_leaks.p7_regions,
+    "p7_items": p7_leaks.p7_items,
+    "p8_found": p8_truncated.p8_found,
+    "p8_sources": p8_truncated.p8_sources,
 }
 SQL: dict[str, str] = {
     "p3_percentiles": p3_percentiles.P3_SQL,
