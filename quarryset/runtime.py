@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
@@ -73,6 +74,10 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables, and lets Spark delete shuffle files of steps that are over: it does so
+        when the JVM collects what referred to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         for t in tables:
             path = getattr(t, "_scratch_path", None)
             if path:
