@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarryset.llm.vectors import from_binary, point_vectors, spaces, to_binary, unit, unit64, usable
+from quarryset.llm.vectors import from_binary, point_vectors, spaces, to_binary, unit, unit64, unpack, unpack_list, usable
 from quarryset.runtime import Scratch
 
 ROUNDS, OVERSAMPLE, BLOCK, CELL = 3, 384, 16384, 2000
@@ -79,9 +79,9 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _each(batches: Iterator[pa.RecordBatch]):
     for b in batches:
         for space, rows in spaces(b.column("space")):
-            take = pa.array(rows)
-            raw = from_binary(b.column("vec").take(take))
-            yield space, b.column("id").take(take).to_numpy(zero_copy_only=False), raw, unit(raw)
+            part = b.take(pa.array(rows))
+            raw = unpack(part.column("vec"))
+            yield space, part, raw, unit(raw)
 
 
 def _seed(vectors: DataFrame, centres: dict[str, np.ndarray], salt: int, per_space: int) -> dict[str, np.ndarray]:
@@ -89,7 +89,8 @@ def _seed(vectors: DataFrame, centres: dict[str, np.ndarray], salt: int, per_spa
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def draw(batches):
-        for space, ids, raw, x in _each(batches):
+        for space, part, _, x in _each(batches):
+            ids = part.column("id").to_numpy(zero_copy_only=False)
             top, _ = nearest(x, shared.value.get(space, np.zeros((0, x.shape[1]), np.float32)))
             cost = np.where(top < NEAR, 1 - np.maximum(top, -1), 0)
             rows = np.flatnonzero(cost > 0)
@@ -99,7 +100,7 @@ def _seed(vectors: DataFrame, centres: dict[str, np.ndarray], salt: int, per_spa
             if len(rows) > per_space:
                 pick = np.argpartition(key, per_space)[:per_space]
                 rows, key = rows[pick], key[pick]
-            yield pa.RecordBatch.from_arrays([pa.array([space] * len(rows)), pa.array(key), to_binary(raw[rows])], names=["space", "key", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array([space] * len(rows), pa.string()), pa.array(key), part.column("vec").take(pa.array(rows))], names=["space", "key", "vec"])
 
     drawn = vectors.mapInArrow(draw, "space string, key double, vec binary")
     w = W.partitionBy("space").orderBy("key", "vec")
@@ -108,7 +109,7 @@ def _seed(vectors: DataFrame, centres: dict[str, np.ndarray], salt: int, per_spa
     out: dict[str, list[bytes]] = {}
     for space, _, vec in sorted(got):
         out.setdefault(space, []).append(bytes(vec))
-    return {s: unit(np.frombuffer(b"".join(v), np.float32).reshape(len(v), -1)) for s, v in out.items()}
+    return {s: unit(unpack_list(v)) for s, v in out.items()}
 
 
 def _sums(vectors: DataFrame, centres: dict[str, np.ndarray], least: float) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -201,11 +202,11 @@ def _rest(vectors: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def left(batches):
-        for space, ids, raw, x in _each(batches):
+        for space, part, _, x in _each(batches):
             top, _ = nearest(x, shared.value.get(space, x[:0]))
             rows = np.flatnonzero(top < OUTSIDE)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([space] * len(rows)), pa.array(ids[rows]), to_binary(raw[rows])], names=["space", "id", "vec"])
+                yield part.take(pa.array(rows)).select(["space", "id", "vec"])
 
     return vectors.mapInArrow(left, "space string, id bigint, vec binary")
 
@@ -248,15 +249,15 @@ def _cell_spots(rest: DataFrame, counts: dict[str, int]) -> DataFrame:
     shared = rest.sparkSession.sparkContext.broadcast(seeds)
 
     def spread(batches):
-        for space, ids, raw, x in _each(batches):
+        for space, part, _, x in _each(batches):
             c = shared.value[space]
             m = min(3, len(c))
             cells = np.argpartition(-(x @ c.T), m - 1, axis=1)[:, :m] if len(c) > m else np.tile(np.arange(m), (len(x), 1))
             rows = np.repeat(np.arange(len(x)), m)
-            yield pa.RecordBatch.from_arrays([pa.array([space] * len(rows)), pa.array(cells.ravel().astype(np.int32)), to_binary(raw[rows])], names=["space", "cell", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array([space] * len(rows), pa.string()), pa.array(cells.ravel().astype(np.int32)), part.column("vec").take(pa.array(rows))], names=["space", "cell", "vec"])
 
     def find(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        spots = _spots(unit(from_binary(table.column("vec"))))
+        spots = _spots(unit(unpack(table.column("vec"))))
         return pa.table({"space": pa.array([key[0].as_py()] * len(spots), pa.string()), "cell": pa.array([key[1].as_py()] * len(spots), pa.int32()), "vec": to_binary(spots)})
 
     return rest.mapInArrow(spread, "space string, cell int, vec binary").groupBy("space", "cell").applyInArrow(find, "space string, cell int, vec binary")
@@ -267,7 +268,7 @@ def _assign(vectors: DataFrame, centres: list[tuple[str, np.ndarray, int]]) -> D
     shared = vectors.sparkSession.sparkContext.broadcast({s: (c.astype(np.float32), c, base) for s, c, base in centres})
 
     def take(batches):
-        for space, ids, raw, x in _each(batches):
+        for space, part, raw, x in _each(batches):
             c32, c64, base = shared.value.get(space, (x[:0], x[:0], 0))
             top, at = nearest(x, c32)
             rows = np.flatnonzero(top >= OUTSIDE - 1e-4)
@@ -276,7 +277,7 @@ def _assign(vectors: DataFrame, centres: list[tuple[str, np.ndarray, int]]) -> D
             cos = np.einsum("ij,ij->i", unit64(raw[rows]), c64[at[rows]])
             ok = cos >= OUTSIDE
             rows, cos = rows[ok], cos[ok]
-            yield pa.RecordBatch.from_arrays([pa.array([space] * len(rows)), pa.array(ids[rows]), pa.array(at[rows] + base), pa.array(cos)], names=["space", "id", "centre", "cosine"])
+            yield pa.RecordBatch.from_arrays([pa.array([space] * len(rows), pa.string()), part.column("id").take(pa.array(rows)), pa.array(at[rows] + base), pa.array(cos)], names=["space", "id", "centre", "cosine"])
 
     return vectors.mapInArrow(take, "space string, id bigint, centre bigint, cosine double")
 

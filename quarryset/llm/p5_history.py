@@ -1,17 +1,18 @@
 """Deduplicating new batches against all history with a pivot-distance table.
 
 The history is stored as (space, pivot, theta, ord, vec): each vector under its nearest of a few
-fixed pivots, with its angle to it, range-partitioned by (space, pivot, theta). Angles between
-unit vectors are a metric, so a vector within `radius` of a query
+fixed pivots, with its angle to it. Batches are appended as they come; `compact` range-partitions
+the table by (space, pivot, theta), so that file statistics let a batch skip what it cannot match.
+Angles between unit vectors are a metric, so a vector within `radius` of a query
 
 * lies within `radius` of the query's own angle to that pivot (ring bound), and
 * cannot belong to a pivot whose half-space lies farther than the radius from the query
   (hyperplane bound, from the distances to the query's nearest pivots).
 
-A batch therefore reads only the buckets (pivot, ring) that those bounds leave. Buckets with many
-rows are split by salt and the few queries sent to each part. What is left is compared by matrix
-products and verified by the true cosine in double precision. New rows are appended to the table;
-nothing of the history is rewritten.
+A batch therefore meets only the buckets that those bounds leave: ranges of neighbouring rings of
+a pivot that hold up to `BUCKET` rows together. A ring with more rows is split by salt and its
+queries go to each part. What is left is compared by matrix products and verified by the true
+cosine in double precision. New rows are appended to the table; the history isn't rewritten.
 
 Equal vectors of a batch are one query, so that copies cost nothing.
 """
@@ -23,15 +24,16 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryset.llm.p1_clusters import nearest
 from quarryset.llm.p2_neighbours import _sample
-from quarryset.llm.vectors import from_binary, point_vectors, spaces, to_binary, unit, unit64
+from quarryset.llm.vectors import point_vectors, spaces, unit, unit64, unpack
 from quarryset.runtime import Scratch
 
 #: Least cosine of a repeat; most pivots and sampled rows of a space; rows to a pivot; bucket size.
-LEAST, PIVOTS, SAMPLE, PER_PIVOT, BUCKET = 0.99, 256, 4096, 2000, 4000
+LEAST, PIVOTS, SAMPLE, PER_PIVOT, BUCKET = 0.99, 256, 2048, 4000, 8000
 TABLE = "space string, pivot int, theta double, ring int, ord bigint, vec binary"
 
 
@@ -68,7 +70,7 @@ class PivotHistory:
     def begin(cls, vectors: DataFrame, scratch: Scratch, least: float = LEAST) -> PivotHistory:
         """Chooses pivots from a bounded sample of (space, id, vec); stores nothing yet."""
         counts = {r.space: r["count"] for r in vectors.groupBy("space").count().collect()}
-        samples = _sample(vectors, {s: min(SAMPLE, n) for s, n in counts.items()}, 21) if counts else {}
+        samples = _sample(vectors, {s: min(SAMPLE, n) for s, n in counts.items()}, counts, 21) if counts else {}
         return cls(scratch, {s: choose(x, min(PIVOTS, max(2, math.ceil(counts[s] / PER_PIVOT)))) for s, x in samples.items()}, least)
 
     def _rows(self, vectors: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ class PivotHistory:
             for b in batches:
                 for space, rows in spaces(b.column("space")):
                     part = b.take(pa.array(rows))
-                    x = unit(from_binary(part.column("vec")))
+                    x = unit(unpack(part.column("vec")))
                     cos, at = nearest(x, pivots.value[space]) if space in pivots.value else (np.zeros(len(x)), np.zeros(len(x), np.int64))
                     theta = np.arccos(np.clip(cos.astype(np.float64), -1, 1))
                     yield pa.RecordBatch.from_arrays([part.column("space"), pa.array(at.astype(np.int32)), pa.array(theta), pa.array(np.floor(theta / radius).astype(np.int32)), part.column("id"), part.column("vec")], names=["space", "pivot", "theta", "ring", "ord", "vec"])
@@ -87,8 +89,13 @@ class PivotHistory:
 
     def append(self, vectors: DataFrame) -> None:
         """Stores (space, id as order, vec). Spaces without pivots are kept under pivot 0."""
-        rows = self._rows(vectors)
-        self.parts.append(self.scratch.write(rows.repartitionByRange("space", "pivot", "theta").sortWithinPartitions("space", "pivot", "theta"), "history"))
+        self.parts.append(self.scratch.write(self._rows(vectors), "history"))
+
+    def compact(self) -> None:
+        """One table in the order of (space, pivot, theta) instead of a part for each batch."""
+        old = self.parts
+        self.parts = [self.scratch.write(self.history().repartitionByRange("space", "pivot", "theta").sortWithinPartitions("space", "pivot", "theta"), "history")]
+        self.scratch.drop(*old)
 
     def history(self) -> DataFrame:
         out = self.parts[0]
@@ -97,7 +104,7 @@ class PivotHistory:
         return out
 
     def visits(self, batch: DataFrame) -> DataFrame:
-        """(space, pivot, ring, theta, qid, vec): buckets that may hold a match of each query."""
+        """(space, pivot, lo, hi, theta, qid, vec): pivots and rings that may hold a match."""
         pivots, radius = batch.sparkSession.sparkContext.broadcast(self.pivots), self.radius
         chord = 2 * math.sin(radius / 2)
 
@@ -105,8 +112,8 @@ class PivotHistory:
             for b in batches:
                 for space, rows in spaces(b.column("space")):
                     part = b.take(pa.array(rows))
-                    raw, ids = from_binary(part.column("vec")), part.column("id").to_numpy(zero_copy_only=False)
-                    x, p = unit(raw), pivots.value.get(space)
+                    ids = part.column("id").to_numpy(zero_copy_only=False)
+                    x, p = unit(unpack(part.column("vec"))), pivots.value.get(space)
                     if p is None:
                         theta, q, r = np.full((len(x), 1), math.pi / 2), np.arange(len(x)), np.zeros(len(x), np.int64)
                     else:
@@ -120,17 +127,12 @@ class PivotHistory:
                         theta = np.arccos(np.clip(sims.astype(np.float64), -1, 1))
                         q, r = np.nonzero(ok)
                     t = theta[q, r]
-                    lo, hi = np.floor((t - radius) / radius - 1e-4).astype(int), np.floor((t + radius) / radius + 1e-4).astype(int)
-                    n = hi - lo + 1
-                    at = np.repeat(np.arange(len(q)), n)
-                    ring = lo[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                    keep = ring >= 0
-                    at, ring = at[keep], ring[keep]
-                    for s in range(0, len(at), 20_000):
-                        a = at[s : s + 20_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([space] * len(a)), pa.array(r[a].astype(np.int32)), pa.array(ring[s : s + 20_000].astype(np.int32)), pa.array(t[a]), pa.array(ids[q[a]]), to_binary(raw[q[a]])], names=["space", "pivot", "ring", "theta", "qid", "vec"])
-
-        return batch.mapInArrow(route, "space string, pivot int, ring int, theta double, qid bigint, vec binary")
+                    lo, hi = np.floor((t - radius) / radius - 1e-4).astype(np.int32), np.floor((t + radius) / radius + 1e-4).astype(np.int32)
+                    for s in range(0, len(q), 20_000):
+                        e = slice(s, s + 20_000)
+                        yield pa.RecordBatch.from_arrays([pa.array([space] * len(q[e]), pa.string()), pa.array(r[e].astype(np.int32)), pa.array(lo[e]), pa.array(hi[e]), pa.array(t[e]), pa.array(ids[q[e]]), part.column("vec").take(pa.array(q[e]))], names=["space", "pivot", "lo", "hi", "theta", "qid", "vec"])
+
+        return batch.mapInArrow(route, "space string, pivot int, lo int, hi int, theta double, qid bigint, vec binary")
 
     def repeats(self, batch: DataFrame) -> DataFrame:
         """Ids of (space, id, vec) with a vector of smaller order in the history, or in the batch
@@ -141,12 +143,16 @@ class PivotHistory:
         own = self._rows(queries)
         stored = own if not self.parts else self.history().unionByName(own)
         visits = self.visits(queries)
-        bucket = ["space", "pivot", "ring"]
-        # the batch may touch few buckets: the others' rows aren't moved
-        sizes = stored.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("_salts"))
-        salted = stored.join(sizes.filter("_salts > 1"), bucket, "left").withColumn("salt", F.when(F.col("_salts") > 1, F.pmod(F.xxhash64("ord", "vec"), F.col("_salts"))).otherwise(0).cast("int"))
-        hist = salted.select(*bucket, "salt", "theta", "ord", "vec", F.lit(False).alias("query"))
-        asked = visits.join(sizes, bucket).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select(*bucket, "salt", "theta", F.col("qid").alias("ord"), "vec", F.lit(True).alias("query"))
+        # rings of a pivot, in order, packed into slots of up to BUCKET rows: one small row a pivot
+        before = F.sum("_rows").over(W.partitionBy("space", "pivot").orderBy("ring")) - F.col("_rows")
+        rings = stored.groupBy("space", "pivot", "ring").agg(F.count(F.lit(1)).alias("_rows")).select("space", "pivot", "ring", F.floor(before / BUCKET).cast("int").alias("slot"), F.ceil(F.col("_rows") / BUCKET).cast("int").alias("salts"))
+        rings = self.scratch.write(rings, "rings")
+        bucket = ["space", "pivot", "slot", "salt"]
+        salted = stored.join(rings, ["space", "pivot", "ring"]).withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("ord", "vec"), F.col("salts"))).otherwise(0).cast("int"))
+        hist = salted.select(*bucket, "theta", "ord", "vec", F.lit(False).alias("query"))
+        slots = rings.groupBy("space", "pivot").agg(F.collect_list(F.struct("ring", "slot", "salts")).alias("_r"))
+        met = F.expr("array_distinct(flatten(transform(filter(_r, x -> x.ring between lo and hi), x -> transform(sequence(0, x.salts - 1), s -> struct(x.slot as slot, s as salt)))))")
+        asked = visits.join(slots, ["space", "pivot"]).withColumn("_m", F.explode(met)).select("space", "pivot", "_m.slot", "_m.salt", "theta", F.col("qid").alias("ord"), "vec", F.lit(True).alias("query"))
         least, radius = self.least, self.radius
 
         def match(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -155,7 +161,7 @@ class PivotHistory:
             q, h = np.flatnonzero(is_q), np.flatnonzero(~is_q)
             hit: list[np.ndarray] = []
             if len(q) and len(h):
-                raw = from_binary(t.column("vec"))
+                raw = unpack(t.column("vec"))
                 q, h = q[np.argsort(theta[q], kind="stable")], h[np.argsort(theta[h], kind="stable")]
                 xh, th = unit(raw[h]), theta[h]
                 for s in range(0, len(q), 256):
@@ -170,7 +176,7 @@ class PivotHistory:
                         hit.append(np.unique(order[a[cos >= least]]))
             return pa.table({"id": np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)})
 
-        found = hist.unionByName(asked).groupBy(*bucket, "salt").applyInArrow(match, "id bigint")
+        found = hist.unionByName(asked).groupBy(*bucket).applyInArrow(match, "id bigint")
         return found.unionByName(copies).distinct()
 
 
@@ -183,13 +189,10 @@ def vectors_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """All batches at once: the order within and between them is that of `seq`."""
-    scratch = Scratch(spark, "p5")
     points, upserts = vectors_of(spark, sf)
-    points = scratch.write(points, "points")
-    history = PivotHistory.begin(points, scratch)
+    history = PivotHistory.begin(points, Scratch(spark, "p5"))
     history.append(points)
-    scratch.drop(points)
-    return history.repeats(scratch.write(upserts, "upserts")).select(F.col("id").alias("seq"))
+    return history.repeats(upserts).select(F.col("id").alias("seq"))
 
 
 def p5_batches(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,7 +30,73 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(rows):
                 continue
             take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([space.take(take), ids.take(take), to_binary(x)], names=["space", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([space.take(take), ids.take(take), pack(x)], names=["space", "id", "vec"])
+
+
+#: Powers of ten tried by `pack`, and the tag of vectors that are stored as they are.
+_EXPONENTS, _PLAIN = (2, 3, 4, 5), 255
+
+
+def pack(x: np.ndarray) -> pa.Array:
+    """Vectors of float32 as binary values, without loss.
+
+    Coordinates that were written with few decimals are stored as 16-bit integers and a power of
+    ten (adaptive lossless floating point coding, one choice for each vector); a vector for which
+    that isn't exact is stored as it is. Equal vectors have equal codes.
+    """
+    n, d = x.shape
+    tag, left = np.full(n, _PLAIN, np.uint8), np.arange(n)
+    code = np.zeros((n, d), np.int16)
+    for e in _EXPONENTS:
+        v = x[left].astype(np.float64)
+        r = np.rint(v * 10**e)
+        ok = ((np.abs(r) <= 32767) & ((r / 10**e).astype(np.float32) == x[left])).all(1)
+        code[left[ok]], tag[left[ok]] = r[ok], e
+        left = left[~ok]
+        if not len(left):
+            break
+    short = tag != _PLAIN
+    offsets = np.concatenate([[0], np.cumsum(np.where(short, 1 + 2 * d, 1 + 4 * d))])
+    if short.all():
+        flat = np.concatenate([tag[:, None], code.view(np.uint8).reshape(n, -1)], 1).ravel()
+    else:
+        flat = np.zeros(offsets[-1], np.uint8)
+        flat[offsets[:-1]] = tag
+        for rows, raw in ((np.flatnonzero(short), code), (np.flatnonzero(~short), x)):
+            if len(rows):
+                b = np.ascontiguousarray(raw[rows]).view(np.uint8).reshape(len(rows), -1)
+                flat[(offsets[rows] + 1)[:, None] + np.arange(b.shape[1])] = b
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def unpack(arr: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The matrix behind `pack`ed vectors of one length."""
+    if isinstance(arr, pa.ChunkedArray):
+        chunks = [unpack(c) for c in arr.chunks if len(c)]
+        return np.concatenate(chunks) if chunks else np.zeros((0, 0), np.float32)
+    n = len(arr)
+    if not n:
+        return np.zeros((0, 0), np.float32)
+    off = np.frombuffer(arr.buffers()[1], np.int64 if pa.types.is_large_binary(arr.type) else np.int32)[arr.offset : arr.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(arr.buffers()[2], np.uint8)
+    tag, width = data[off[:-1]], np.diff(off)
+    out = None
+    for t in np.unique(tag):
+        rows = np.flatnonzero(tag == t)
+        w = int(width[rows[0]])
+        b = data[off[0] : off[-1]].reshape(n, w)[:, 1:] if len(rows) == n else data[(off[rows] + 1)[:, None] + np.arange(w - 1)]
+        b = np.ascontiguousarray(b)
+        x = b.view(np.float32) if t == _PLAIN else (b.view(np.int16) / float(10 ** int(t))).astype(np.float32)
+        if len(rows) == n:
+            return x
+        if out is None:
+            out = np.zeros((n, x.shape[1]), np.float32)
+        out[rows] = x
+    return out
+
+
+def unpack_list(values: list[bytes]) -> np.ndarray:
+    return unpack(pa.array([bytes(v) for v in values], pa.binary()))
 
 
 def to_binary(x: np.ndarray) -> pa.Array:
@@ -94,7 +160,7 @@ def point_vectors(points: DataFrame, collections: DataFrame, id_col: str = "uid"
 
 
 def top_k(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column indices of at least the k largest entries of each row (more on ties).
+    """Row and column indices of at least the k largest entries of each row (few more, or ties).
 
     The k-th largest of chunk maxima bounds the k-th largest entry from below, so that one
     comparison leaves a few survivors a row and no full selection is needed.
@@ -102,21 +168,29 @@ def top_k(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n, m = sims.shape
     if m <= 4 * k:
         return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
-    width = max(1, m // (4 * k))
+    width = max(1, m // (12 * k))
     full = m // width * width
-    peak = sims[:, :full].reshape(n, -1, width).max(2)
+    peak = sims[:, :full].reshape(n, -1, width).max(2) if width > 1 else sims
     bound = -np.partition(-peak, k - 1, axis=1)[:, k - 1]
-    return np.nonzero(sims >= bound[:, None])
+    return np.divmod(np.flatnonzero(sims >= bound[:, None]), m)
 
 
 def best(rows: np.ndarray, cols: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (score down, id up) of each row: their row, place in the input, and rank."""
-    order = np.lexsort((ids, -score, rows))
-    r = rows[order]
-    first = np.searchsorted(r, np.arange(n))
-    rank = np.arange(len(r)) - first[r]
-    keep = rank < k
-    return r[keep], order[keep], rank[keep]
+    """The k best (score down, id up) of each row, from candidates ordered by row.
+
+    Returns row, column and score, ordered by row and rank. Scores are multiples of 1e-6 from -1 to 1.
+    """
+    size = np.bincount(rows, minlength=n)
+    width = int(size.max(initial=0))
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+    last = np.iinfo(np.int64)
+    key, who, col = np.full((n, width), 3_000_000, np.int32), np.full((n, width), last.max), np.zeros((n, width), np.int64)
+    key[rows, place], who[rows, place], col[rows, place] = np.rint((1 - score) * 1e6), ids, cols
+    order = np.argsort(who, axis=1, kind="stable")
+    order = np.take_along_axis(order, np.argsort(np.take_along_axis(key, order, 1), axis=1, kind="stable"), 1)[:, :k]
+    key, col = np.take_along_axis(key, order, 1), np.take_along_axis(col, order, 1)
+    r, c = np.nonzero(key < 3_000_000)
+    return r, col[r, c], np.round(1 - key[r, c] / 1e6, 6)
 
 
 def lists(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
