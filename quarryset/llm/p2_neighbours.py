@@ -22,105 +22,137 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryset.llm.p1_clusters import _chance, nearest
-from quarryset.llm.vectors import best, from_binary, lists, point_vectors, spaces, to_binary, top_k, unit, unit64
+from quarryset.llm.vectors import best, lists, point_vectors, spaces, top_k, unit, unit64, unpack, unpack_list
 from quarryset.runtime import Scratch, parts
 
-#: Entries kept for each node; records aimed at for each cell; most cells of one space; rounds.
-KEEP, CELL, MOST_CELLS, ROUNDS, ENOUGH = 10, 2500, 1024, 4, 0.01
-LISTS = "space string, id bigint, home int, nbrs array<bigint>, cos array<double>, homes array<int>"
+#: Entries kept for each node; records aimed at for each cell, and for each of the seeds it is made
+#: of; most seeds of one space; rounds, and the share of new entries that ends them.
+KEEP, CELL, FINE, MOST_SEEDS, ROUNDS, ENOUGH = 10, 2500, 250, 1024, 4, 0.02
+#: score: cosine in millionths.
+LISTS = "space string, id bigint, home int, nbrs array<bigint>, scores array<int>, homes array<int>"
+GRAPH = LISTS + ", fresh array<boolean>"
 
 
-def _sample(nodes: DataFrame, want: dict[str, int], salt: int) -> dict[str, np.ndarray]:
-    """Uniform sample of nodes of each space; its size is bounded by `MOST_CELLS` a space."""
+def _sample(nodes: DataFrame, want: dict[str, int], counts: dict[str, int], salt: int) -> dict[str, np.ndarray]:
+    """Uniform sample of `want` vectors of each space, which has `counts` of them."""
     most = max(want.values())
+    bound = {s: (2 * n + 50) / counts[s] for s, n in want.items()}  # all but surely holds enough
 
     def draw(batches):
         for b in batches:
             for space, rows in spaces(b.column("space")):
-                key = _chance(b.column("id").to_numpy(zero_copy_only=False)[rows], salt)
-                pick = np.argsort(key)[: want[space]]
-                yield pa.RecordBatch.from_arrays([pa.array([space] * len(pick)), pa.array(key[pick]), b.column("vec").take(pa.array(rows[pick]))], names=["space", "key", "vec"])
+                raw = unpack(b.column("vec").take(pa.array(rows)))
+                odd = np.arange(1, 2 * raw.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                key = _chance(raw.view(np.uint32).astype(np.uint64) @ odd, salt)  # by content: ids may be alike
+                pick = np.flatnonzero(key <= bound[space])
+                yield pa.RecordBatch.from_arrays([pa.array([space] * len(pick), pa.string()), pa.array(key[pick]), b.column("vec").take(pa.array(rows[pick]))], names=["space", "key", "vec"])
 
     w = W.partitionBy("space").orderBy("key", "vec")
-    got = nodes.select("space", "id", "vec").mapInArrow(draw, "space string, key double, vec binary").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).collect()
+    got = nodes.select("space", "vec").mapInArrow(draw, "space string, key double, vec binary").distinct().withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).collect()
     out = {}
     for space, n in want.items():
         mine = sorted((r for r in got if r.space == space), key=lambda r: r._n)[:n]
-        out[space] = unit(np.frombuffer(b"".join(bytes(r.vec) for r in mine), np.float32).reshape(len(mine), -1))
+        if mine:
+            out[space] = unit(unpack_list([r.vec for r in mine]))
     return out
 
 
-def _cells(nodes: DataFrame, counts: dict[str, int]) -> DataFrame:
+def blocks(seeds: np.ndarray, each: float) -> np.ndarray:
+    """Block of each seed. Seeds near each other share a block of about `CELL` records; a dense
+    spot with more records than that gets several blocks, each around one of its seeds."""
+    sims = seeds @ seeds.T
+    free, groups = np.ones(len(seeds), bool), []
+    for i in np.argsort(-(sims >= 0.6).sum(1), kind="stable"):
+        if free[i]:
+            mine = np.flatnonzero(free & (sims[i] >= 0.6))
+            mine = mine if free[i] and i in mine else np.append(mine, i)
+            free[mine] = False
+            groups.append(mine)
+    out, block, filled = np.zeros(len(seeds), np.int32), 0, 0.0
+    for mine in groups:
+        size = len(mine) * each
+        if size > 1.5 * CELL:
+            heads = mine[: math.ceil(size / CELL)]
+            block += filled > 0
+            out[mine] = block + sims[np.ix_(mine, heads)].argmax(1)
+            block, filled = block + len(heads), 0.0
+        else:
+            if filled and filled + size > CELL:
+                block, filled = block + 1, 0.0
+            out[mine] = block
+            filled += size
+    return out
+
+
+def _cells(nodes: DataFrame, seeds: list[dict[str, np.ndarray]], counts: dict[str, int]) -> DataFrame:
     """Adds the cells c0 and c1 of two independent partitions."""
-    want = {s: min(MOST_CELLS, math.ceil(n / CELL)) for s, n in counts.items()}
-    shared = nodes.sparkSession.sparkContext.broadcast([_sample(nodes, want, salt) for salt in (11, 12)])
+    maps = [{s: (x, blocks(x, counts[s] / len(x))) for s, x in one.items()} for one in seeds]
+    shared = nodes.sparkSession.sparkContext.broadcast(maps)
 
     def place(batches):
         for b in batches:
             for space, rows in spaces(b.column("space")):
                 part = b.take(pa.array(rows))
-                x = unit(from_binary(part.column("vec")))
-                cells = [pa.array(nearest(x, s[space])[1].astype(np.int32)) for s in shared.value]
+                x = unit(unpack(part.column("vec")))
+                cells = [pa.array(block[nearest(x, seed)[1]]) for seed, block in (m[space] for m in shared.value)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cells], names=["space", "id", "copies", "vec", "c0", "c1"])
 
     return nodes.select("space", "id", "copies", "vec").mapInArrow(place, "space string, id bigint, copies boolean, vec binary, c0 int, c1 int")
 
 
 def _scored(x: np.ndarray, y: np.ndarray, x64: np.ndarray, y64: np.ndarray, xid: np.ndarray, yid: np.ndarray, k: int):
-    """The k best of y for each row of x: (row, column, cosine rounded to 6 places)."""
+    """The k best of y for each row of x: (row, column, cosine in millionths)."""
     got = []
     step = max(1, 8_000_000 // max(1, len(y)))
     for s in range(0, len(x), step):
-        sims = x[s : s + step] @ y.T
-        r, c = top_k(sims, k + 1)
-        order = np.argsort(r, kind="stable")
-        r, c = r[order] + s, c[order]
-        keep = xid[r] != yid[c]
+        r, c = top_k(x[s : s + step] @ y.T, k + 1)
+        keep = xid[r + s] != yid[c]
         r, c = r[keep], c[keep]
-        cos = np.round(np.einsum("ij,ij->i", x64[r], y64[c]), 6)
-        rr, at, _ = best(r - s, np.arange(len(r)), cos, yid[c], min(step, len(x) - s), k)
-        got.append((rr + s, c[at], cos[at]))
+        cos = np.round(np.einsum("ij,ij->i", x64[r + s], y64[c]), 6)
+        r, c, cos = best(r, c, cos, yid[c], min(step, len(x) - s), k)
+        got.append((r + s, c, np.rint(cos * 1e6).astype(np.int32)))
     if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     return tuple(np.concatenate(a) for a in zip(*got, strict=True))
 
 
-def _table(space: str, ids: np.ndarray, homes: np.ndarray, rows: np.ndarray, nbr: np.ndarray, cos: np.ndarray, nhome: np.ndarray) -> pa.Table:
+def _table(space: str, ids: np.ndarray, homes: np.ndarray, rows: np.ndarray, nbr: np.ndarray, score: np.ndarray, nhome: np.ndarray) -> pa.Table:
     n = len(ids)
-    return pa.table({"space": pa.array([space] * n, pa.string()), "id": ids, "home": pa.array(homes, pa.int32()), "nbrs": lists(rows, nbr, n, pa.int64()), "cos": lists(rows, cos, n, pa.float64()), "homes": lists(rows, nhome, n, pa.int32())})
+    return pa.table({"space": pa.array([space] * n, pa.string()), "id": ids, "home": pa.array(homes, pa.int32()), "nbrs": lists(rows, nbr, n, pa.int64()), "scores": lists(rows, score, n, pa.int32()), "homes": lists(rows, nhome, n, pa.int32())})
 
 
 def _within(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """Exact neighbours within a cell; a cell far too large is split by records drawn from it."""
     ids, homes = t.column("id").to_numpy(), t.column("home").to_numpy()
-    raw = from_binary(t.column("vec"))
+    raw = unpack(t.column("vec"))
     x, x64 = unit(raw), unit64(raw)
     split = [np.arange(len(ids))]
     if len(ids) > 8 * CELL:
-        seeds = np.argsort(_chance(ids, 13))[: math.ceil(len(ids) / CELL)]
-        at = nearest(x, x[seeds])[1]
-        split = [p for j in range(len(seeds)) if len(p := np.flatnonzero(at == j))]
+        heads = np.argsort(_chance(ids, 13))[: math.ceil(len(ids) / CELL)]
+        at = nearest(x, x[heads])[1]
+        split = [p for j in range(len(heads)) if len(p := np.flatnonzero(at == j))]
     out = []
     for p in split:
-        r, c, cos = _scored(x[p], x[p], x64[p], x64[p], ids[p], ids[p], KEEP)
-        out.append(_table(key[0].as_py(), ids[p], homes[p], r, ids[p][c], cos, homes[p][c]))
+        r, c, score = _scored(x[p], x[p], x64[p], x64[p], ids[p], ids[p], KEEP)
+        out.append(_table(key[0].as_py(), ids[p], homes[p], r, ids[p][c], score, homes[p][c]))
     return pa.concat_tables(out)
 
 
 def _meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """Records of a cell and its visitors, each side against the other."""
     visitor = t.column("visitor").to_numpy(zero_copy_only=False).astype(bool)
+    own, vis = np.flatnonzero(~visitor), np.flatnonzero(visitor)
+    none = np.zeros(0, np.int64)
+    if not len(own) or not len(vis):
+        return _table("", none, none, none, none, none, none)
     ids, homes = t.column("id").to_numpy(), t.column("home").to_numpy()
-    raw = from_binary(t.column("vec"))
+    raw = unpack(t.column("vec"))
     x, x64 = unit(raw), unit64(raw)
-    own, vis = np.flatnonzero(~visitor), np.flatnonzero(visitor)
     out = []
     for a, b in ((own, vis), (vis, own)):
-        if len(own) and len(vis):
-            r, c, cos = _scored(x[a], x[b], x64[a], x64[b], ids[a], ids[b], KEEP)
-            out.append(_table(key[0].as_py(), ids[a], homes[a], r, ids[b][c], cos, homes[b][c]))
-    none = np.zeros(0, np.int64)
-    return pa.concat_tables(out) if out else _table("", none, none, none, none, none.astype(float), none)
+        r, c, score = _scored(x[a], x[b], x64[a], x64[b], ids[a], ids[b], KEEP)
+        out.append(_table(key[0].as_py(), ids[a], homes[a], r, ids[b][c], score, homes[b][c]))
+    return pa.concat_tables(out)
 
 
 def _merge(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -130,47 +162,70 @@ def _merge(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     for space, rows in spaces(t.column("space")):
         part = t.take(pa.array(rows)).combine_chunks()
         ids, at = np.unique(part.column("id").to_numpy(), return_inverse=True)
-        homes = np.zeros(len(ids), np.int32)
+        n = len(ids)
+        homes = np.zeros(n, np.int32)
         homes[at] = part.column("home").to_numpy()
-        col = {c: part.column(c).combine_chunks() if isinstance(part.column(c), pa.ChunkedArray) else part.column(c) for c in ("nbrs", "cos", "homes")}
-        size = np.diff(col["nbrs"].offsets.to_numpy())
+        nbr, score, nh = (part.column(c).combine_chunks() for c in ("nbrs", "scores", "homes"))
+        size = np.diff(nbr.offsets.to_numpy())
         r, age = np.repeat(at, size), np.repeat(part.column("age").to_numpy(), size)
-        nbr, cos, nh = (col[c].flatten().to_numpy() for c in ("nbrs", "cos", "homes"))
-        order = np.lexsort((age, nbr, -cos, r))
-        r, age, nbr, cos, nh = r[order], age[order], nbr[order], cos[order], nh[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (nbr[1:] != nbr[:-1])
-        r, age, nbr, cos, nh = r[new], age[new], nbr[new], cos[new], nh[new]
-        rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(ids)))[r]
-        keep = rank < KEEP
-        r, age, nbr, cos, nh = r[keep], age[keep], nbr[keep], cos[keep], nh[keep]
-        n = len(ids)
-        out.append(_table(space, ids, homes, r, nbr, cos, nh).append_column("fresh", lists(r, age > 0, n, pa.bool_())))
+        order = np.argsort(r, kind="stable")
+        r = r[order]
+        many = np.bincount(r, minlength=n)
+        place, width = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many), int(many.max(initial=0))
+        gone, top = np.int32(3_000_000), np.iinfo(np.int64).max
+        key, who, home = np.full((n, width), gone, np.int32), np.full((n, width), top, np.int64), np.zeros((n, width), np.int32)
+        key[r, place] = 1_000_000 - score.flatten().to_numpy()[order]
+        who[r, place] = nbr.flatten().to_numpy()[order] * 2 + age[order]  # of two equal entries the old one comes first
+        home[r, place] = nh.flatten().to_numpy()[order]
+        o = np.argsort(who, axis=1, kind="stable")
+        o = np.take_along_axis(o, np.argsort(np.take_along_axis(key, o, 1), axis=1, kind="stable"), 1)
+        key, who, home = (np.take_along_axis(a, o, 1) for a in (key, who, home))
+        key[:, 1:][(who[:, 1:] >> 1) == (who[:, :-1] >> 1)] = gone
+        o = np.argsort(key, axis=1, kind="stable")[:, :KEEP]
+        key, who, home = (np.take_along_axis(a, o, 1) for a in (key, who, home))
+        r, c = np.nonzero(key < gone)
+        out.append(_table(space, ids, homes, r, who[r, c] >> 1, 1_000_000 - key[r, c], home[r, c]).append_column("fresh", lists(r, (who[r, c] & 1) > 0, n, pa.bool_())))
     return pa.concat_tables(out)
 
 
-def _cell(home: str) -> str:
-    """Homes carry a mark: those of nodes with copies are stored as -1 - cell."""
-    return f"if({home} < 0, -1 - {home}, {home})"
-
-
-def build(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The neighbour graph of (space, id, vec).
-
-    Returns the lists (best first, at most `KEEP`, cosine then smaller id), the nodes (distinct
-    vectors, named by the smallest id of their copies; space, id, copies, vec, c0, c1) and all
-    records (space, id, vec). Empty input gives empty tables.
+def _cross(batches):
+    """(space, cell, id): along fresh edges that leave a cell, both ends go to the other's cell."""
+    for b in batches:
+        nbrs, homes, fresh = (b.column(b.schema.get_field_index(c)) for c in ("nbrs", "homes", "fresh"))
+        size = np.diff(nbrs.offsets.to_numpy())
+        cell = lambda h: np.where(h < 0, -1 - h, h)
+        u = np.repeat(b.column("id").to_numpy(), size)
+        hu = cell(np.repeat(b.column("home").to_numpy(), size))
+        v, hv = nbrs.flatten().to_numpy(), cell(homes.flatten().to_numpy())
+        row = np.repeat(np.arange(b.num_rows), size)
+        go = fresh.flatten().to_numpy(zero_copy_only=False).astype(bool) & (hu != hv)
+        for space, rows in spaces(b.column("space")):
+            mine = np.zeros(b.num_rows, bool)
+            mine[rows] = True
+            e = np.flatnonzero(go & mine[row])
+            pairs = np.unique(np.stack([np.concatenate([hv[e], hu[e]]), np.concatenate([u[e], v[e]])], 1), axis=0) if len(e) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([space] * len(pairs), pa.string()), pa.array(pairs[:, 0], pa.int32()), pa.array(pairs[:, 1], pa.int64())], names=["space", "cell", "id"])
+
+
+def build(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The neighbour graph of (space, id, vec), and the members of nodes with copies.
+
+    The graph has a list for each node (a distinct vector, named by the smallest id that has it):
+    best first, at most `KEEP`, by cosine and then smaller id. Homes of nodes with copies are
+    stored as -1 - cell. Members are (space, rep, id). Empty input gives empty tables.
     """
     spark = vectors.sparkSession
     records = scratch.write(vectors, "records")
-    grouped = records.groupBy("space", "vec").agg(F.min("id").alias("id"), F.max("id").alias("_max"))
-    nodes = scratch.write(grouped.select("space", "id", (F.col("id") < F.col("_max")).alias("copies"), "vec"), "nodes")
-    counts = {r.space: r["count"] for r in nodes.groupBy("space").count().collect()}
+    counts = {r.space: r["count"] for r in records.groupBy("space").count().collect()}
     total = sum(counts.values())
     if not total:
-        return spark.createDataFrame([], LISTS + ", fresh array<boolean>"), nodes.withColumn("c0", F.lit(0)).withColumn("c1", F.lit(0)), records
-    placed = scratch.write(_cells(nodes, counts), "placed")
-    scratch.drop(nodes)
+        return spark.createDataFrame([], GRAPH), spark.createDataFrame([], "space string, rep bigint, id bigint")
+    want = {s: min(MOST_SEEDS, math.ceil(n / FINE)) for s, n in counts.items()}
+    seeds = [_sample(records, want, counts, salt) for salt in (11, 12)]
+    grouped = records.groupBy("space", "vec").agg(F.min("id").alias("id"), F.max("id").alias("_max")).withColumn("copies", F.col("id") < F.col("_max"))
+    placed = scratch.write(_cells(grouped, seeds, counts), "placed")
+    members = scratch.write(records.join(placed.filter("copies").select("space", F.col("id").alias("rep"), "vec"), ["space", "vec"]).select("space", "rep", "id").distinct(), "members")
+    scratch.drop(records)
     buckets = parts(spark, total, 25_000)
     home = F.expr("if(copies, -1 - c0, c0)").alias("home")
 
@@ -178,44 +233,49 @@ def build(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, D
         every = tables[0]
         for t in tables[1:]:
             every = every.unionByName(t)
-        return scratch.write(every.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).applyInArrow(_merge, LISTS + ", fresh array<boolean>"), "graph")
-
-    first = [placed.select("space", "id", home, "vec", F.col(c).alias("_c")).groupBy("space", "_c").applyInArrow(_within, LISTS).withColumn("age", F.lit(1)) for c in ("c0", "c1")]
-    graph = merged(*first)
+        return scratch.write(every.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).applyInArrow(_merge, GRAPH), "graph")
+
+    drawn = []
+    for c in ("c0", "c1"):
+        part = placed.select("space", "id", home, "vec", F.col(c).alias("_c")).groupBy("space", "_c").applyInArrow(_within, LISTS)
+        drawn.append(scratch.write(part.withColumn("age", F.lit(1)), "within"))
+        scratch.drop()
+    graph = merged(*drawn)
+    scratch.drop(*drawn)
     seen: DataFrame | None = None
     for _ in range(ROUNDS):
-        cross = graph.select("space", "id", F.expr(_cell("home")).alias("h"), F.explode(F.expr("filter(zip_with(nbrs, zip_with(homes, fresh, (h, f) -> struct(h, f)), (n, x) -> struct(n as n, x.h as nh, x.f as f)), x -> x.f)")).alias("e")).select("space", "id", "h", F.col("e.n").alias("n"), F.expr(_cell("e.nh")).alias("nh")).filter("h <> nh")
-        # both directions in one pass over the graph
-        visits = cross.select("space", F.inline(F.expr("array(struct(nh as cell, id as id), struct(h as cell, n as id))"))).distinct()
+        visits = graph.mapInArrow(_cross, "space string, cell int, id bigint").distinct()
         if seen is not None:
             visits = visits.join(seen, ["space", "cell", "id"], "left_anti")
         visits = scratch.write(visits, "visits")
         seen = visits if seen is None else seen.unionByName(visits)
         guests = visits.join(placed.select("space", "id", home, "vec"), ["space", "id"]).select("space", "cell", "id", "home", "vec", F.lit(True).alias("visitor"))
         hosts = placed.select("space", F.col("c0").alias("cell"), "id", home, "vec", F.lit(False).alias("visitor"))
-        met = hosts.unionByName(guests).groupBy("space", "cell").applyInArrow(_meet, LISTS).withColumn("age", F.lit(1))
+        met = scratch.write(hosts.unionByName(guests).groupBy("space", "cell").applyInArrow(_meet, LISTS).withColumn("age", F.lit(1)), "met")
+        del guests, hosts
+        scratch.drop()
         better = merged(graph.drop("fresh").withColumn("age", F.lit(0)), met)
-        scratch.drop(graph)
+        scratch.drop(graph, met)
         graph = better
         changed = graph.agg(F.sum(F.expr("aggregate(fresh, 0L, (a, f) -> a + if(f, 1L, 0L))"))).first()[0] or 0
         if changed < ENOUGH * total * KEEP:
             break
-    return graph, placed, records
+    scratch.drop(placed)
+    return graph, members
 
 
-def neighbours(graph: DataFrame, placed: DataFrame, records: DataFrame, k: int, least: float = -2.0) -> DataFrame:
+def neighbours(graph: DataFrame, members: DataFrame, k: int, least: float = -2.0) -> DataFrame:
     """(space, id, nbr, cosine): up to k most similar other records of each record.
 
     Cosines are rounded to 6 places; of equal ones the smaller id comes first. Copies of a vector
     are each other's neighbours with cosine 1.
     """
     single = graph.filter("home >= 0 and not exists(homes, h -> h < 0)")
-    plain = single.select("space", "id", F.explode(F.expr(f"slice(zip_with(nbrs, cos, (n, c) -> struct(n as nbr, c as cosine)), 1, {k})")).alias("_e")).select("space", "id", "_e.nbr", "_e.cosine")
+    plain = single.select("space", "id", F.explode(F.expr(f"slice(zip_with(nbrs, scores, (n, c) -> struct(n as nbr, c / 1e6D as cosine)), 1, {k})")).alias("_e")).select("space", "id", "_e.nbr", "_e.cosine")
     heads_w = W.partitionBy("space", "rep").orderBy("id")
-    members = records.join(placed.filter("copies").select("space", F.col("id").alias("rep"), "vec"), ["space", "vec"]).select("space", "rep", "id").distinct()
     heads = members.withColumn("_n", F.row_number().over(heads_w)).filter(F.col("_n") <= k + 1).select("space", "rep", F.col("id").alias("head"))
     touched = graph.filter("home < 0 or exists(homes, h -> h < 0)")
-    edges = touched.select("space", "id", "home", F.explode(F.expr("zip_with(nbrs, cos, (n, c) -> struct(n, c))")).alias("_e")).select("space", "id", "home", F.col("_e.n").alias("rep"), F.col("_e.c").alias("cosine")).filter(F.col("cosine") >= least)
+    edges = touched.select("space", "id", "home", F.explode(F.expr("zip_with(nbrs, scores, (n, c) -> struct(n as n, c / 1e6D as c))")).alias("_e")).select("space", "id", "home", F.col("_e.n").alias("rep"), F.col("_e.c").alias("cosine")).filter(F.col("cosine") >= least)
     wide = edges.join(heads, ["space", "rep"], "left").select("space", "id", "home", F.coalesce("head", "rep").alias("nbr"), "cosine")
     alone = wide.filter("home >= 0").select("space", "id", "nbr", "cosine")
     own = heads.select("space", F.col("rep").alias("id"), F.col("head").alias("nbr"), F.lit(1.0).alias("cosine"))

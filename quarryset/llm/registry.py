@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryset.llm import p1_clusters, p2_neighbours, p3_percentiles, p5_history, p6_tokens, p7_leaks, p8_truncated
+from quarryset.llm import p1_clusters, p2_neighbours, p3_percentiles, p4_subset, p5_history, p6_tokens, p7_leaks, p8_truncated
 
 QUERIES = {
     "p1_found": p1_clusters.p1_found,
@@ -11,6 +11,8 @@ QUERIES = {
     "p2_neighbours": p2_neighbours.p2_neighbours,
     "p3_percentiles": p3_percentiles.p3_percentiles,
     "p3_spans": p3_percentiles.p3_spans,
+    "p4_subset": p4_subset.p4_subset,
+    "p4_coverage": p4_subset.p4_coverage,
     "p5_found": p5_history.p5_found,
     "p5_batches": p5_history.p5_batches,
     "p6_ids": p6_tokens.p6_ids,
