@@ -26,8 +26,9 @@ from quarryset.llm.vectors import best, lists, point_vectors, spaces, top_k, uni
 from quarryset.runtime import Scratch, parts
 
 #: Entries kept for each node; records aimed at for each cell, and for each of the seeds it is made
-#: of; most seeds of one space; rounds, and the share of new entries that ends them.
-KEEP, CELL, FINE, MOST_SEEDS, ROUNDS, ENOUGH = 10, 2500, 250, 1024, 4, 0.02
+#: of; most seeds of one space; rounds, the share of new entries that ends them, and how many of a
+#: node's entries are followed in a round (the best of them, as NN-descent samples its neighbours).
+KEEP, CELL, FINE, MOST_SEEDS, ROUNDS, ENOUGH, FOLLOW = 10, 5000, 250, 1024, 4, 0.03, 6
 #: score: cosine in millionths.
 LISTS = "space string, id bigint, home int, nbrs array<bigint>, scores array<int>, homes array<int>"
 GRAPH = LISTS + ", fresh array<boolean>"
@@ -198,7 +199,8 @@ def _cross(batches):
         hu = cell(np.repeat(b.column("home").to_numpy(), size))
         v, hv = nbrs.flatten().to_numpy(), cell(homes.flatten().to_numpy())
         row = np.repeat(np.arange(b.num_rows), size)
-        go = fresh.flatten().to_numpy(zero_copy_only=False).astype(bool) & (hu != hv)
+        rank = np.arange(len(u)) - np.repeat(np.cumsum(size) - size, size)
+        go = fresh.flatten().to_numpy(zero_copy_only=False).astype(bool) & (hu != hv) & (rank < FOLLOW)
         for space, rows in spaces(b.column("space")):
             mine = np.zeros(b.num_rows, bool)
             mine[rows] = True
@@ -235,13 +237,8 @@ def build(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             every = every.unionByName(t)
         return scratch.write(every.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).applyInArrow(_merge, GRAPH), "graph")
 
-    drawn = []
-    for c in ("c0", "c1"):
-        part = placed.select("space", "id", home, "vec", F.col(c).alias("_c")).groupBy("space", "_c").applyInArrow(_within, LISTS)
-        drawn.append(scratch.write(part.withColumn("age", F.lit(1)), "within"))
-        scratch.drop()
-    graph = merged(*drawn)
-    scratch.drop(*drawn)
+    graph = merged(*[placed.select("space", "id", home, "vec", F.col(c).alias("_c")).groupBy("space", "_c").applyInArrow(_within, LISTS).withColumn("age", F.lit(1)) for c in ("c0", "c1")])
+    scratch.drop()
     seen: DataFrame | None = None
     for _ in range(ROUNDS):
         visits = graph.mapInArrow(_cross, "space string, cell int, id bigint").distinct()
@@ -251,11 +248,10 @@ def build(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         seen = visits if seen is None else seen.unionByName(visits)
         guests = visits.join(placed.select("space", "id", home, "vec"), ["space", "id"]).select("space", "cell", "id", "home", "vec", F.lit(True).alias("visitor"))
         hosts = placed.select("space", F.col("c0").alias("cell"), "id", home, "vec", F.lit(False).alias("visitor"))
-        met = scratch.write(hosts.unionByName(guests).groupBy("space", "cell").applyInArrow(_meet, LISTS).withColumn("age", F.lit(1)), "met")
-        del guests, hosts
-        scratch.drop()
+        met = hosts.unionByName(guests).groupBy("space", "cell").applyInArrow(_meet, LISTS).withColumn("age", F.lit(1))
         better = merged(graph.drop("fresh").withColumn("age", F.lit(0)), met)
-        scratch.drop(graph, met)
+        del guests, hosts, met
+        scratch.drop(graph)
         graph = better
         changed = graph.agg(F.sum(F.expr("aggregate(fresh, 0L, (a, f) -> a + if(f, 1L, 0L))"))).first()[0] or 0
         if changed < ENOUGH * total * KEEP:
@@ -288,6 +284,62 @@ def neighbours(graph: DataFrame, members: DataFrame, k: int, least: float = -2.0
     return plain.unionByName(rest).filter(F.col("cosine") >= least)
 
 
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scratch, k: int, beam: int = 16, width: int = 4, hops: int = 4) -> DataFrame:
+    """(space, qid, id, cosine): greedy search of the graph for queries (space, qid, vec).
+
+    All queries advance together. A query starts at the nearest of a bounded sample of nodes and
+    keeps a beam; each hop joins the beam's best unexpanded nodes with their lists, scores the
+    neighbours it hasn't met, and keeps the best. `nodes` is (space, id, vec) with the ids of the
+    graph. Queries in spaces without nodes find nothing.
+    """
+    counts = {r.space: r["count"] for r in nodes.groupBy("space").count().collect()}
+    if not counts:
+        return queries.select("space", "qid", F.col("qid").alias("id"), F.lit(0.0).alias("cosine")).limit(0)
+    share = {s: min(1.0, MOST_SEEDS / n) for s, n in counts.items()}
+    most = F.create_map(*[F.lit(x) for s, f in share.items() for x in (s, int(f * 2**31))])
+    entry = nodes.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2**31)) <= most[F.col("space")]).select("space", "id", "vec").collect()
+    starts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for space in counts:
+        mine = sorted((r for r in entry if r.space == space), key=lambda r: r.id)
+        if mine:
+            starts[space] = np.array([r.id for r in mine]), unit(unpack_list([r.vec for r in mine]))
+    shared = queries.sparkSession.sparkContext.broadcast(starts)
+    schema = "space string, qid bigint, id bigint, cosine double"
+
+    def begin(batches):
+        for b in batches:
+            for space, rows in spaces(b.column("space")):
+                if space not in shared.value:
+                    continue
+                part, (ids, seeds) = b.take(pa.array(rows)), shared.value[space]
+                sims = unit(unpack(part.column("vec"))) @ seeds.T
+                n = min(beam, len(ids))
+                at = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+                q = np.repeat(part.column("qid").to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array([space] * len(q), pa.string()), pa.array(q), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(sims, at, 1).ravel().astype(np.float64))], names=["space", "qid", "id", "cosine"])
+
+    def score(batches):
+        for b in batches:
+            for space, rows in spaces(b.column("space")):
+                part = b.take(pa.array(rows))
+                cos = np.einsum("ij,ij->i", unit64(unpack(part.column("vec"))), unit64(unpack(part.column("qvec"))))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("space", "qid", "id")), pa.array(np.round(cos, 6))], names=["space", "qid", "id", "cosine"])
+
+    best_first = W.partitionBy("space", "qid").orderBy(F.desc("cosine"), "id")
+    state = scratch.write(queries.mapInArrow(begin, schema).withColumn("done", F.lit(False)), "beam")
+    links = graph.select("space", "id", F.explode("nbrs").alias("nbr"))
+    asked = queries.select("space", "qid", F.col("vec").alias("qvec"))
+    for _ in range(hops):
+        front = state.filter("not done").withColumn("_n", F.row_number().over(best_first)).filter(F.col("_n") <= width).select("space", "qid", "id")
+        met = front.join(links, ["space", "id"]).select("space", "qid", F.col("nbr").alias("id")).distinct().join(state.select("space", "qid", "id"), ["space", "qid", "id"], "left_anti")
+        new = met.join(nodes.select("space", "id", "vec"), ["space", "id"]).join(asked, ["space", "qid"]).mapInArrow(score, schema).withColumn("done", F.lit(False))
+        old = state.join(front.withColumn("_f", F.lit(True)), ["space", "qid", "id"], "left").select("space", "qid", "id", "cosine", F.coalesce(F.col("_f") | F.col("done"), F.col("done")).alias("done"))
+        better = old.unionByName(new).withColumn("_n", F.row_number().over(best_first)).filter(F.col("_n") <= beam).drop("_n")
+        state, before = scratch.write(better, "beam"), state
+        scratch.drop(before)
+    return state.filter("id <> qid").withColumn("_n", F.row_number().over(best_first)).filter(F.col("_n") <= k).select("space", "qid", "id", "cosine")
+
+
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     return point_vectors(spark.read.parquet(f"{sf}/points.parquet"), spark.read.parquet(f"{sf}/collections.parquet"))
 
@@ -302,3 +354,13 @@ def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     near = neighbours(*build(_points(spark, sf), Scratch(spark, "p2")), 8)
     w = W.partitionBy("space", "id").orderBy(F.desc("cosine"), "nbr")
     return near.distinct().select(F.col("space").alias("collection"), F.col("id").alias("uid"), F.row_number().over(w).alias("rank"), F.col("nbr").alias("neighbour"), "cosine")
+
+
+def p2_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries (every point whose uid is divisible by 20) against all points, by greedy search."""
+    scratch = Scratch(spark, "p2")
+    points = scratch.write(_points(spark, sf).distinct(), "points")
+    graph, _ = build(points, scratch)
+    nodes = points.groupBy("space", "vec").agg(F.min("id").alias("id"))
+    found = search(graph, scratch.write(nodes, "nodes"), points.filter("id % 20 = 0").select("space", F.col("id").alias("qid"), "vec"), scratch, 8)
+    return found.select(F.col("space").alias("collection"), "qid", F.col("id").alias("uid"), "cosine")
