@@ -28,10 +28,12 @@ from quarryset.runtime import Scratch, parts
 #: Entries kept for each node; records aimed at for each cell, and for each of the seeds it is made
 #: of; most seeds of one space; rounds, the share of new entries that ends them, and how many of a
 #: node's entries are followed in a round (the best of them, as NN-descent samples its neighbours).
-KEEP, CELL, FINE, MOST_SEEDS, ROUNDS, ENOUGH, FOLLOW = 10, 5000, 250, 1024, 4, 0.03, 6
+KEEP, CELL, FINE, MOST_SEEDS, ROUNDS, ENOUGH, FOLLOW = 10, 10_000, 250, 1024, 4, 0.05, 6
 #: score: cosine in millionths.
 LISTS = "space string, id bigint, home int, nbrs array<bigint>, scores array<int>, homes array<int>"
-GRAPH = LISTS + ", fresh array<boolean>"
+GRAPH = LISTS + ", fresh array<boolean>, vec binary"
+#: The score that a node's next entry must reach.
+LOW = f"if(size(scores) < {KEEP}, -2000000, scores[{KEEP - 1}])"
 
 
 def _sample(nodes: DataFrame, want: dict[str, int], counts: dict[str, int], salt: int) -> dict[str, np.ndarray]:
@@ -101,12 +103,17 @@ def _cells(nodes: DataFrame, seeds: list[dict[str, np.ndarray]], counts: dict[st
     return nodes.select("space", "id", "copies", "vec").mapInArrow(place, "space string, id bigint, copies boolean, vec binary, c0 int, c1 int")
 
 
-def _scored(x: np.ndarray, y: np.ndarray, x64: np.ndarray, y64: np.ndarray, xid: np.ndarray, yid: np.ndarray, k: int):
-    """The k best of y for each row of x: (row, column, cosine in millionths)."""
+def _scored(x: np.ndarray, y: np.ndarray, x64: np.ndarray, y64: np.ndarray, xid: np.ndarray, yid: np.ndarray, k: int, low: np.ndarray | None = None):
+    """The k best of y for each row of x: (row, column, cosine in millionths).
+
+    `low` bounds the score of each row's entries from below, which leaves few to look at.
+    """
     got = []
     step = max(1, 8_000_000 // max(1, len(y)))
     for s in range(0, len(x), step):
-        r, c = top_k(x[s : s + step] @ y.T, k + 1)
+        sims = x[s : s + step] @ y.T
+        hit = None if low is None else np.flatnonzero(sims >= ((low[s : s + step] - 1) / 1e6).astype(np.float32)[:, None])
+        r, c = np.divmod(hit, len(y)) if hit is not None and len(hit) <= 4 * k * len(sims) else top_k(sims, k + 1)
         keep = xid[r + s] != yid[c]
         r, c = r[keep], c[keep]
         cos = np.round(np.einsum("ij,ij->i", x64[r + s], y64[c]), 6)
@@ -146,18 +153,24 @@ def _meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     none = np.zeros(0, np.int64)
     if not len(own) or not len(vis):
         return _table("", none, none, none, none, none, none)
-    ids, homes = t.column("id").to_numpy(), t.column("home").to_numpy()
+    ids, homes, low = (t.column(c).to_numpy() for c in ("id", "home", "low"))
     raw = unpack(t.column("vec"))
     x, x64 = unit(raw), unit64(raw)
     out = []
     for a, b in ((own, vis), (vis, own)):
-        r, c, score = _scored(x[a], x[b], x64[a], x64[b], ids[a], ids[b], KEEP)
+        r, c, score = _scored(x[a], x[b], x64[a], x64[b], ids[a], ids[b], KEEP, low[a])
+        if not len(r):
+            continue
+        a, r = a[np.unique(r)], np.searchsorted(np.unique(r), r)  # rows without news aren't sent
         out.append(_table(key[0].as_py(), ids[a], homes[a], r, ids[b][c], score, homes[b][c]))
-    return pa.concat_tables(out)
+    return pa.concat_tables(out) if out else _table("", none, none, none, none, none, none)
 
 
 def _merge(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """One list for each node from its old list (`age` 0) and new ones; `fresh` marks new entries."""
+    """One list for each node from its old list (`age` 0) and new ones; `fresh` marks new entries.
+
+    One row of each node has its vector, which stays with the list.
+    """
     out = []
     t = t.combine_chunks()
     for space, rows in spaces(t.column("space")):
@@ -166,6 +179,8 @@ def _merge(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         n = len(ids)
         homes = np.zeros(n, np.int32)
         homes[at] = part.column("home").to_numpy()
+        with_vec = np.flatnonzero(part.column("vec").is_valid().to_numpy(zero_copy_only=False))
+        vec = part.column("vec").take(pa.array(with_vec[np.argsort(at[with_vec])]))
         nbr, score, nh = (part.column(c).combine_chunks() for c in ("nbrs", "scores", "homes"))
         size = np.diff(nbr.offsets.to_numpy())
         r, age = np.repeat(at, size), np.repeat(part.column("age").to_numpy(), size)
@@ -185,7 +200,7 @@ def _merge(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         o = np.argsort(key, axis=1, kind="stable")[:, :KEEP]
         key, who, home = (np.take_along_axis(a, o, 1) for a in (key, who, home))
         r, c = np.nonzero(key < gone)
-        out.append(_table(space, ids, homes, r, who[r, c] >> 1, 1_000_000 - key[r, c], home[r, c]).append_column("fresh", lists(r, (who[r, c] & 1) > 0, n, pa.bool_())))
+        out.append(_table(space, ids, homes, r, who[r, c] >> 1, 1_000_000 - key[r, c], home[r, c]).append_column("fresh", lists(r, (who[r, c] & 1) > 0, n, pa.bool_())).append_column("vec", vec))
     return pa.concat_tables(out)
 
 
@@ -231,14 +246,16 @@ def build(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     buckets = parts(spark, total, 25_000)
     home = F.expr("if(copies, -1 - c0, c0)").alias("home")
 
-    def merged(*tables: DataFrame) -> DataFrame:
-        every = tables[0]
-        for t in tables[1:]:
-            every = every.unionByName(t)
+    def merged(old: DataFrame, *new: DataFrame) -> DataFrame:
+        every = old
+        for t in new:
+            every = every.unionByName(t.withColumn("age", F.lit(1)).withColumn("vec", F.lit(None).cast("binary")))
         return scratch.write(every.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).applyInArrow(_merge, GRAPH), "graph")
 
-    graph = merged(*[placed.select("space", "id", home, "vec", F.col(c).alias("_c")).groupBy("space", "_c").applyInArrow(_within, LISTS).withColumn("age", F.lit(1)) for c in ("c0", "c1")])
-    scratch.drop()
+    nodes = placed.select("space", "id", home, *[F.array().cast(k).alias(c) for c, k in (("nbrs", "array<bigint>"), ("scores", "array<int>"), ("homes", "array<int>"))], F.lit(0).alias("age"), "vec")
+    first = [placed.select("space", "id", home, "vec", F.col(c).alias("_c")).groupBy("space", "_c").applyInArrow(_within, LISTS) for c in ("c0", "c1")]
+    graph = merged(nodes, *first)
+    scratch.drop(placed)
     seen: DataFrame | None = None
     for _ in range(ROUNDS):
         visits = graph.mapInArrow(_cross, "space string, cell int, id bigint").distinct()
@@ -246,17 +263,16 @@ def build(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             visits = visits.join(seen, ["space", "cell", "id"], "left_anti")
         visits = scratch.write(visits, "visits")
         seen = visits if seen is None else seen.unionByName(visits)
-        guests = visits.join(placed.select("space", "id", home, "vec"), ["space", "id"]).select("space", "cell", "id", "home", "vec", F.lit(True).alias("visitor"))
-        hosts = placed.select("space", F.col("c0").alias("cell"), "id", home, "vec", F.lit(False).alias("visitor"))
-        met = hosts.unionByName(guests).groupBy("space", "cell").applyInArrow(_meet, LISTS).withColumn("age", F.lit(1))
+        known = graph.select("space", "id", "home", F.expr("if(home < 0, -1 - home, home)").alias("cell"), "vec", F.expr(LOW).alias("low"))
+        guests = visits.join(known.drop("cell"), ["space", "id"]).withColumn("visitor", F.lit(True))
+        met = known.withColumn("visitor", F.lit(False)).unionByName(guests).groupBy("space", "cell").applyInArrow(_meet, LISTS)
         better = merged(graph.drop("fresh").withColumn("age", F.lit(0)), met)
-        del guests, hosts, met
+        del guests, met, known
         scratch.drop(graph)
         graph = better
         changed = graph.agg(F.sum(F.expr("aggregate(fresh, 0L, (a, f) -> a + if(f, 1L, 0L))"))).first()[0] or 0
         if changed < ENOUGH * total * KEEP:
             break
-    scratch.drop(placed)
     return graph, members
 
 

@@ -170,7 +170,7 @@ def top_k(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
     width = max(1, m // (12 * k))
     full = m // width * width
-    peak = sims[:, :full].reshape(n, -1, width).max(2) if width > 1 else sims
+    peak = sims[:, :full].reshape(n, width, -1).max(1) if width > 1 else sims  # over strides: whole rows at once
     bound = -np.partition(-peak, k - 1, axis=1)[:, k - 1]
     return np.divmod(np.flatnonzero(sims >= bound[:, None]), m)
 
