@@ -27,6 +27,16 @@ def getbit(value: Column, offset: Column | int) -> Column:
     return F.call_function("shiftright", byte_at(value, F.floor(o / 8).cast("int")), (F.lit(7) - o % 8).cast("int")).bitwiseAND(1)
 
 
+def setbit(value: Column, offset: int, bit: int) -> Column:
+    """A value with one bit set or cleared; it grows by zero bytes as far as needed."""
+    from quarryset.functions.text import overwrite
+
+    at, mask = offset // 8, 1 << (7 - offset % 8)
+    old = byte_at(F.coalesce(value, F.lit(b"")), F.lit(at))
+    new = old.bitwiseOR(mask) if bit else old.bitwiseAND(255 - mask)
+    return overwrite(value, at, F.unhex(F.lpad(F.hex(new), 2, "0")))
+
+
 def bitcount(value: Column, start: int = 0, stop: int = -1) -> Column:
     """Set bits in an inclusive range of bytes, negatives from the end. Null counts as empty."""
     from quarryset.functions.text import byte_range

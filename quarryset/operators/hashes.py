@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryset.functions.text import glob
+
 
 def from_columns(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One hash for each row of a table; null values are absent fields."""
@@ -39,6 +41,24 @@ def hgetall(h: DataFrame) -> DataFrame:
     return h.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
 
 
+def hkeys(h: DataFrame, key) -> DataFrame:
+    return h.filter(F.col("key") == F.lit(key)).select("field")
+
+
+def hvals(h: DataFrame, key) -> DataFrame:
+    return h.filter(F.col("key") == F.lit(key)).select("value")
+
+
+def hscan(h: DataFrame, key, after: str | None, count: int, pattern: str | None = None) -> DataFrame:
+    """One page of a hash in the order of fields; the pattern applies before the page is cut."""
+    page = h.filter(F.col("key") == F.lit(key))
+    if after is not None:
+        page = page.filter(F.col("field") > after)
+    if pattern is not None:
+        page = page.filter(glob(F.col("field"), pattern))
+    return page.select("field", "value").orderBy("field").limit(count)
+
+
 def hexists(h: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(h.select("key", "field", F.lit(True).alias("_f")), ["key", "field"], "left").withColumn("found", F.coalesce("_f", F.lit(False))).drop("_f")
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryset.functions.text import glob
+from quarryset.operators.ordering import running_total
 
 
 def alive(now_ms: int | Column) -> Column:
@@ -103,5 +103,5 @@ def evict(keys: DataFrame, limit: int, policy: str, now_ms: int, seed: int = 0)
     can = F.lit(True) if policy.startswith("allkeys") else F.col("expire_at_ms").isNotNull()
     live = visible(keys, now_ms)
     total = live.agg((F.sum("size") - limit).alias("_over"))
-    w = W.orderBy(order, "key").rowsBetween(W.unboundedPreceding, -1)
-    return live.filter(can).withColumn("_before", F.coalesce(F.sum("size").over(w), F.lit(0))).crossJoin(F.broadcast(total)).filter("_before < _over").select("key")
+    ordered = running_total(live.filter(can).withColumn("_by", order), ["_by", "key"], "size", "_before")
+    return ordered.crossJoin(F.broadcast(total)).filter("_before < _over").select("key")

@@ -30,6 +30,12 @@ def smembers(s: DataFrame, key) -> DataFrame:
     return s.filter(F.col("key") == key).select("member").distinct()
 
 
+def sscan(s: DataFrame, key, after, count: int) -> DataFrame:
+    """One page of a key's members in order, after the last one seen."""
+    page = smembers(s, key)
+    return (page if after is None else page.filter(F.col("member") > F.lit(after))).orderBy("member").limit(count)
+
+
 def smove(s: DataFrame, source, target, member) -> DataFrame:
     """Moves a member if it is there; the target holds it once."""
     hit = (F.col("key") == source) & (F.col("member") == member)

@@ -30,6 +30,11 @@ def setxx(existing: DataFrame, writes: DataFrame) -> DataFrame:
     return existing.join(last, "key", "left_anti").unionByName(last)
 
 
+def mset(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """All of the new keys (key, value) replace what is there."""
+    return existing.join(new.select("key"), "key", "left_anti").unionByName(new.select(*existing.columns))
+
+
 def msetnx(existing: DataFrame, new: DataFrame) -> DataFrame:
     """All of the new keys or, if any of them exists, none."""
     clash = new.join(existing, "key", "left_semi").agg(F.count(F.lit(1)).alias("_c"))

@@ -35,6 +35,13 @@ def zadd(ops: DataFrame, existing: DataFrame | None = None, only: str | None = N
     return existing.join(new, ["key", "member"], "left_anti").unionByName(new)
 
 
+def zadd_changed(ops: DataFrame, existing: DataFrame) -> DataFrame:
+    """(key, added, changed): what a ZADD reports, without and with CH."""
+    new = zadd(ops).join(existing.withColumnRenamed("score", "_old"), ["key", "member"], "left")
+    fresh = F.col("_old").isNull()
+    return new.groupBy("key").agg(F.count_if(fresh).alias("added"), F.count_if(fresh | (F.col("_old") != F.col("score"))).alias("changed"))
+
+
 def zincrby(ops: DataFrame) -> DataFrame:
     """Scores after adding up all increments (key, member, score)."""
     return ops.groupBy("key", "member").agg(F.sum("score").alias("score"))
@@ -79,6 +86,15 @@ def _page(hit: DataFrame, offset: int, count: int | None, reverse: bool) -> Data
     return (out if count is None else out.filter(F.col("_n") <= offset + count)).drop("_n")
 
 
+def zscan(z: DataFrame, key, after: tuple[float, str] | None, count: int) -> DataFrame:
+    """One page of a key in the order of (score, member), after the last pair seen."""
+    page = z.filter(F.col("key") == F.lit(key))
+    if after is not None:
+        s, m = after
+        page = page.filter((F.col("score") > s) | ((F.col("score") == s) & (F.col("member") > m)))
+    return page.orderBy("score", "member").limit(count)
+
+
 def zcount(z: DataFrame, low, high) -> DataFrame:
     return z.groupBy("key").agg(F.count_if(within_score(F.col("score"), low, high)).alias("n"))
 

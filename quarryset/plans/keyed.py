@@ -754,3 +754,69 @@ def geo_distance(s, d):
     n = load(s, d, "nation")
     k, r = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
     return n.select("n_nationkey", F.round(haversine(k, k * 0.0, r * 7.0, k * 3.0), 2).alias("metres"))
+
+
+@query(f"with {_HASH} select field from h where key = 7")
+def hkeys(s, d):
+    return hashes.hkeys(_hash(s, d), 7)
+
+
+@query(f"with {_HASH} select value from h where key = 7")
+def hvals(s, d):
+    return hashes.hvals(_hash(s, d), 7)
+
+
+@query(f"with {_HASH} select field, value from h where key = 7 and field > 'name' and field like '%a%' order by field limit 1")
+def hscan(s, d):
+    return hashes.hscan(_hash(s, d), 7, "name", 1, "*a*")
+
+
+@query(f"with {_SETS} select member from t where key = 3 and member > 50 order by member limit 10")
+def sscan(s, d):
+    return sets.sscan(_parts(s, d), 3, 50, 10)
+
+
+@query(f"with {_PRICES} select key, member, score from p where key = 'Brand#2' and (score > 905 or (score = 905 and member > '000000050')) order by score, member limit 10")
+def zscan(s, d):
+    return zsets.zscan(_prices(s, d), "Brand#2", (905.0, "000000050"), 10)
+
+
+@query("""with e as (select event_type as key, user_id as member, arg_max(value, event_id) as score from events where event_id < 300 group by 1, 2),
+n as (select event_type as key, user_id as member, arg_max(value, event_id) as score from events where event_id >= 300 group by 1, 2)
+select n.key, count(*) filter (where e.score is null) as added, count(*) filter (where e.score is null or e.score <> n.score) as changed from n left join e on e.key = n.key and e.member = n.member group by n.key""")
+def zadd_changed(s, d):
+    return zsets.zadd_changed(_ops(s, d).filter("seq >= 300"), zsets.zadd(_ops(s, d).filter("seq < 300")))
+
+
+@query("select p_partkey, chr(cast(ascii(p_name) | 64 as integer)) || substr(p_name, 2) as v from part")
+def setbit(s, d):
+    return load(s, d, "part").select("p_partkey", bits.setbit(F.col("p_name").cast("binary"), 1, 1).cast("string").alias("v"))
+
+
+@query("select c_custkey as key, c_mktsegment as value from customer where c_custkey not in (select s_suppkey from supplier) union all select s_suppkey as key, s_name as value from supplier")
+def mset(s, d):
+    e = load(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+    return strings.mset(e, load(s, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value")))
+
+
+@query("select distinct event_type as channel from events where event_type like '%i%'")
+def pubsub_channels(s, d):
+    e = load(s, d, "events").select(F.col("event_type").alias("pattern"), F.col("user_id").alias("subscriber"))
+    return pubsub.channels(e.unionByName(e.limit(3).withColumn("pattern", F.lit("x*i*"))), "*i*")
+
+
+@query("select node, cast(quantile_disc(duration, 0.5) as bigint) as p50, cast(quantile_disc(duration, 0.95) as bigint) as p95, cast(quantile_disc(duration, 0.99) as bigint) as p99 from slowlog where duration is not null group by node")
+def latency_percentiles(s, d):
+    return pubsub.latencies(load(s, d, "slowlog"), "node")
+
+
+@query("select user_id as key, count(*) as n, sum(case when event_type = 'purchase' then 1 else 0 end) as bought from events group by user_id having count(*) > 0")
+def replayed_counters(s, d):
+    """A log of INCR commands, replayed in order; the last reply of each counter is its value."""
+    from quarryset.streaming import replay
+
+    e = load(s, d, "events").select(F.col("user_id").cast("string").alias("group"), (F.col("event_id") * 2).alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.array(F.lit("INCRBY"), F.lit("n"), F.lit("1")).alias("argv"), "event_type")
+    b = e.withColumn("seq", F.col("seq") + 1).withColumn("argv", F.array(F.lit("INCRBY"), F.lit("bought"), F.when(F.col("event_type") == "purchase", "1").otherwise("0")))
+    out = replay.replay(e.drop("event_type").unionByName(b.drop("event_type")))
+    last = out.groupBy("group", (F.col("seq") % 2).alias("_k")).agg(F.max_by(F.col("reply").cast("bigint"), "seq").alias("v"))
+    return last.groupBy(F.col("group").cast("bigint").alias("key")).agg(F.max(F.when(F.col("_k") == 0, F.col("v"))).alias("n"), F.max(F.when(F.col("_k") == 1, F.col("v"))).alias("bought"))

@@ -347,3 +347,23 @@ def ft_spelling(s, d):
 def ft_tag(s, d):
     docs = load(s, d, "documents").select("doc_id", F.lower("lang").alias("lang"))
     return fulltext.search(fulltext.inverted(docs, "doc_id", [], ["lang"]), must=["lang:de"]).withColumn("lang", F.lit("de"))
+
+
+@query("with u as (select unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings) select cast(i as integer) as i, min(x) as lo, max(x) as hi from u group by i")
+def sq8_train(s, d):
+    return quantize.sq8_train(_points(s, d)).select(F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "_z")).select("i", "_z.lo", "_z.hi")
+
+
+@query("select vec_id, round(list_sum(embedding::double[]), 4) as total from embeddings")
+def vector_from_text(s, d):
+    """Vectors written as text and read back."""
+    p = _points(s, d).withColumn("t", F.array_join(F.transform("vector", lambda x: x.cast("string")), ", "))
+    return p.select(F.col("id").alias("vec_id"), F.round(F.aggregate(distance.from_text(F.col("t")).cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("""with e as (select vec_id as id, embedding::double[] as v from embeddings), s as (select a.id as qid, b.id, b.id % 2 as odd, round(list_cosine_similarity(a.v, b.v), 6) as score from e a, e b where a.id < 10),
+r as (select *, row_number() over (partition by qid order by score desc, id) as rank from s) select qid, avg(case when odd = 0 then 1.0 else 0.0 end) as recall from r where rank <= 10 group by qid""")
+def recall_at_k(s, d):
+    p = _points(s, d)
+    q = p.filter("id < 10").select(F.col("id").alias("qid"), "vector")
+    return vectors.recall(vectors.knn_batch(p.filter("id % 2 = 0"), q, 10), vectors.knn_batch(p, q, 10))

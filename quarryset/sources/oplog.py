@@ -100,14 +100,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("oplog").load(path)
 
 
-def with_select(ops: DataFrame) -> DataFrame:
-    """(seq, line): the log's text of each command, with a SELECT where the database changes.
+def lines(ops: DataFrame) -> DataFrame:
+    """(seq, line): the log's text of each command (seq, db, argv), in the order of seq.
 
-    `ops` is (seq, db, argv) in one order of seq; the sink writes lines in that order.
+    Commands are range-partitioned by seq. A SELECT comes before the first command of each
+    partition and wherever the database changes, so that each partition is a log of its own and
+    their files, read one after the other, are the whole log.
     """
-    from pyspark.sql import Window as W
 
-    changed = F.coalesce(F.col("db") != F.lag("db").over(W.orderBy("seq")), F.lit(True))
-    one = lambda argv: F.concat(F.lit("*"), F.size(argv).cast("string"), F.lit("\r\n"), F.array_join(F.transform(argv, lambda a: F.concat(F.lit("$"), F.octet_length(a).cast("string"), F.lit("\r\n"), a, F.lit("\r\n"))), ""))
-    select = one(F.array(F.lit("SELECT"), F.col("db").cast("string")))
-    return ops.select("seq", F.concat(F.when(changed, select).otherwise(F.lit("")), one(F.col("argv"))).alias("line"))
+    def run(batches):
+        import pyarrow as pa
+
+        last = None
+        for b in batches:
+            out = []
+            for db, argv in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                head = b"" if db == last else render(["SELECT", str(db)])
+                last = db
+                out.append(head + render(argv))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["seq", "line"])
+
+    ordered = ops.select(F.col("seq").cast("bigint"), F.col("db").cast("int"), "argv").filter("size(argv) > 0").repartitionByRange("seq").sortWithinPartitions("seq")
+    return ordered.mapInArrow(run, "seq bigint, line binary")
+
+
+def write(ops: DataFrame, path: str) -> None:
+    """Appends a log to a folder, a file for each partition. The line end that closes a command is
+    the one that the text sink writes."""
+    text = F.col("line").cast("string")
+    lines(ops).select(F.substring(text, F.lit(1), F.length(text) - 2).alias("value")).write.mode("append").option("lineSep", "\r\n").text(path)

@@ -36,6 +36,16 @@ def numsub(subscriptions: DataFrame) -> DataFrame:
     return subscriptions.groupBy(F.col("pattern").alias("channel")).agg(F.count_distinct("subscriber").alias("n"))
 
 
+def channels(subscriptions: DataFrame, pattern: str | None = None) -> DataFrame:
+    """Channels with subscribers; subscriptions that are patterns aren't channels."""
+    out = subscriptions.filter(~F.col("pattern").rlike(r"[*?\[\\]")).select(F.col("pattern").alias("channel")).distinct()
+    return out if pattern is None else out.filter(F.col("channel").rlike(glob_to_regex(pattern)))
+
+
+def numpat(subscriptions: DataFrame) -> DataFrame:
+    return subscriptions.filter(F.col("pattern").rlike(r"[*?\[\\]")).agg(F.count_distinct("pattern", "subscriber").alias("n"))
+
+
 def notifications(oplog: DataFrame, now_db: str = "db") -> DataFrame:
     """(channel, message) of keyspace and keyevent notifications for commands that write."""
     cmd = F.lower(F.get("argv", F.lit(0)))
@@ -74,5 +84,11 @@ def tumbling(events: DataFrame, ts: str, width: str, *by: str, late: str | None
     return rows.groupBy(F.window(ts, width).alias("_w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("_w.start").alias("start"), *by, "n")
 
 
+def latencies(log: DataFrame, *by: str) -> DataFrame:
+    """Median, 95th and 99th percentile of the durations there are (a value that occurs)."""
+    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by duration)")
+    return log.filter("duration is not null").groupBy(*by).agg(p(0.5).cast("bigint").alias("p50"), p(0.95).cast("bigint").alias("p95"), p(0.99).cast("bigint").alias("p99"))
+
+
 def slowest(log: DataFrame, k: int, at_least_us: int = 0) -> DataFrame:
     return log.filter(F.col("duration") >= at_least_us).orderBy(F.desc("duration"), "node", "id").limit(k)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Commands that touch no key but their first.
 SINGLE = ("set", "setnx", "getset", "append", "incrby", "decrby", "incr", "decr", "del", "lpush", "rpush", "lpop", "rpop", "sadd", "srem", "hset", "hdel", "hincrby", "zadd", "zincrby", "zrem", "expire", "pexpireat", "persist")
+#: Commands that write nothing.
+READS = ("get", "exists", "pttl", "llen")
 OUT = "group string, seq bigint, reply string"
 
 
@@ -23,7 +25,54 @@ class Keyspace:
     """Keys of all types. The clock is the command's own time; an expired key is absent."""
 
     def __init__(self, state: dict | None = None):
-        self.data: dict[str, list] = state or {}  # key: [kind, value, expire_at_ms]
+        state = state or {}
+        self.data: dict[str, list] = state.get("data", {})  # key: [kind, value, expire_at_ms]
+        self.version: dict[str, int] = state.get("version", {})  # writes so far, of watched keys only
+        self.clients: dict[str, dict] = state.get("clients", {})  # open transactions and watches
+
+    def state(self) -> dict:
+        return {"data": self.data, "version": self.version, "clients": self.clients}
+
+    def command(self, client: str, argv: list[str], now: int):
+        """The reply to a command of a client, transactions included.
+
+        MULTI queues what follows; EXEC runs it at once, without another client's commands between,
+        and replies with the list of replies, or null if a watched key was written since (by
+        anyone). An error in a queue doesn't undo the rest.
+        """
+        name = argv[0].lower()
+        mine = self.clients.setdefault(client, {"queue": None, "watch": {}})
+        try:
+            if name == "multi":
+                if mine["queue"] is not None:
+                    return "ERR MULTI calls can not be nested"
+                mine["queue"] = []
+                return "OK"
+            if name in ("exec", "discard"):
+                if mine["queue"] is None:
+                    return f"ERR {name.upper()} without MULTI"
+                queue, watch = mine["queue"], mine["watch"]
+                mine["queue"], mine["watch"] = None, {}
+                if name == "discard":
+                    return "OK"
+                if any(self.version.get(k, 0) != v for k, v in watch.items()):
+                    return None
+                return json.dumps([self.apply(a, now) for a in queue])
+            if name == "watch" and mine["queue"] is None:
+                for k in argv[1:]:
+                    mine["watch"][k] = self.version.setdefault(k, 0)
+                return "OK"
+            if name == "unwatch":
+                mine["watch"] = {}
+                return "OK"
+            if mine["queue"] is not None:
+                mine["queue"].append(argv)
+                return "QUEUED"
+            return self.apply(argv, now)
+        finally:
+            if mine["queue"] is None and not mine["watch"]:
+                self.clients.pop(client, None)
+                self.version = {k: v for k, v in self.version.items() if any(k in c["watch"] for c in self.clients.values())}
 
     def _get(self, key: str, kind: str, now: int, make=None):
         slot = self.data.get(key)
@@ -45,6 +94,10 @@ class Keyspace:
     def apply(self, argv: list[str], now: int):
         """The command's reply; errors are texts that start with ERR or WRONGTYPE."""
         name, args = argv[0].lower(), list(argv[1:])
+        if self.version and name not in READS:
+            for k in args:
+                if k in self.version:
+                    self.version[k] += 1
         try:
             return getattr(self, f"c_{name}")(now, *args)
         except TypeError as e:
@@ -227,12 +280,11 @@ class Keyspace:
         return n
 
 
-def run(commands: list[tuple[int, int, int | None, list[str]]], keyspace: Keyspace) -> list[tuple[int, str | None]]:
-    """Replies of (seq, ts_ms, txn, argv) in order. Commands of one transaction that come together
-    are applied together; each has its own reply."""
+def run(commands: list[tuple[int, int, str, list[str]]], keyspace: Keyspace) -> list[tuple[int, str | None]]:
+    """Replies to (seq, ts_ms, client, argv), in the order of seq. An empty command is an error."""
     out = []
-    for seq, now, _, argv in sorted(commands, key=lambda c: c[0]):
-        reply = keyspace.apply(argv, now)
+    for seq, now, client, argv in sorted(commands, key=lambda c: c[0]):
+        reply = keyspace.command(client, argv, now) if argv else "ERR empty command"
         out.append((seq, None if reply is None else str(reply)))
     return out
 
@@ -240,19 +292,20 @@ def run(commands: list[tuple[int, int, int | None, list[str]]], keyspace: Keyspa
 def grouped(oplog: DataFrame) -> DataFrame:
     """Adds `group`: the database, and the key too where only single-key commands occur in it is up
     to the caller, who may pass a log that already has the column."""
-    if "group" in oplog.columns:
-        return oplog
-    return oplog.withColumn("group", F.col("db").cast("string"))
+    out = oplog if "group" in oplog.columns else oplog.withColumn("group", F.col("db").cast("string"))
+    client = F.col("client").cast("string") if "client" in oplog.columns else F.lit("")
+    return out.select("group", "seq", "ts_ms", F.coalesce(client, F.lit("")).alias("client"), "argv")
 
 
 def replay(oplog: DataFrame) -> DataFrame:
-    """(group, seq, reply) of a log (group or db, seq, ts_ms, argv), each group in order (batch)."""
+    """(group, seq, reply) of a log (group or db, seq, ts_ms, argv, and client if there are several),
+    each group in order (batch)."""
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        got = run([(int(r.seq), int(r.ts_ms), None, list(r.argv)) for r in rows.itertuples()], Keyspace())
+        got = run([(int(r.seq), int(r.ts_ms), r.client, list(r.argv)) for r in rows.itertuples()], Keyspace())
         return pd.DataFrame({"group": key[0], "seq": [s for s, _ in got], "reply": [r for _, r in got]})
 
-    return grouped(oplog).select("group", "seq", "ts_ms", "argv").groupBy("group").applyInPandas(one, OUT)
+    return grouped(oplog).groupBy("group").applyInPandas(one, OUT)
 
 
 def replay_stream(oplog: DataFrame) -> DataFrame:
@@ -261,9 +314,9 @@ def replay_stream(oplog: DataFrame) -> DataFrame:
 
     def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         keys = Keyspace(json.loads(state.get[0]) if state.exists else {})
-        rows = [(int(r.seq), int(r.ts_ms), None, list(r.argv)) for b in batches for r in b.itertuples()]
+        rows = [(int(r.seq), int(r.ts_ms), r.client, list(r.argv)) for b in batches for r in b.itertuples()]
         got = run(rows, keys)
-        state.update((json.dumps(keys.data),))
+        state.update((json.dumps(keys.state()),))
         yield pd.DataFrame({"group": key[0], "seq": [s for s, _ in got], "reply": [r for _, r in got]})
 
-    return grouped(oplog).select("group", "seq", "ts_ms", "argv").groupBy("group").applyInPandasWithState(one, OUT, "keys string", "append", GroupStateTimeout.NoTimeout)
+    return grouped(oplog).groupBy("group").applyInPandasWithState(one, OUT, "keys string", "append", GroupStateTimeout.NoTimeout)

@@ -12,10 +12,13 @@ from quarryset.streaming import pubsub, replay
 
 def test_log_round_trip(spark, tmp_path):
     ops = [(1, 0, ["SET", "k", "välue"]), (2, 0, ["LPUSH", "l", ""]), (3, 2, ["DEL", "k", "l"])]
-    lines = oplog.with_select(spark.createDataFrame(ops, "seq int, db int, argv array<string>")).orderBy("seq").collect()
-    (tmp_path / "a.log").write_bytes("".join(r.line for r in lines).encode() + b"*2\r\n$3\r\nGET\r\n$5\r\ncut")
+    df = spark.createDataFrame(ops, "seq int, db int, argv array<string>")
+    lines = oplog.lines(df).orderBy("seq").collect()
+    (tmp_path / "a.log").write_bytes(b"".join(bytes(r.line) for r in lines) + b"*2\r\n$3\r\nGET\r\n$5\r\ncut")
     got = oplog.read(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r.db, r.argv) for r in got] == [(db, argv) for _, db, argv in ops]
+    oplog.write(df, str(tmp_path / "log"))
+    assert sorted((r.db, r.argv) for r in oplog.read(spark, str(tmp_path / "log" / "part-*")).collect()) == sorted((db, argv) for _, db, argv in ops)
 
 
 def test_broken_log():
@@ -81,3 +84,21 @@ def test_sorted_storage(spark, tmp_path):
     assert sum(s.rows for s in seg) == 100
     assert all(a.greatest < b.least for a, b in zip(seg, seg[1:], strict=False))
     assert live(docs, spark.range(10).withColumnRenamed("id", "doc_id")).count() == 90
+
+
+def test_transactions_and_watches(spark):
+    log = [("a", ["WATCH", "k"]), ("b", ["SET", "k", "1"]), ("a", ["MULTI"]), ("a", ["INCR", "k"]), ("a", ["EXEC"]), ("a", ["MULTI"]), ("b", ["SET", "k", "5"]), ("a", ["INCR", "k"]), ("a", ["LPUSH", "k", "x"]), ("a", ["GET", "k"]), ("a", ["EXEC"]), ("a", ["EXEC"]), ("a", ["MULTI"]), ("a", ["SET", "k", "9"]), ("a", ["DISCARD"]), ("b", ["GET", "k"]), ("a", ["WATCH", "k"]), ("b", ["GET", "k"]), ("a", ["MULTI"]), ("a", ["EXEC"])]
+    df = spark.createDataFrame([(i, 0, 100, c, argv) for i, (c, argv) in enumerate(log)], "seq long, db int, ts_ms long, client string, argv array<string>")
+    got = [r.reply for r in replay.replay(df).orderBy("seq").collect()]
+    assert got == ["OK", "OK", "OK", "QUEUED", None, "OK", "OK", "QUEUED", "QUEUED", "QUEUED", '[6, "WRONGTYPE", "6"]', "ERR EXEC without MULTI", "OK", "QUEUED", "OK", "6", "OK", "6", "OK", "[]"]
+
+
+def test_running_totals(spark):
+    from quarryset.operators.ordering import running_total
+
+    df = spark.createDataFrame([(i * 7 % 101, i % 5) for i in range(101)], "k int, v int").repartition(6)
+    got = {r.k: r.t for r in running_total(df, ["k"], "v", "t").collect()}
+    rows, total = sorted((r.k, r.v) for r in df.collect()), 0
+    for k, v in rows:
+        assert got[k] == total
+        total += v
