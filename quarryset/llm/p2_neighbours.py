@@ -103,17 +103,12 @@ def _cells(nodes: DataFrame, seeds: list[dict[str, np.ndarray]], counts: dict[st
     return nodes.select("space", "id", "copies", "vec").mapInArrow(place, "space string, id bigint, copies boolean, vec binary, c0 int, c1 int")
 
 
-def _scored(x: np.ndarray, y: np.ndarray, x64: np.ndarray, y64: np.ndarray, xid: np.ndarray, yid: np.ndarray, k: int, low: np.ndarray | None = None):
-    """The k best of y for each row of x: (row, column, cosine in millionths).
-
-    `low` bounds the score of each row's entries from below, which leaves few to look at.
-    """
+def _scored(x: np.ndarray, y: np.ndarray, x64: np.ndarray, y64: np.ndarray, xid: np.ndarray, yid: np.ndarray, k: int):
+    """The k best of y for each row of x: (row, column, cosine in millionths)."""
     got = []
     step = max(1, 8_000_000 // max(1, len(y)))
     for s in range(0, len(x), step):
-        sims = x[s : s + step] @ y.T
-        hit = None if low is None else np.flatnonzero(sims >= ((low[s : s + step] - 1) / 1e6).astype(np.float32)[:, None])
-        r, c = np.divmod(hit, len(y)) if hit is not None and len(hit) <= 4 * k * len(sims) else top_k(sims, k + 1)
+        r, c = top_k(x[s : s + step] @ y.T, k + 1)
         keep = xid[r + s] != yid[c]
         r, c = r[keep], c[keep]
         cos = np.round(np.einsum("ij,ij->i", x64[r + s], y64[c]), 6)
@@ -157,12 +152,29 @@ def _meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     raw = unpack(t.column("vec"))
     x, x64 = unit(raw), unit64(raw)
     out = []
-    for a, b in ((own, vis), (vis, own)):
-        r, c, score = _scored(x[a], x[b], x64[a], x64[b], ids[a], ids[b], KEEP, low[a])
-        if not len(r):
-            continue
-        a, r = a[np.unique(r)], np.searchsorted(np.unique(r), r)  # rows without news aren't sent
-        out.append(_table(key[0].as_py(), ids[a], homes[a], r, ids[b][c], score, homes[b][c]))
+    bound = ((low - 1) / 1e6).astype(np.float32)
+    mine: list[np.ndarray] = []
+    theirs: list[np.ndarray] = []
+    step = max(1, 8_000_000 // len(own))
+    for s in range(0, len(vis), step):
+        v = vis[s : s + step]
+        sims = x[v] @ x[own].T
+        hit = np.flatnonzero(sims >= bound[v][:, None])
+        r, c = np.divmod(hit, len(own)) if len(hit) <= 4 * KEEP * len(v) else top_k(sims, KEEP)
+        theirs.append(np.stack([v[r], own[c]]))
+        hit = np.flatnonzero(sims >= bound[own][None])
+        if len(hit) <= 4 * KEEP * len(own):
+            r, c = np.divmod(hit, len(own))
+        else:
+            c, r = top_k(np.ascontiguousarray(sims.T), KEEP)
+        mine.append(np.stack([own[c], v[r]]))
+    for pairs in (np.concatenate(mine, 1), np.concatenate(theirs, 1)):
+        a, b = pairs[:, np.argsort(pairs[0], kind="stable")]
+        if len(a):
+            rows, r = np.unique(a, return_inverse=True)  # rows without news aren't sent
+            cos = np.round(np.einsum("ij,ij->i", x64[a], x64[b]), 6)
+            r, c, cos = best(r, b, cos, ids[b], len(rows), KEEP)
+            out.append(_table(key[0].as_py(), ids[rows], homes[rows], r, ids[c], np.rint(cos * 1e6).astype(np.int32), homes[c]))
     return pa.concat_tables(out) if out else _table("", none, none, none, none, none, none)
 
 
