@@ -53,7 +53,7 @@ def search(stored: DataFrame, centroids: DataFrame, queries: DataFrame, k: int,
     with the probes prunes its partitions at run time."""
     hits = stored.join(probes(centroids, queries, config.probes), "list_id").select("qid", "id", F.round(score(F.col("vector"), F.col("query"), config.metric), 6).alias("score"))
     w = W.partitionBy("qid").orderBy(F.asc("score") if config.metric == "l2" else F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def two_stage(points: DataFrame, candidates: DataFrame, query: list[float], k: int, metric: str = "cosine") -> DataFrame:

@@ -92,7 +92,7 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
         out = part if out is None else out.unionByName(part)
     order = F.desc("score") if sign > 0 else F.asc("score")
     w = W.partitionBy("qid").orderBy(order, "id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def knn_join(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
@@ -100,7 +100,7 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     s = F.round(score(F.col("p.vector"), F.col("q.vector"), metric), 6)
     pairs = queries.alias("q").join(points.alias("p"), F.size("p.vector") == F.size("q.vector")).select("q.qid", "p.id", s.alias("score"))
     w = W.partitionBy("qid").orderBy(F.desc("score") if metric in SIMILARITIES else F.asc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def upsert(points: DataFrame, new: DataFrame) -> DataFrame:

@@ -810,7 +810,7 @@ def latency_percentiles(s, d):
     return pubsub.latencies(load(s, d, "slowlog"), "node")
 
 
-@query("select user_id as key, count(*) as n, sum(case when event_type = 'purchase' then 1 else 0 end) as bought from events group by user_id having count(*) > 0")
+@query("select user_id as key, count(*) as n, cast(sum(case when event_type = 'purchase' then 1 else 0 end) as bigint) as bought from events group by user_id having count(*) > 0")
 def replayed_counters(s, d):
     """A log of INCR commands, replayed in order; the last reply of each counter is its value."""
     from quarryset.streaming import replay
