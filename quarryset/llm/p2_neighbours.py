@@ -106,7 +106,7 @@ def _cells(nodes: DataFrame, seeds: list[dict[str, np.ndarray]], counts: dict[st
 def _scored(x: np.ndarray, y: np.ndarray, x64: np.ndarray, y64: np.ndarray, xid: np.ndarray, yid: np.ndarray, k: int):
     """The k best of y for each row of x: (row, column, cosine in millionths)."""
     got = []
-    step = max(1, 8_000_000 // max(1, len(y)))
+    step = max(1, 2_000_000 // max(1, len(y)))
     for s in range(0, len(x), step):
         r, c = top_k(x[s : s + step] @ y.T, k + 1)
         keep = xid[r + s] != yid[c]
@@ -155,7 +155,7 @@ def _meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     bound = ((low - 1) / 1e6).astype(np.float32)
     mine: list[np.ndarray] = []
     theirs: list[np.ndarray] = []
-    step = max(1, 8_000_000 // len(own))
+    step = max(1, 2_000_000 // len(own))
     for s in range(0, len(vis), step):
         v = vis[s : s + step]
         sims = x[v] @ x[own].T
@@ -249,8 +249,9 @@ def build(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     total = sum(counts.values())
     if not total:
         return spark.createDataFrame([], GRAPH), spark.createDataFrame([], "space string, rep bigint, id bigint")
-    want = {s: min(MOST_SEEDS, math.ceil(n / FINE)) for s, n in counts.items()}
-    seeds = [_sample(records, want, counts, salt) for salt in (11, 12)]
+    want = {s: 2 * min(MOST_SEEDS, math.ceil(n / FINE)) for s, n in counts.items()}
+    drawn = _sample(records, want, counts, 11)
+    seeds = [{s: x[i::2] if len(x) > 1 else x for s, x in drawn.items()} for i in (0, 1)]
     grouped = records.groupBy("space", "vec").agg(F.min("id").alias("id"), F.max("id").alias("_max")).withColumn("copies", F.col("id") < F.col("_max"))
     placed = scratch.write(_cells(grouped, seeds, counts), "placed")
     members = scratch.write(records.join(placed.filter("copies").select("space", F.col("id").alias("rep"), "vec"), ["space", "vec"]).select("space", "rep", "id").distinct(), "members")
@@ -277,10 +278,11 @@ def build(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         seen = visits if seen is None else seen.unionByName(visits)
         known = graph.select("space", "id", "home", F.expr("if(home < 0, -1 - home, home)").alias("cell"), "vec", F.expr(LOW).alias("low"))
         guests = visits.join(known.drop("cell"), ["space", "id"]).withColumn("visitor", F.lit(True))
-        met = known.withColumn("visitor", F.lit(False)).unionByName(guests).groupBy("space", "cell").applyInArrow(_meet, LISTS)
+        met = scratch.write(known.withColumn("visitor", F.lit(False)).unionByName(guests).groupBy("space", "cell").applyInArrow(_meet, LISTS), "met")
+        del guests, known
+        scratch.drop()  # what the meeting shuffled isn't needed for the merge
         better = merged(graph.drop("fresh").withColumn("age", F.lit(0)), met)
-        del guests, met, known
-        scratch.drop(graph)
+        scratch.drop(graph, met)
         graph = better
         changed = graph.agg(F.sum(F.expr("aggregate(fresh, 0L, (a, f) -> a + if(f, 1L, 0L))"))).first()[0] or 0
         if changed < ENOUGH * total * KEEP:

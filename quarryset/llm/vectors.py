@@ -168,11 +168,19 @@ def top_k(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n, m = sims.shape
     if m <= 4 * k:
         return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
-    width = max(1, m // (12 * k))
-    full = m // width * width
-    peak = sims[:, :full].reshape(n, width, -1).max(1) if width > 1 else sims  # over strides: whole rows at once
+    width = max(1, m // (40 * k))
+    chunks = m // width
+    full = chunks * width
+    peak = sims[:, :full].reshape(n, width, chunks).max(1) if width > 1 else sims  # a chunk's columns lie `chunks` apart
     bound = -np.partition(-peak, k - 1, axis=1)[:, k - 1]
-    return np.divmod(np.flatnonzero(sims >= bound[:, None]), m)
+    r, g = np.divmod(np.flatnonzero(peak >= bound[:, None]), chunks)
+    if width == 1:
+        return r, g
+    at, j = np.nonzero(sims[r[:, None], g[:, None] + chunks * np.arange(width)] >= bound[r][:, None])
+    tail, col = np.nonzero(sims[:, full:] >= bound[:, None])
+    rows, cols = np.concatenate([r[at], tail]), np.concatenate([g[at] + chunks * j, col + full])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], cols[order]
 
 
 def best(rows: np.ndarray, cols: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
