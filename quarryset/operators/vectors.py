@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarryset.functions.distance import SIMILARITIES, score
 
@@ -53,6 +54,7 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     spark, sign = points.sparkSession, 1.0 if metric in SIMILARITIES else -1.0
     rows = points.filter(usable(F.col(vector), dim)).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     id_kind, q_kind = rows.schema["id"].dataType.simpleString(), asked.schema["qid"].dataType.simpleString()
+    id_arrow, q_arrow = (to_arrow_type(d.schema[c].dataType) for d, c in ((rows, "id"), (asked, "qid")))
     out = None
     for b in range(blocks):
         mine = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).orderBy("qid").collect()
@@ -60,33 +62,40 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
 
         def best(batches, shared=shared):
             qids, q = shared.value
-            kept: list[tuple[np.ndarray, np.ndarray]] | None = None
+            if not len(qids):
+                return
+            kept_row, kept_id, kept_score = np.zeros(0, np.int64), None, np.zeros(0)
             lengths = np.sqrt((q * q).sum(1))
             for batch in batches:
-                if not batch.num_rows or not len(qids):
+                if not batch.num_rows:
                     continue
-                x, ids = _matrix(batch.column(1)), np.array(batch.column(0).to_pylist(), object)
-                s = q @ x.T
-                if metric == "cosine":
-                    n = lengths[:, None] * np.sqrt((x * x).sum(1))[None]
-                    s = np.where(n > 0, s / np.where(n > 0, n, 1), 0.0)
-                elif metric == "l2":
-                    s = np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * s))
-                s = np.round(s, 6) * sign
-                new = []
-                for i in range(len(qids)):
-                    si, di = s[i], ids
-                    if kept:
-                        si, di = np.concatenate([kept[i][0], si]), np.concatenate([kept[i][1], ids])
-                    if len(si) > k:
-                        edge = -np.partition(-si, k - 1)[k - 1]
-                        c = np.flatnonzero(si >= edge)
-                        si, di = si[c], di[c]
-                    order = sorted(range(len(si)), key=lambda j: (-si[j], di[j]))[:k]
-                    new.append((si[order], di[order]))
-                kept = new
-            for i, (si, di) in enumerate(kept or []):
-                yield pa.RecordBatch.from_pydict({"qid": [qids[i]] * len(si), "id": list(di), "score": si * sign + 0.0})
+                x = _matrix(batch.column(1))
+                ids = np.array(batch.column(0).to_pylist())  # numbers, or texts in the order of code points
+                own = np.sqrt((x * x).sum(1))
+                new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                step = max(1, 4_000_000 // len(x))
+                for f in range(0, len(q), step):
+                    s = q[f : f + step] @ x.T
+                    n = lengths[f : f + step, None]
+                    if metric == "cosine":
+                        both = n * own[None]
+                        s = np.where(both > 0, s / np.where(both > 0, both, 1), 0.0)
+                    elif metric == "l2":
+                        s = -np.sqrt(np.maximum(0, n * n + own[None] ** 2 - 2 * s))
+                    s = np.round(s, 6)
+                    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] if s.shape[1] > k else -np.inf
+                    r, c = np.nonzero(s >= edge)
+                    new.append((r + f, ids[c], s[r, c]))
+                row = np.concatenate([kept_row, *(t[0] for t in new)])
+                who = np.concatenate([*([] if kept_id is None else [kept_id]), *(t[1] for t in new)])
+                score_ = np.concatenate([kept_score, *(t[2] for t in new)])
+                order = np.lexsort((who, -score_, row))
+                rank = np.arange(len(order)) - np.searchsorted(row[order], np.arange(len(q)))[row[order]]
+                order = order[rank < k]
+                kept_row, kept_id, kept_score = row[order], who[order], score_[order]
+            for f in range(0, len(kept_row), 50_000):
+                e = slice(f, f + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in kept_row[e]], q_arrow), pa.array(kept_id[e].tolist(), id_arrow), pa.array(kept_score[e] * sign + 0.0)], names=["qid", "id", "score"])
 
         part = rows.mapInArrow(best, f"qid {q_kind}, id {id_kind}, score double")
         out = part if out is None else out.unionByName(part)
