@@ -92,15 +92,12 @@ def scroll(s, d):
 
 @query("""select collection, id, uid, len(vector) as n from (select distinct * from points where uid is not null) p where not exists (select 1 from upserts u where u.collection = p.collection and u.id = p.id)
 union all select collection, id, arg_max(uid, seq) as uid, len(max_by(vector, seq)) as n from (select collection, id, seq, uid, coalesce(vector, []) as vector from upserts) group by 1, 2""")
-def qdrant_upsert(s, d):
+def upsert(s, d):
     p = load(s, d, "points").distinct().select("collection", "id", "uid", "vector")
     u = load(s, d, "upserts").select("collection", "id", "uid", F.coalesce("vector", F.array().cast("array<float>")).alias("vector"), "seq")
     return vectors.upsert(p, u).select("collection", "id", "uid", F.when(F.col("vector").isNotNull(), F.size("vector")).cast("bigint").alias("n"))
 
 
-QUERIES["upsert"], SQL["upsert"] = QUERIES.pop("qdrant_upsert"), SQL.pop("qdrant_upsert")
-
-
 @query("select distinct collection, id from points where not exists (select 1 from upserts u where u.collection = points.collection and u.id = points.id)")
 def delete_ids(s, d):
     return vectors.delete(load(s, d, "points").select("collection", "id").distinct(), load(s, d, "upserts"))
