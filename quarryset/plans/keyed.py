@@ -506,12 +506,12 @@ def bitpos(s, d):
 
 def _bitop(op, fold):
     # names of one length, so that bytes are columns in SQL
-    sql = f"""with t as (select event_type as key, lpad(cast(event_id as varchar), 4, '0') as v from events where event_id < 10000),
-    b as (select key, i, cast({fold}(ascii(substr(v, i, 1))) as bigint) as b from t, (select unnest([1, 2, 3, 4]) as i) group by key, i)
+    sql = f"""with t as (select event_type as key, lpad(cast(event_id as varchar), 9, '0') as v from events),
+    b as (select key, i, cast({fold}(ascii(substr(v, i, 1))) as bigint) as b from t, (select unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) as i) group by key, i)
     select key, upper(string_agg(lpad(hex(b), 2, '0'), '' order by i)) as value from b group by key"""
 
     def run(s, d):
-        t = load(s, d, "events").filter("event_id < 10000").select(F.col("event_type").alias("key"), F.lpad(F.col("event_id").cast("string"), 4, "0").cast("binary").alias("value"))
+        t = load(s, d, "events").select(F.col("event_type").alias("key"), F.lpad(F.col("event_id").cast("string"), 9, "0").cast("binary").alias("value"))
         return bits.bitop(t, "key", "value", op).select("key", F.hex("value").alias("value"))
 
     query(sql, f"bitop_{op}")(run)
