@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryset.functions.text import from_end, in_slice
+from quarryset.operators.ordering import accumulated
 
 
 def _front():
@@ -17,17 +18,13 @@ def _back():
     return W.partitionBy("key").orderBy(F.desc("pos"))
 
 
-def _all():
-    return W.partitionBy("key")
-
-
 def indexed(items: DataFrame) -> DataFrame:
-    """Adds `i`, the 0-based index, and `len`."""
-    return items.withColumn("i", (F.row_number().over(_front()) - 1).cast("bigint")).withColumn("len", F.count(F.lit(1)).over(_all()))
+    """Adds `i`, the 0-based index, and `len`; a long list is no single task's work."""
+    return accumulated(items, "key", ["pos"], None, "i", "len").withColumn("i", F.col("i") - 1)
 
 
 def renumbered(items: DataFrame) -> DataFrame:
-    return items.withColumn("pos", (F.row_number().over(_front()) - 1).cast("bigint"))
+    return accumulated(items, "key", ["pos"], None, "_i").withColumn("pos", F.col("_i") - 1).drop("_i")
 
 
 def push(items: DataFrame, new: DataFrame, left: bool, only_existing: bool = False) -> DataFrame:
@@ -40,7 +37,8 @@ def push(items: DataFrame, new: DataFrame, left: bool, only_existing: bool = Fal
 
 def pop(items: DataFrame, left: bool, n: int = 1) -> DataFrame:
     """What is left after taking n from an end of each list."""
-    return items.withColumn("_n", F.row_number().over(_front() if left else _back())).filter(F.col("_n") > n).drop("_n")
+    gone = popped(items.select("key", "pos"), left, n)
+    return items.join(gone, ["key", "pos"], "left_anti")
 
 
 def popped(items: DataFrame, left: bool, n: int = 1) -> DataFrame:
@@ -81,9 +79,9 @@ def lrem(items: DataFrame, n: int, value) -> DataFrame:
     hit = F.col("value") == F.lit(value)
     if n == 0:
         return renumbered(items.filter(~F.coalesce(hit, F.lit(False))))
-    w = W.partitionBy("key", "value").orderBy("pos" if n > 0 else F.desc("pos"))
-    kept = items.withColumn("_n", F.row_number().over(w)).filter(~F.coalesce(hit & (F.col("_n") <= abs(n)), F.lit(False))).drop("_n")
-    return renumbered(kept)
+    w = W.partitionBy("key").orderBy("pos" if n > 0 else F.desc("pos"))
+    gone = items.filter(hit).select("key", "pos").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= abs(n))
+    return renumbered(items.join(gone.select("key", "pos"), ["key", "pos"], "left_anti"))
 
 
 def lset(items: DataFrame, index: int, value) -> DataFrame:
@@ -97,5 +95,4 @@ def linsert(items: DataFrame, pivot, value, before: bool = True) -> DataFrame:
     at = items.filter(F.col("value") == F.lit(pivot)).groupBy("key").agg(F.min("pos").alias("pos"))
     new = at.select("key", "pos", F.lit(0 if before else 2).alias("_o"), F.lit(value).alias("value"))
     every = items.select("key", "pos", F.lit(1).alias("_o"), "value").unionByName(new)
-    w = W.partitionBy("key").orderBy("pos", "_o")
-    return every.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")).drop("_o")
+    return accumulated(every, "key", ["pos", "_o"], None, "_i").withColumn("pos", F.col("_i") - 1).drop("_i", "_o")

@@ -23,3 +23,24 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
     shift = sums.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
     within = F.coalesce(F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return parts.withColumn("_in", within).join(shift, "_part").withColumn(name, F.col("_in") + F.col("_shift")).drop("_part", "_in", "_shift")
+
+
+def accumulated(df: DataFrame, key: str, order: list[str], value: str | None, name: str, total: str | None = None) -> DataFrame:
+    """Adds the running sum of `value` (of rows, if None) within each key, this row included, and
+    with `total` the key's sum. The order must be total within a key.
+
+    A key of any size spreads over the range partitions of (key, order): each sums its own rows, and
+    a table with one row for each key and partition holds what comes before. No task sees more than
+    its partition, however hot a key is. Nulls in `value` count as 0.
+    """
+    scratch = Scratch(df.sparkSession, "order")
+    parts = scratch.write(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "parts")
+    v = F.lit(1).cast("bigint") if value is None else F.coalesce(F.col(value), F.lit(0))
+    here = parts.groupBy("_part", key).agg(F.sum(v).alias("_here"))
+    by_key = W.partitionBy(key)
+    before = here.select(F.col("_part").alias("_p"), F.col(key).alias("_k"), (F.sum("_here").over(by_key.orderBy("_part")) - F.col("_here")).alias("_before"), F.sum("_here").over(by_key).alias("_total"))
+    within = parts.withColumn("_in", F.sum(v).over(W.partitionBy("_part", key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    out = within.join(before, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k"))).withColumn(name, F.col("_in") + F.col("_before"))
+    if total:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_part", "_in", "_p", "_k", "_before", "_total")

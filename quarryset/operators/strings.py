@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _seq():
-    return W.partitionBy("key").orderBy("seq")
+from quarryset.operators.ordering import accumulated
 
 
 def set_last(writes: DataFrame) -> DataFrame:
@@ -48,7 +45,8 @@ def mget(existing: DataFrame, asked: DataFrame) -> DataFrame:
 
 def getset(writes: DataFrame) -> DataFrame:
     """(key, seq, old): what each write replaced."""
-    return writes.select("key", "seq", F.lag("value").over(_seq()).alias("old"))
+    p = accumulated(writes.select("key", "seq", "value"), "key", ["seq"], None, "_i")
+    return p.join(p.select("key", (F.col("_i") + 1).alias("_i"), F.col("value").alias("old")), ["key", "_i"], "left").select("key", "seq", "old")
 
 
 def append(writes: DataFrame) -> DataFrame:
@@ -59,7 +57,7 @@ def append(writes: DataFrame) -> DataFrame:
 
 def running(deltas: DataFrame) -> DataFrame:
     """(key, seq, value): a counter after each increment."""
-    return deltas.select("key", "seq", F.sum("delta").over(_seq()).alias("value"))
+    return accumulated(deltas.select("key", "seq", "delta"), "key", ["seq"], "delta", "value").drop("delta")
 
 
 def incrby(existing: DataFrame, deltas: DataFrame) -> DataFrame:

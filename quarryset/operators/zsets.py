@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryset.functions.text import in_slice, within_lex, within_score
+from quarryset.operators.ordering import accumulated
 
 
 def _order():
@@ -48,23 +49,25 @@ def zincrby(ops: DataFrame) -> DataFrame:
 
 
 def ranked(z: DataFrame) -> DataFrame:
-    """Adds the 0-based `rank` and the size `card` of each key."""
-    return z.withColumn("rank", (F.row_number().over(_order()) - 1).cast("bigint")).withColumn("card", F.count(F.lit(1)).over(W.partitionBy("key")))
+    """Adds the 0-based `rank` and the size `card` of each key; a hot key is no single task's work."""
+    return accumulated(z, "key", ["score", "member"], None, "rank", "card").withColumn("rank", F.col("rank") - 1)
 
 
 def zrange(z: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
     """(key, member, score, rank) of a slice by rank. Slices that start at the front need only the
     first rows of each key, which Spark cuts before the shuffle."""
-    order = _back() if reverse else _order()
-    pos = (F.row_number().over(order) - 1).cast("bigint")
     if start >= 0 and stop >= 0:
+        pos = (F.row_number().over(_back() if reverse else _order()) - 1).cast("bigint")
         return z.withColumn("rank", pos).filter((F.col("rank") <= stop) & (F.col("rank") >= start))
-    r = z.withColumn("rank", pos).withColumn("_card", F.count(F.lit(1)).over(W.partitionBy("key")))
-    return r.filter(in_slice(F.col("rank"), start, stop, F.col("_card"))).drop("_card")
+    return _turned(ranked(z), reverse).filter(in_slice(F.col("rank"), start, stop, F.col("card"))).drop("card")
 
 
 def zrank(z: DataFrame, reverse: bool = False) -> DataFrame:
-    return z.withColumn("rank", (F.row_number().over(_back() if reverse else _order()) - 1).cast("bigint"))
+    return _turned(ranked(z), reverse).drop("card")
+
+
+def _turned(r: DataFrame, reverse: bool) -> DataFrame:
+    return r.withColumn("rank", F.col("card") - 1 - F.col("rank")) if reverse else r
 
 
 def zrangebyscore(z: DataFrame, low, high, offset: int = 0, count: int | None = None, reverse: bool = False) -> DataFrame:

@@ -6,10 +6,10 @@ All of them work on static and streaming inputs unless said otherwise.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryset.functions.text import glob_to_regex
+from quarryset.operators.ordering import accumulated
 
 
 def deliveries(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -59,9 +59,8 @@ def blocking_pops(pushes: DataFrame, pops: DataFrame) -> DataFrame:
 
     Columns: key, seq of the pop, value. Without a push the value is null.
     """
-    w = W.partitionBy("key").orderBy("seq")
-    a = pushes.select("key", F.row_number().over(w).alias("_n"), "value")
-    b = pops.select("key", "seq", F.row_number().over(w).alias("_n"))
+    a = accumulated(pushes.select("key", "seq", "value"), "key", ["seq"], None, "_n").drop("seq")
+    b = accumulated(pops.select("key", "seq"), "key", ["seq"], None, "_n")
     return b.join(a, ["key", "_n"], "left").select("key", "seq", "value")
 
 

@@ -102,3 +102,17 @@ def test_running_totals(spark):
     for k, v in rows:
         assert got[k] == total
         total += v
+
+
+def test_a_hot_key_spreads_over_partitions(spark):
+    from quarryset.operators.ordering import accumulated
+
+    df = spark.createDataFrame([("hot", i, i % 3) for i in range(400)] + [(f"k{i}", 0, 1) for i in range(9)] + [(None, 1, 2), (None, 2, None)], "key string, o int, v int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {(r.key, r.o): (r.t, r.n) for r in accumulated(df, "key", ["o"], "v", "t", "n").collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 411 and got[None, 2] == (2, 2) and got["k3", 0] == (1, 1)
+    total = 0
+    for i in range(400):
+        total += i % 3
+        assert got["hot", i] == (total, 399)
