@@ -197,7 +197,7 @@ def search(texts: list[str], index: Passages) -> tuple[np.ndarray, np.ndarray, n
         order = many[np.lexsort((place[many], b[many], who[many], doc[many]))]
         d, w, k, p, g = doc[order], who[order], b[order], place[order], diagonal[order]
         if not len(d):
-            break
+            continue
         new = np.ones(len(d), bool)
         new[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (k[1:] != k[:-1])
         first = np.flatnonzero(new)

@@ -88,6 +88,16 @@ def test_few_edits_are_found_but_not_exact(spark):
     assert [(r.doc_id, r.edits, r.exact) for r in got] == [(1, 1, False)]
 
 
+@pytest.mark.parametrize("at", range(2, 14))
+def test_a_near_match_is_found_wherever_it_lies_and_whatever_else_is_in_its_batch(at):
+    p = sentence(random.Random(5), 12)
+    changed = p[:40] + "x" + p[40:]  # neither side alone has as many q-grams as the lemma demands
+    text = "z" * (at - 1) + " " + changed + " after it"
+    index = p7_leaks.Passages({p: [7]})
+    assert [x.tolist() for x in p7_leaks.search([text], index)] == [[0], [0], [0], [1]]
+    assert [x.tolist() for x in p7_leaks.search([text, p], index)] == [[0, 1], [0, 0], [0, 0], [1, 0]]
+
+
 @pytest.mark.parametrize(
     ("text", "state"),
     [
