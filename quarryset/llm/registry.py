@@ -9,6 +9,7 @@ QUERIES = {
     "p1_groups": p1_clusters.p1_groups,
     "p2_found": p2_neighbours.p2_found,
     "p2_neighbours": p2_neighbours.p2_neighbours,
+    "p2_search": p2_neighbours.p2_search,
     "p3_percentiles": p3_percentiles.p3_percentiles,
     "p3_spans": p3_percentiles.p3_spans,
     "p4_subset": p4_subset.p4_subset,

@@ -123,6 +123,24 @@ def test_graph_of_many_cells_and_search(spark, monkeypatch):
     assert np.mean([len(found[u] & {w for w, _ in want["a", u]}) / 8 for u in found]) >= 0.9
 
 
+def test_registered_search_finds_copies_as_brute_force_does(spark, tmp_path):
+    import __spark_entry__
+
+    rng = np.random.default_rng(9)
+    pts = [("a", i, np.round(rng.normal(size=8), 4)) for i in range(150)]
+    pts += [("a", 200 + i, pts[3][2]) for i in range(14)]  # a query among more copies than are asked for
+    pts += [("a", 300 + i, pts[20][2]) for i in range(3)] + [("a", 340, pts[7][2])]
+    pts += [("b", 1000 + i, np.round(rng.normal(size=4), 4)) for i in range(3)]
+    p, c = tables(spark, pts + DIRT + pts[:5])
+    p.write.parquet(f"{tmp_path}/points.parquet")
+    c.write.parquet(f"{tmp_path}/collections.parquet")
+    got = {}
+    for r in __spark_entry__.queries()["p2_search"](spark, str(tmp_path)).collect():
+        got.setdefault((r.collection, r.qid), []).append((-r.cosine, r.uid))
+    want = {q: near for q, near in brute(pts, 8).items() if q[1] % 20 == 0}
+    assert {q: [(u, -s) for s, u in sorted(near)] for q, near in got.items()} == want
+
+
 def test_empty_graph(spark):
     p, c = tables(spark, DIRT)
     graph, members = p2_neighbours.build(point_vectors(p, c), Scratch(spark, "t"))
