@@ -140,9 +140,10 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """Counts over all whole texts: (kind, key, word, a, b).
+    """Counts over all whole texts: (kind, key, word, a, b, n).
 
-    `line`: key a line's pattern, a the lines before it, b 1 if it isn't the text's last line.
+    `line`: key a line's pattern, a the lines before it, b 1 if it isn't the text's last line. The
+    n of all rows of a pattern add up to how often it occurs.
     `word`: how often the word stands in a text (a), and before a mark that ends a sentence (b).
     Equal rows of a batch are added up, and a line's surroundings are kept up to the number that
     decides, before anything is sent.
@@ -152,13 +153,14 @@ def statistics(docs: DataFrame) -> DataFrame:
         words: Counter[str] = Counter()
         final: Counter[str] = Counter()
         seen: dict[tuple[int, int], set[int]] = {}
+        times: Counter[tuple[int, int]] = Counter()
 
         def flush():
-            rows = [("line", k, None, before, inner) for (k, inner), many in seen.items() for before in many]
-            rows += [("word", None, w, n, final.get(w, 0)) for w, n in words.items()]
-            words.clear(), final.clear(), seen.clear()
+            rows = [("line", k, None, before, inner, 0 if i else times[k, inner]) for (k, inner), many in seen.items() for i, before in enumerate(many)]
+            rows += [("word", None, w, n, final.get(w, 0), 0) for w, n in words.items()]
+            words.clear(), final.clear(), seen.clear(), times.clear()
             for s in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[s : s + 50_000], strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["kind", "key", "word", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[s : s + 50_000], strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["kind", "key", "word", "a", "b", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -174,7 +176,9 @@ def statistics(docs: DataFrame) -> DataFrame:
                 lines = [x for x in (p.strip() for p in text.splitlines()) if x]
                 for i, x in enumerate(lines):
                     if len(x) <= 160 and not _LIST.search(x):
-                        many = seen.setdefault((pattern(x), int(i + 1 < len(lines))), set())
+                        at = pattern(x), int(i + 1 < len(lines))
+                        times[at] += 1
+                        many = seen.setdefault(at, set())
                         if len(many) < CONTEXTS:
                             # three lines, so that a footer of several lines reaches up into the text
                             many.add(pattern("\n".join(lines[max(0, i - 3) : i])))
@@ -182,14 +186,14 @@ def statistics(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "kind string, key bigint, word string, a bigint, b bigint")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "kind string, key bigint, word string, a bigint, b bigint, n bigint")
 
 
 def truncated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, source, cut) of all documents; a null source counts as the source ''."""
     seen = scratch.write(features(docs), "features")
-    stats = scratch.write(statistics(docs).groupBy("kind", "key", "word", F.when(F.col("kind") == "line", F.col("a")).alias("_c"), F.when(F.col("kind") == "line", F.col("b")).alias("inner")).agg(F.sum(F.when(F.col("kind") == "word", F.col("a"))).alias("a"), F.sum(F.when(F.col("kind") == "word", F.col("b"))).alias("b")), "statistics")
-    lines = stats.filter("kind = 'line'").groupBy("key").agg(F.countDistinct(F.when(F.col("inner") == 1, F.col("_c"))).alias("_inner"), F.countDistinct("_c").alias("_all")).filter(f"_inner >= 2 or _all >= {CONTEXTS}").select(F.col("key").alias("line"), "_inner", "_all")
+    stats = scratch.write(statistics(docs).groupBy("kind", "key", "word", F.when(F.col("kind") == "line", F.col("a")).alias("_c"), F.when(F.col("kind") == "line", F.col("b")).alias("inner")).agg(F.sum(F.when(F.col("kind") == "word", F.col("a"))).alias("a"), F.sum(F.when(F.col("kind") == "word", F.col("b"))).alias("b"), F.sum("n").alias("n")), "statistics")
+    lines = stats.filter("kind = 'line'").groupBy("key").agg(F.countDistinct(F.when(F.col("inner") == 1, F.col("_c"))).alias("_inner"), F.countDistinct("_c").alias("_all"), F.sum("n").alias("_times")).filter(f"_inner >= 2 or _all >= {CONTEXTS}").select(F.col("key").alias("line"), "_inner", "_all", "_times")
     words = stats.filter("kind = 'word'").select("word", F.col("a").alias("_n"), F.col("b").alias("_final"))
     opens = "state in ('several', 'marked', 'bracket', 'single', 'element')"
     size = seen.groupBy("source").agg(F.max("chars").alias("_mc"), F.max("bytes").alias("_mb"))
@@ -204,7 +208,7 @@ def truncated(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .join(lines, "line", "left")
         .join(words, "word", "left")
         .withColumn("_limit", F.expr(f"coalesce((_lc and chars > _mc - {PILE}) or (_lb and bytes > _mb - {PILE}), false)"))
-        .withColumn("_element", F.expr(f"coalesce(_inner >= 2 or (_all >= {CONTEXTS} and (symbols and not _limit or _n <= 4 * _all)), false)"))
+        .withColumn("_element", F.expr(f"coalesce(_inner >= 2 or (_all >= {CONTEXTS} and (symbols and not _limit or _n <= 4 * _times)), false)"))
         .withColumn("_can_end", F.expr(f"coalesce(_final >= {FINAL_LEAST} and _final >= {FINAL_SHARE} * _n, false) and not comma"))
         .withColumn("cut", F.expr("state in ('several', 'marked', 'bracket', 'single') and not _element and (state <> 'single' or _limit or not _can_end)"))
         .select("doc_id", "source", "cut", "state", "_limit", "_element", "_can_end")

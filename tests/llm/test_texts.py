@@ -160,3 +160,13 @@ def test_truncated_texts(spark):
     assert len(missed) <= 0.03 * len(cut) and len(wrong) <= 0.08 * len(cut), (missed, wrong)
     assert not got & {2000, 2001}
     assert p8_truncated.truncated(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("tasks", [1, 20])
+def test_a_footer_is_an_element_however_often_it_occurs(spark, tasks):
+    rng, rows = random.Random(12), []
+    for d in range(60):
+        said = " ".join(f"The {rng.choice(WORDS)} opened the {rng.choice(WORDS)}." for _ in range(3 + d % 9))
+        rows.append((d, "pages.example", f"{said}\nBack to where it began"))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(tasks)
+    assert p8_truncated.truncated(df, Scratch(spark, "t")).filter("cut").count() == 0
