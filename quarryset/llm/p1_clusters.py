@@ -4,9 +4,9 @@ Cost at scale. Every step is a pass over the vectors with a bounded block of cen
 at most `BLOCK` of them), or works in cells of bounded size. No vector is shuffled except those
 that no large group has taken, three times, to their nearest cells.
 
-1. Vectorise: each record becomes a hashed, weighted feature vector (`hashed_features`). For
-   records that are vectors already, feature i is coordinate i with its value as weight, hashed
-   to its own slot, so nothing is lost.
+1. Vectorise: the records here are dense vectors already and are taken as they are; `cluster`
+   hashes nothing. `hashed_features`, which would leave them unchanged, is for records of named
+   features (the payloads of problem 4).
 2. Seed: `ROUNDS` passes, each drawing up to `OVERSAMPLE` records per space with a chance in
    proportion to their distance to the nearest seed (weighted reservoir keys, so one pass does it).
 3. Lloyd passes with merging of centres that turn out to lie in one group.
