@@ -1,11 +1,18 @@
 """Most similar vectors for every vector: NN-descent in blocks, and greedy graph search.
 
-The graph starts from two independent random partitions into cells; each cell gives exact
-neighbours within itself by one matrix product. A round of NN-descent then follows every fresh
-edge that leaves a cell: (u, v) sends u to v's cell and v to u's cell, so that u meets v's
-neighbours and v meets u's. This is the join of neighbours with neighbours, done for whole cells at
-a time: a vector travels once to a cell however many of the cell's records point at it, and NumPy
-takes all pairs of one cell and its visitors in one product. Rounds end when few entries change.
+Each record has a home cell (a partition by the nearest of sampled records) and a cell of a second,
+independent partition. Both give exact neighbours within a cell by matrix products. A round of
+NN-descent then follows every fresh edge that leaves a cell: (u, v) sends u to v's cell and v to
+u's cell, so that u meets v's neighbours and v meets u's. This is the join of neighbours with
+neighbours, done for whole cells at a time: a vector travels once to a cell however many of the
+cell's records point at it. Rounds end when few entries change.
+
+Vectors are shuffled to their home once and stored there, in buckets by cell; a round reads them in
+place, and only visitors and better entries move. No cell is larger than twice `CELL`: what the
+first partition leaves larger is split by records drawn from it, again and again.
+
+A least cosine that the result asks for is pushed down into the lists: entries below it are neither
+kept nor followed.
 
 Exact copies (equal vectors) are one node of the graph, so that a third of all rows being copies
 costs one node; they come back when pairs are written, eight at most for each record.
@@ -14,9 +21,11 @@ costs one node; they come back when pairs are written, eight at most for each re
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,34 +35,45 @@ from quarryset.llm.vectors import best, lists, point_vectors, spaces, top_k, uni
 from quarryset.runtime import Scratch, parts
 
 #: Entries kept for each node; records aimed at for each cell, and for each of the seeds it is made
-#: of; most seeds of one space; rounds, the share of new entries that ends them, and how many of a
+#: of; most seeds of one space (cells that grow beyond `CELL` for it are split where they lie).
+KEEP, CELL, FINE, MOST_SEEDS = 10, 10_000, 250, 4096
+#: Most rounds, the trips (as a share of nodes) that are too few for another one, and how many of a
 #: node's entries are followed in a round (the best of them, as NN-descent samples its neighbours).
-KEEP, CELL, FINE, MOST_SEEDS, ROUNDS, ENOUGH, FOLLOW = 10, 10_000, 250, 1024, 4, 0.05, 6
+ROUNDS, ENOUGH, FOLLOW = 8, 0.01, 6
 #: Nodes of a space that a search may start from (sampled, broadcast).
 ENTRIES = 4096
-#: score: cosine in millionths.
-LISTS = "space string, id bigint, home int, nbrs array<bigint>, scores array<int>, homes array<int>"
-GRAPH = LISTS + ", fresh array<boolean>, vec binary"
-#: The score that a node's next entry must reach.
-LOW = f"if(size(scores) < {KEEP}, -2000000, scores[{KEEP - 1}])"
+#: Homes are c0 * SPLIT + part; those of nodes with copies are stored as -1 - home.
+SPLIT = 1 << 20
+#: scores: cosines in millionths. low: the score that a node's next entry must reach.
+CELLS = "space string, c0 int, c1 int, id bigint, home bigint, low int, vec binary, nbrs array<bigint>, scores array<int>, homes array<bigint>, h bigint, h2 bigint"
+LISTS = "space string, c0 int, id bigint, home bigint, nbrs array<bigint>, scores array<int>, homes array<bigint>"
+GRAPH = LISTS + ", fresh array<boolean>"
+VISITORS = "space string, c0 int, cell bigint, id bigint, home bigint, low int, vec binary"
 
 
-def _sample(nodes: DataFrame, want: dict[str, int], counts: dict[str, int], salt: int) -> dict[str, np.ndarray]:
-    """Uniform sample of `want` vectors of each space, which has `counts` of them."""
-    most = max(want.values())
-    bound = {s: (2 * n + 50) / counts[s] for s, n in want.items()}  # all but surely holds enough
+class Graph(NamedTuple):
+    """`lists`: a list for each node (a distinct vector, named by the smallest id that has it), best
+    first, at most `KEEP`, by cosine and then smaller id. `nodes`: (space, id, vec). `members`:
+    (space, rep, id) of all ids of nodes with copies."""
 
-    def draw(batches):
-        for b in batches:
-            for space, rows in spaces(b.column("space")):
-                raw = unpack(b.column("vec").take(pa.array(rows)))
-                odd = np.arange(1, 2 * raw.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                key = _chance(raw.view(np.uint32).astype(np.uint64) @ odd, salt)  # by content: ids may be alike
-                pick = np.flatnonzero(key <= bound[space])
-                yield pa.RecordBatch.from_arrays([pa.array([space] * len(pick), pa.string()), pa.array(key[pick]), b.column("vec").take(pa.array(rows[pick]))], names=["space", "key", "vec"])
+    lists: DataFrame
+    nodes: DataFrame
+    members: DataFrame
+
+
+def _cell(home: np.ndarray) -> np.ndarray:
+    return np.where(home < 0, -1 - home, home)
 
+
+def _sample(nodes: DataFrame, want: dict[str, int], counts: dict[str, int], salt: int) -> dict[str, np.ndarray]:
+    """Uniform sample of `want` vectors of each space, which has `counts` of them: those whose
+    content has the smallest hash, so that copies are one."""
+    most = max(want.values())
+    bound = {s: min(1.0, (2 * n + 50) / counts[s]) for s, n in want.items()}  # all but surely holds enough
+    limits = F.create_map(*[F.lit(x) for s, f in bound.items() for x in (s, int(f * (1 << 40)))])
     w = W.partitionBy("space").orderBy("key", "vec")
-    got = nodes.select("space", "vec").mapInArrow(draw, "space string, key double, vec binary").distinct().withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).collect()
+    drawn = nodes.select("space", F.pmod(F.xxhash64("vec", F.lit(salt)), F.lit(1 << 40)).alias("key"), "vec").filter(F.col("key") <= limits[F.col("space")])
+    got = drawn.distinct().withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).collect()
     out = {}
     for space, n in want.items():
         mine = sorted((r for r in got if r.space == space), key=lambda r: r._n)[:n]
@@ -89,144 +109,257 @@ def blocks(seeds: np.ndarray, each: float) -> np.ndarray:
     return out
 
 
-def _cells(nodes: DataFrame, seeds: list[dict[str, np.ndarray]], counts: dict[str, int]) -> DataFrame:
-    """Adds the cells c0 and c1 of two independent partitions."""
+def _place(records: DataFrame, seeds: list[dict[str, np.ndarray]], counts: dict[str, int]) -> DataFrame:
+    """(space, c0, c1, lo, hi, vec): cells of two independent partitions. Equal vectors of a batch
+    become one row with their smallest and largest id, so that copies don't travel."""
     maps = [{s: (x, blocks(x, counts[s] / len(x))) for s, x in one.items()} for one in seeds]
-    shared = nodes.sparkSession.sparkContext.broadcast(maps)
+    shared = records.sparkSession.sparkContext.broadcast(maps)
 
     def place(batches):
         for b in batches:
             for space, rows in spaces(b.column("space")):
                 part = b.take(pa.array(rows))
-                x = unit(unpack(part.column("vec")))
-                cells = [pa.array(block[nearest(x, seed)[1]]) for seed, block in (m[space] for m in shared.value)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cells], names=["space", "id", "copies", "vec", "c0", "c1"])
-
-    return nodes.select("space", "id", "copies", "vec").mapInArrow(place, "space string, id bigint, copies boolean, vec binary, c0 int, c1 int")
-
-
-def _scored(x: np.ndarray, y: np.ndarray, x64: np.ndarray, y64: np.ndarray, xid: np.ndarray, yid: np.ndarray, k: int):
-    """The k best of y for each row of x: (row, column, cosine in millionths)."""
-    got = []
-    step = max(1, 2_000_000 // max(1, len(y)))
-    for s in range(0, len(x), step):
-        r, c = top_k(x[s : s + step] @ y.T, k + 1)
-        keep = xid[r + s] != yid[c]
-        r, c = r[keep], c[keep]
-        cos = np.round(np.einsum("ij,ij->i", x64[r + s], y64[c]), 6)
-        r, c, cos = best(r, c, cos, yid[c], min(step, len(x) - s), k)
-        got.append((r + s, c, np.rint(cos * 1e6).astype(np.int32)))
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return tuple(np.concatenate(a) for a in zip(*got, strict=True))
-
-
-def _table(space: str, ids: np.ndarray, homes: np.ndarray, rows: np.ndarray, nbr: np.ndarray, score: np.ndarray, nhome: np.ndarray) -> pa.Table:
-    n = len(ids)
-    return pa.table({"space": pa.array([space] * n, pa.string()), "id": ids, "home": pa.array(homes, pa.int32()), "nbrs": lists(rows, nbr, n, pa.int64()), "scores": lists(rows, score, n, pa.int32()), "homes": lists(rows, nhome, n, pa.int32())})
+                ids = part.column("id").to_numpy()
+                at = part.column("vec").dictionary_encode().indices.to_numpy()
+                order = np.lexsort((ids, at))
+                first = np.flatnonzero(np.diff(at[order], prepend=-1))
+                last = np.append(first[1:], len(order)) - 1
+                vec = part.column("vec").take(pa.array(order[first]))
+                x = unit(unpack(vec))
+                c0, c1 = (pa.array(block[nearest(x, seed)[1]]) for seed, block in (m[space] for m in shared.value))
+                yield pa.RecordBatch.from_arrays([pa.array([space] * len(first), pa.string()), c0, c1, pa.array(ids[order[first]]), pa.array(ids[order[last]]), vec], names=["space", "c0", "c1", "lo", "hi", "vec"])
+
+    return records.select("space", "id", "vec").mapInArrow(place, "space string, c0 int, c1 int, lo bigint, hi bigint, vec binary")
+
+
+def _split(x: np.ndarray, ids: np.ndarray, salt: int = 13) -> np.ndarray:
+    """Part of each row, none of more than twice `CELL` rows: rows go to the nearest of records
+    drawn from them, and parts that stay too large are split again; what can't be told apart so
+    (one direction at many lengths) is cut in the order of ids."""
+    n, out = len(x), np.zeros(len(x), np.int64)
+    if n <= 2 * CELL:
+        return out
+    heads = np.argsort(_chance(ids, salt), kind="stable")[: math.ceil(n / CELL)]
+    at, base = nearest(x, x[heads])[1], 0
+    if np.bincount(at).max() == n:
+        out[np.argsort(ids, kind="stable")] = np.arange(n) // CELL
+        return out
+    for j in np.unique(at):
+        rows = np.flatnonzero(at == j)
+        out[rows] = base + _split(x[rows], ids[rows], salt + 1)
+        base = int(out[rows].max()) + 1
+    return out
+
+
+def _hits(sims: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that reach their row's bound: all of them or, of rows with many, at least the k largest."""
+    hit = np.flatnonzero(sims >= bound[:, None])
+    if len(hit) <= 2 * k * len(sims):
+        return np.divmod(hit, sims.shape[1])
+    r, c = top_k(sims, k)
+    ok = sims[r, c] >= bound[r]
+    return r[ok], c[ok]
 
 
-def _within(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Exact neighbours within a cell; a cell far too large is split by records drawn from it."""
-    ids, homes = t.column("id").to_numpy(), t.column("home").to_numpy()
+def _bound(low: np.ndarray) -> np.ndarray:
+    """Bounds on cosines in single precision that no score of at least `low` misses."""
+    return ((low - 2) / 1e6).astype(np.float32)
+
+
+def _exact(x64: np.ndarray, y64: np.ndarray, rows: np.ndarray, cols: np.ndarray, low: np.ndarray, yid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The `KEEP` best of candidates ordered by row: (distinct rows, place in them, column, score).
+    Rows and columns are those of x and y; `low` is a score for each row of x."""
+    cos = np.concatenate([np.einsum("ij,ij->i", x64[rows[s : s + 200_000]], y64[cols[s : s + 200_000]]) for s in range(0, len(rows), 200_000)] or [np.zeros(0)])
+    cos = np.round(cos, 6)
+    ok = np.rint(cos * 1e6) >= low[rows]
+    rows, cols, cos = rows[ok], cols[ok], cos[ok]
+    have, at = np.unique(rows, return_inverse=True)
+    r, c, cos = best(at, cols, cos, yid[cols], len(have), KEEP)
+    return have, r, c, np.rint(cos * 1e6).astype(np.int32)
+
+
+def _rows(space: str, ids: np.ndarray, homes: np.ndarray, r: np.ndarray, nbr: np.ndarray, score: np.ndarray, nhome: np.ndarray) -> pa.Table:
+    n = len(ids)
+    return pa.table({"space": pa.array([space] * n, pa.string()), "c0": pa.array((_cell(homes) // SPLIT).astype(np.int32)), "id": ids, "home": homes, "nbrs": lists(r, nbr, n, pa.int64()), "scores": lists(r, score, n, pa.int32()), "homes": lists(r, nhome, n, pa.int64())})
+
+
+def _settle(floor: int):
+    """A home cell: its distinct vectors as nodes, each with its exact neighbours within its part."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        space, c0 = key[0].as_py(), key[1].as_py()
+        at = t.column("vec").chunk(0).dictionary_encode().indices.to_numpy()
+        lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
+        n = int(at.max()) + 1
+        ids, last, row = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min), np.zeros(n, np.int64)
+        np.minimum.at(ids, at, lo), np.maximum.at(last, at, hi)
+        row[at] = np.arange(len(at))
+        order = np.argsort(ids, kind="stable")
+        ids, last, row = ids[order], last[order], row[order]
+        t = t.take(pa.array(row))
+        raw = unpack(t.column("vec"))
+        x, x64 = unit(raw), unit64(raw)
+        home = c0 * SPLIT + _split(x, ids)
+        signed = np.where(last > ids, -1 - home, home)
+        got = []
+        for part in np.unique(home):
+            p = np.flatnonzero(home == part)
+            bound = _bound(np.full(len(p), floor))
+            step = max(1, 2_000_000 // len(p))
+            for s in range(0, len(p), step):
+                r, c = _hits(x[p[s : s + step]] @ x[p].T, bound[s : s + step], KEEP + 1)
+                keep = r + s != c
+                r, c = r[keep] + s, c[keep]
+                have, r, c, score = _exact(x64[p], x64[p], r, c, np.full(len(p), floor), ids[p])
+                got.append((p[have[r]], p[c], score))
+        r, c, score = (np.concatenate(a) for a in zip(*got, strict=True))
+        order = np.argsort(r, kind="stable")
+        r, c, score = r[order], c[order], score[order]
+        size = np.bincount(r, minlength=n)
+        low = np.full(n, floor, np.int64)
+        full = np.flatnonzero(size == KEEP)
+        low[full] = score[np.cumsum(size)[full] - 1]
+        out = _rows(space, ids, signed, r, ids[c], score, signed[c])
+        for name, values in (("c1", t.column("c1")), ("low", pa.array(low.astype(np.int32))), ("vec", t.column("vec")), ("h", t.column("h")), ("h2", t.column("h2"))):
+            out = out.append_column(name, values)
+        return out.select([f.split()[0] for f in CELLS.split(", ")])
+
+    return run
+
+
+def _across(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """A cell of the second partition: better entries between records of different home cells."""
+    space = key[0].as_py()
+    ids, homes, low = (t.column(c).to_numpy() for c in ("id", "home", "low"))
+    at = _cell(homes)
     raw = unpack(t.column("vec"))
     x, x64 = unit(raw), unit64(raw)
-    split = [np.arange(len(ids))]
-    if len(ids) > 8 * CELL:
-        heads = np.argsort(_chance(ids, 13))[: math.ceil(len(ids) / CELL)]
-        at = nearest(x, x[heads])[1]
-        split = [p for j in range(len(heads)) if len(p := np.flatnonzero(at == j))]
-    out = []
-    for p in split:
-        r, c, score = _scored(x[p], x[p], x64[p], x64[p], ids[p], ids[p], KEEP)
-        out.append(_table(key[0].as_py(), ids[p], homes[p], r, ids[p][c], score, homes[p][c]))
+    part = _split(x, ids)
+    out = [_rows(space, ids[:0], homes[:0], ids[:0], ids[:0], low[:0], homes[:0])]
+    for one in np.unique(part):
+        p = np.flatnonzero(part == one)
+        bound, step, got = _bound(low[p]), max(1, 2_000_000 // len(p)), []
+        if (at[p] == at[p[0]]).all():
+            continue
+        for s in range(0, len(p), step):
+            # at most KEEP entries that reach the bound are of the same home
+            r, c = _hits(x[p[s : s + step]] @ x[p].T, bound[s : s + step], 2 * KEEP + 1)
+            keep = at[p[r + s]] != at[p[c]]
+            got.append((r[keep] + s, c[keep]))
+        r, c = (np.concatenate(a) for a in zip(*got, strict=True))
+        have, r, c, score = _exact(x64[p], x64[p], r, c, low[p], ids[p])
+        out.append(_rows(space, ids[p[have]], homes[p[have]], r, ids[p[c]], score, homes[p[c]]))
     return pa.concat_tables(out)
 
 
-def _meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Records of a cell and its visitors, each side against the other."""
-    visitor = t.column("visitor").to_numpy(zero_copy_only=False).astype(bool)
-    own, vis = np.flatnonzero(~visitor), np.flatnonzero(visitor)
+def _fetch(key: tuple[pa.Scalar, ...], t: pa.Table, asked: pa.Table) -> pa.Table:
+    """The visitors that leave a cell, with their vectors; `asked` is (id, cell)."""
+    ids = t.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    want, to = asked.column("id").to_numpy(), asked.column("cell").to_numpy()
+    at = np.searchsorted(ids[order], want)
+    at = order[np.minimum(at, max(0, len(ids) - 1))] if len(ids) else np.zeros(0, np.int64)
+    got = t.take(pa.array(at))
+    return pa.table({"space": got.column("space"), "c0": pa.array((to // SPLIT).astype(np.int32)), "cell": to, "id": got.column("id"), "home": got.column("home"), "low": got.column("low"), "vec": got.column("vec")})
+
+
+def _meet(key: tuple[pa.Scalar, ...], t: pa.Table, guests: pa.Table) -> pa.Table:
+    """Records of a cell and its visitors: better entries for each side."""
+    space = key[0].as_py()
     none = np.zeros(0, np.int64)
-    if not len(own) or not len(vis):
-        return _table("", none, none, none, none, none, none)
-    ids, homes, low = (t.column(c).to_numpy() for c in ("id", "home", "low"))
-    raw = unpack(t.column("vec"))
-    x, x64 = unit(raw), unit64(raw)
-    out = []
-    bound = ((low - 1) / 1e6).astype(np.float32)
-    mine: list[np.ndarray] = []
-    theirs: list[np.ndarray] = []
-    step = max(1, 2_000_000 // len(own))
-    for s in range(0, len(vis), step):
-        v = vis[s : s + step]
-        sims = x[v] @ x[own].T
-        hit = np.flatnonzero(sims >= bound[v][:, None])
-        r, c = np.divmod(hit, len(own)) if len(hit) <= 4 * KEEP * len(v) else top_k(sims, KEEP)
-        theirs.append(np.stack([v[r], own[c]]))
-        hit = np.flatnonzero(sims >= bound[own][None])
-        if len(hit) <= 4 * KEEP * len(own):
-            r, c = np.divmod(hit, len(own))
-        else:
-            c, r = top_k(np.ascontiguousarray(sims.T), KEEP)
-        mine.append(np.stack([own[c], v[r]]))
-    for pairs in (np.concatenate(mine, 1), np.concatenate(theirs, 1)):
-        a, b = pairs[:, np.argsort(pairs[0], kind="stable")]
-        if len(a):
-            rows, r = np.unique(a, return_inverse=True)  # rows without news aren't sent
-            cos = np.round(np.einsum("ij,ij->i", x64[a], x64[b]), 6)
-            r, c, cos = best(r, b, cos, ids[b], len(rows), KEEP)
-            out.append(_table(key[0].as_py(), ids[rows], homes[rows], r, ids[c], np.rint(cos * 1e6).astype(np.int32), homes[c]))
-    return pa.concat_tables(out) if out else _table("", none, none, none, none, none, none)
-
-
-def _merge(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """One list for each node from its old list (`age` 0) and new ones; `fresh` marks new entries.
-
-    One row of each node has its vector, which stays with the list.
-    """
-    out = []
-    t = t.combine_chunks()
-    for space, rows in spaces(t.column("space")):
-        part = t.take(pa.array(rows)).combine_chunks()
-        ids, at = np.unique(part.column("id").to_numpy(), return_inverse=True)
-        n = len(ids)
-        homes = np.zeros(n, np.int32)
-        homes[at] = part.column("home").to_numpy()
-        with_vec = np.flatnonzero(part.column("vec").is_valid().to_numpy(zero_copy_only=False))
-        vec = part.column("vec").take(pa.array(with_vec[np.argsort(at[with_vec])]))
-        nbr, score, nh = (part.column(c).combine_chunks() for c in ("nbrs", "scores", "homes"))
-        size = np.diff(nbr.offsets.to_numpy())
-        r, age = np.repeat(at, size), np.repeat(part.column("age").to_numpy(), size)
-        order = np.argsort(r, kind="stable")
-        r = r[order]
-        many = np.bincount(r, minlength=n)
-        place, width = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many), int(many.max(initial=0))
-        gone, top = np.int32(3_000_000), np.iinfo(np.int64).max
-        key, who, home = np.full((n, width), gone, np.int32), np.full((n, width), top, np.int64), np.zeros((n, width), np.int32)
-        key[r, place] = 1_000_000 - score.flatten().to_numpy()[order]
-        who[r, place] = nbr.flatten().to_numpy()[order] * 2 + age[order]  # of two equal entries the old one comes first
-        home[r, place] = nh.flatten().to_numpy()[order]
-        o = np.argsort(who, axis=1, kind="stable")
-        o = np.take_along_axis(o, np.argsort(np.take_along_axis(key, o, 1), axis=1, kind="stable"), 1)
-        key, who, home = (np.take_along_axis(a, o, 1) for a in (key, who, home))
-        key[:, 1:][(who[:, 1:] >> 1) == (who[:, :-1] >> 1)] = gone
-        o = np.argsort(key, axis=1, kind="stable")[:, :KEEP]
-        key, who, home = (np.take_along_axis(a, o, 1) for a in (key, who, home))
-        r, c = np.nonzero(key < gone)
-        out.append(_table(space, ids, homes, r, who[r, c] >> 1, 1_000_000 - key[r, c], home[r, c]).append_column("fresh", lists(r, (who[r, c] & 1) > 0, n, pa.bool_())).append_column("vec", vec))
+    out = [_rows(space, none, none, none, none, none.astype(np.int32), none)]
+    if not t.num_rows or not guests.num_rows:
+        return out[0]
+    at, cells = _cell(t.column("home").to_numpy()), guests.column("cell").to_numpy()
+    for cell in np.unique(cells):
+        own = t.take(pa.array(np.flatnonzero(at == cell)))
+        if not own.num_rows:
+            continue
+        xi, xh, xl = (own.column(c).to_numpy() for c in ("id", "home", "low"))
+        x = unpack(own.column("vec"))
+        x, x64 = unit(x), unit64(x)
+        mine = []
+        rows = np.flatnonzero(cells == cell)
+        step = max(1, 2_000_000 // len(x))
+        for s in range(0, len(rows), 20_000):
+            vis = guests.take(pa.array(rows[s : s + 20_000]))
+            yi, yh, yl = (vis.column(c).to_numpy() for c in ("id", "home", "low"))
+            y = unpack(vis.column("vec"))
+            y, y64 = unit(y), unit64(y)
+            theirs = []
+            for f in range(0, len(y), step):
+                sims = y[f : f + step] @ x.T
+                r, c = _hits(sims, _bound(yl[f : f + step]), KEEP)
+                theirs.append((r + f, c))
+                r, c = _hits(np.ascontiguousarray(sims.T), _bound(xl), KEEP) if sims.shape[0] > KEEP else np.nonzero(sims.T >= _bound(xl)[:, None])
+                have, r, c, score = _exact(x64, y64, r, c + f, xl, yi)
+                mine.append((have[r], yi[c], score, yh[c]))
+            r, c = (np.concatenate(a) for a in zip(*theirs, strict=True))
+            have, r, c, score = _exact(y64, x64, r, c, yl, xi)
+            out.append(_rows(space, yi[have], yh[have], r, xi[c], score, xh[c]))
+        r, nbr, score, nhome = (np.concatenate(a) for a in zip(*mine, strict=True))
+        order = np.lexsort((nbr, -score, r))
+        r, nbr, score, nhome = r[order], nbr[order], score[order], nhome[order]
+        have, at_row = np.unique(r, return_inverse=True)
+        rank = np.arange(len(r)) - np.searchsorted(at_row, np.arange(len(have)))[at_row]
+        ok = rank < KEEP
+        out.append(_rows(space, xi[have], xh[have], at_row[ok], nbr[ok], score[ok], nhome[ok]))
     return pa.concat_tables(out)
 
 
+def _merge(key: tuple[pa.Scalar, ...], old: pa.Table, new: pa.Table) -> pa.Table:
+    """One list for each node of a cell from its old list and new ones; `fresh` marks new entries.
+    Lists without news stay as they are."""
+
+
+    def calm(t: pa.Table) -> pa.Table:
+        size = pc.list_value_length(t.column("nbrs")).to_numpy()
+        return t.append_column("fresh", lists(np.repeat(np.arange(len(size)), size), np.zeros(size.sum(), bool), len(size), pa.bool_()))
+
+    old = old.combine_chunks()
+    if not new.num_rows:
+        return calm(old)
+    space = key[0].as_py()
+    touched = np.isin(old.column("id").to_numpy(), new.column("id").to_numpy())
+    still = old.filter(pa.array(~touched)).combine_chunks()
+    part = pa.concat_tables([old.filter(pa.array(touched)), new.select(old.column_names)]).combine_chunks()
+    age = np.repeat([0, 1], [int(touched.sum()), new.num_rows])
+    ids, at = np.unique(part.column("id").to_numpy(), return_inverse=True)
+    n = len(ids)
+    homes = np.zeros(n, np.int64)
+    homes[at] = part.column("home").to_numpy()
+    nbr, score, nh = (part.column(c).combine_chunks() for c in ("nbrs", "scores", "homes"))
+    size = np.diff(nbr.offsets.to_numpy())
+    r, age = np.repeat(at, size), np.repeat(age, size)
+    order = np.argsort(r, kind="stable")
+    r = r[order]
+    many = np.bincount(r, minlength=n)
+    place, width = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many), int(many.max(initial=0))
+    gone, top = np.int32(3_000_000), np.iinfo(np.int64).max
+    key_, who, home = np.full((n, width), gone, np.int32), np.full((n, width), top, np.int64), np.zeros((n, width), np.int64)
+    key_[r, place] = 1_000_000 - score.flatten().to_numpy()[order]
+    who[r, place] = nbr.flatten().to_numpy()[order] * 2 + age[order]  # of two equal entries the old one comes first
+    home[r, place] = nh.flatten().to_numpy()[order]
+    o = np.argsort(who, axis=1, kind="stable")
+    o = np.take_along_axis(o, np.argsort(np.take_along_axis(key_, o, 1), axis=1, kind="stable"), 1)
+    key_, who, home = (np.take_along_axis(a, o, 1) for a in (key_, who, home))
+    key_[:, 1:][(who[:, 1:] >> 1) == (who[:, :-1] >> 1)] = gone
+    o = np.argsort(key_, axis=1, kind="stable")[:, :KEEP]
+    key_, who, home = (np.take_along_axis(a, o, 1) for a in (key_, who, home))
+    r, c = np.nonzero(key_ < gone)
+    merged = _rows(space, ids, homes, r, who[r, c] >> 1, 1_000_000 - key_[r, c], home[r, c]).append_column("fresh", lists(r, (who[r, c] & 1) > 0, n, pa.bool_()))
+    return pa.concat_tables([calm(still), merged.cast(calm(still).schema)])
+
+
 def _cross(batches):
-    """(space, cell, id): along fresh edges that leave a cell, both ends go to the other's cell."""
+    """(space, c0, id, cell): along fresh edges that leave a cell, both ends go to the other's cell."""
     for b in batches:
         nbrs, homes, fresh = (b.column(b.schema.get_field_index(c)) for c in ("nbrs", "homes", "fresh"))
         size = np.diff(nbrs.offsets.to_numpy())
-        cell = lambda h: np.where(h < 0, -1 - h, h)
         u = np.repeat(b.column("id").to_numpy(), size)
-        hu = cell(np.repeat(b.column("home").to_numpy(), size))
-        v, hv = nbrs.flatten().to_numpy(), cell(homes.flatten().to_numpy())
+        hu = _cell(np.repeat(b.column("home").to_numpy(), size))
+        v, hv = nbrs.flatten().to_numpy(), _cell(homes.flatten().to_numpy())
         row = np.repeat(np.arange(b.num_rows), size)
         rank = np.arange(len(u)) - np.repeat(np.cumsum(size) - size, size)
         go = fresh.flatten().to_numpy(zero_copy_only=False).astype(bool) & (hu != hv) & (rank < FOLLOW)
@@ -234,62 +367,57 @@ def _cross(batches):
             mine = np.zeros(b.num_rows, bool)
             mine[rows] = True
             e = np.flatnonzero(go & mine[row])
-            pairs = np.unique(np.stack([np.concatenate([hv[e], hu[e]]), np.concatenate([u[e], v[e]])], 1), axis=0) if len(e) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([space] * len(pairs), pa.string()), pa.array(pairs[:, 0], pa.int32()), pa.array(pairs[:, 1], pa.int64())], names=["space", "cell", "id"])
+            trips = np.stack([np.concatenate([hu[e], hv[e]]), np.concatenate([u[e], v[e]]), np.concatenate([hv[e], hu[e]])], 1)
+            trips = np.unique(trips, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([space] * len(trips), pa.string()), pa.array((trips[:, 0] // SPLIT).astype(np.int32)), pa.array(trips[:, 1]), pa.array(trips[:, 2])], names=["space", "c0", "id", "cell"])
 
 
-def build(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The neighbour graph of (space, id, vec), and the members of nodes with copies.
+def build(vectors: DataFrame, scratch: Scratch, least: float | None = None) -> Graph:
+    """The neighbour graph of (space, id, vec), with entries of at least `least` only if given.
 
-    The graph has a list for each node (a distinct vector, named by the smallest id that has it):
-    best first, at most `KEEP`, by cosine and then smaller id. Homes of nodes with copies are
-    stored as -1 - cell. Members are (space, rep, id). Empty input gives empty tables.
+    Empty input gives empty tables.
     """
     spark = vectors.sparkSession
     records = scratch.write(vectors, "records")
     counts = {r.space: r["count"] for r in records.groupBy("space").count().collect()}
     total = sum(counts.values())
     if not total:
-        return spark.createDataFrame([], GRAPH), spark.createDataFrame([], "space string, rep bigint, id bigint")
+        return Graph(spark.createDataFrame([], GRAPH), records.select("space", "id", "vec"), spark.createDataFrame([], "space string, rep bigint, id bigint"))
+    floor = -2_000_000 if least is None else math.floor(least * 1e6 + 0.5)
     want = {s: 2 * min(MOST_SEEDS, math.ceil(n / FINE)) for s, n in counts.items()}
     drawn = _sample(records, want, counts, 11)
     seeds = [{s: x[i::2] if len(x) > 1 else x for s, x in drawn.items()} for i in (0, 1)]
-    grouped = records.groupBy("space", "vec").agg(F.min("id").alias("id"), F.max("id").alias("_max")).withColumn("copies", F.col("id") < F.col("_max"))
-    placed = scratch.write(_cells(grouped, seeds, counts), "placed")
-    members = scratch.write(records.join(placed.filter("copies").select("space", F.col("id").alias("rep"), "vec"), ["space", "vec"]).select("space", "rep", "id").distinct(), "members")
+    buckets = parts(spark, total, CELL)
+    cell = ["space", "c0"]
+    prints = [F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("h2")]
+    placed = _place(records, seeds, counts).select("*", *prints).repartition(buckets, *cell)
+    cells = scratch.write_bucketed(placed.groupBy(*cell).applyInArrow(_settle(floor), CELLS), "cells", buckets, *cell)
+    twins = cells.filter("home < 0").select("space", F.col("id").alias("rep"), "h", "h2")
+    members = scratch.write(records.select("space", "id", *prints).join(twins, ["space", "h", "h2"]).select("space", "rep", "id").distinct(), "members")
     scratch.drop(records)
-    buckets = parts(spark, total, 25_000)
-    home = F.expr("if(copies, -1 - c0, c0)").alias("home")
-
-    def merged(old: DataFrame, *new: DataFrame) -> DataFrame:
-        every = old
-        for t in new:
-            every = every.unionByName(t.withColumn("age", F.lit(1)).withColumn("vec", F.lit(None).cast("binary")))
-        return scratch.write(every.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).applyInArrow(_merge, GRAPH), "graph")
-
-    nodes = placed.select("space", "id", home, *[F.array().cast(k).alias(c) for c, k in (("nbrs", "array<bigint>"), ("scores", "array<int>"), ("homes", "array<int>"))], F.lit(0).alias("age"), "vec")
-    first = [placed.select("space", "id", home, "vec", F.col(c).alias("_c")).groupBy("space", "_c").applyInArrow(_within, LISTS) for c in ("c0", "c1")]
-    graph = merged(nodes, *first)
-    scratch.drop(placed)
+    second = cells.select("space", "c1", "id", "home", "low", "vec")
+    news = scratch.write(second.groupBy("space", "c1").applyInArrow(_across, LISTS), "news")
+    graph = cells.select(*[f.split()[0] for f in LISTS.split(", ")])
     seen: DataFrame | None = None
-    for _ in range(ROUNDS):
-        visits = graph.mapInArrow(_cross, "space string, cell int, id bigint").distinct()
+    for step in range(ROUNDS + 1):
+        merged = graph.groupBy(*cell).cogroup(news.groupBy(*cell)).applyInArrow(_merge, GRAPH)
+        better = scratch.write_bucketed(merged, "graph", buckets, *cell)
+        scratch.drop(news, graph)
+        graph = better.drop("fresh")
+        graph._scratch_path, graph._scratch_table = better._scratch_path, better._scratch_table
+        visits = better.select("space", "id", "home", "nbrs", "homes", "fresh").mapInArrow(_cross, "space string, c0 int, id bigint, cell bigint").distinct()
+        if step == ROUNDS:
+            break
         if seen is not None:
-            visits = visits.join(seen, ["space", "cell", "id"], "left_anti")
+            visits = visits.join(seen, ["space", "c0", "id", "cell"], "left_anti")
         visits = scratch.write(visits, "visits")
-        seen = visits if seen is None else seen.unionByName(visits)
-        known = graph.select("space", "id", "home", F.expr("if(home < 0, -1 - home, home)").alias("cell"), "vec", F.expr(LOW).alias("low"))
-        guests = visits.join(known.drop("cell"), ["space", "id"]).withColumn("visitor", F.lit(True))
-        met = scratch.write(known.withColumn("visitor", F.lit(False)).unionByName(guests).groupBy("space", "cell").applyInArrow(_meet, LISTS), "met")
-        del guests, known
-        scratch.drop()  # what the meeting shuffled isn't needed for the merge
-        better = merged(graph.drop("fresh").withColumn("age", F.lit(0)), met)
-        scratch.drop(graph, met)
-        graph = better
-        changed = graph.agg(F.sum(F.expr("aggregate(fresh, 0L, (a, f) -> a + if(f, 1L, 0L))"))).first()[0] or 0
-        if changed < ENOUGH * total * KEEP:
+        if visits.count() < ENOUGH * total:
             break
-    return graph, members
+        seen = visits if seen is None else seen.unionByName(visits)
+        homes = cells.select(*cell, "id", "home", "low", "vec")
+        guests = homes.groupBy(*cell).cogroup(visits.groupBy(*cell)).applyInArrow(_fetch, VISITORS)
+        news = scratch.write(homes.groupBy(*cell).cogroup(guests.groupBy(*cell)).applyInArrow(_meet, LISTS), "news")
+    return Graph(graph, cells.select("space", "id", "vec"), members)
 
 
 def _heads(members: DataFrame, k: int) -> DataFrame:
@@ -395,13 +523,16 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    near = neighbours(*build(_points(spark, sf), Scratch(spark, "p2")), 8, 0.86)
+    least = 0.86
+    graph = build(_points(spark, sf), Scratch(spark, "p2"), least)
+    near = neighbours(graph.lists, graph.members, 8, least)
     return near.select(F.least("id", "nbr").alias("uid_lo"), F.greatest("id", "nbr").alias("uid_hi")).distinct()
 
 
 def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """(collection, uid, rank, neighbour, cosine) for every point with a usable vector."""
-    near = neighbours(*build(_points(spark, sf), Scratch(spark, "p2")), 8)
+    graph = build(_points(spark, sf), Scratch(spark, "p2"))
+    near = neighbours(graph.lists, graph.members, 8)
     w = W.partitionBy("space", "id").orderBy(F.desc("cosine"), "nbr")
     return near.distinct().select(F.col("space").alias("collection"), F.col("id").alias("uid"), F.row_number().over(w).alias("rank"), F.col("nbr").alias("neighbour"), "cosine")
 
@@ -410,7 +541,6 @@ def p2_search(spark: SparkSession, sf: str) -> DataFrame:
     """Queries (every point whose uid is divisible by 20) against all points, by greedy search."""
     scratch = Scratch(spark, "p2")
     points = scratch.write(_points(spark, sf).distinct(), "points")
-    graph, members = build(points, scratch)
-    nodes = points.groupBy("space", "vec").agg(F.min("id").alias("id"))
-    found = search(graph, scratch.write(nodes, "nodes"), points.filter("id % 20 = 0").select("space", F.col("id").alias("qid"), "vec"), scratch, 8, members=members)
+    graph = build(points, scratch)
+    found = search(graph.lists, graph.nodes, points.filter("id % 20 = 0").select("space", F.col("id").alias("qid"), "vec"), scratch, 8, members=graph.members)
     return found.select(F.col("space").alias("collection"), "qid", F.col("id").alias("uid"), "cosine")

@@ -92,7 +92,7 @@ def test_neighbours_with_copies_and_ties(spark):
     pts += [("a", 200 + i, pts[3][2]) for i in range(14)]  # more copies than neighbours
     pts += [("b", 1000 + i, np.round(rng.normal(size=4), 4)) for i in range(3)]
     p, c = tables(spark, pts + DIRT + pts[:5])
-    graph, members = p2_neighbours.build(point_vectors(p, c), Scratch(spark, "t"))
+    graph, nodes, members = p2_neighbours.build(point_vectors(p, c), Scratch(spark, "t"))
     got = {}
     for r in p2_neighbours.neighbours(graph, members, 8).distinct().collect():
         got.setdefault((r.space, r.id), []).append((-r.cosine, r.nbr))
@@ -109,7 +109,7 @@ def test_graph_of_many_cells_and_search(spark, monkeypatch):
     p, c = tables(spark, pts)
     scratch = Scratch(spark, "t")
     vecs = scratch.write(point_vectors(p, c), "v")
-    graph, members = p2_neighbours.build(vecs, scratch)
+    graph, nodes, members = p2_neighbours.build(vecs, scratch)
     got = {}
     for r in p2_neighbours.neighbours(graph, members, 8).collect():
         got.setdefault(r.id, set()).add(r.nbr)
@@ -143,7 +143,7 @@ def test_registered_search_finds_copies_as_brute_force_does(spark, tmp_path):
 
 def test_empty_graph(spark):
     p, c = tables(spark, DIRT)
-    graph, members = p2_neighbours.build(point_vectors(p, c), Scratch(spark, "t"))
+    graph, nodes, members = p2_neighbours.build(point_vectors(p, c), Scratch(spark, "t"))
     assert p2_neighbours.neighbours(graph, members, 8).count() == 0
 
 
