@@ -25,13 +25,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryset.llm.p1_clusters import _chance, nearest
-from quarryset.llm.vectors import best, lists, point_vectors, spaces, top_k, unit, unit64, unpack, unpack_list
+from quarryset.llm.vectors import best, point_vectors, spaces, top_k, unit, unit64, unpack, unpack_list
 from quarryset.runtime import Scratch, parts
 
 #: Entries kept for each node; records aimed at for each cell, and for each of the seeds it is made
@@ -44,10 +43,12 @@ ROUNDS, ENOUGH, FOLLOW = 8, 0.01, 6
 ENTRIES = 4096
 #: Homes are c0 * SPLIT + part; those of nodes with copies are stored as -1 - home.
 SPLIT = 1 << 20
-#: scores: cosines in millionths. low: the score that a node's next entry must reach.
-CELLS = "space string, c0 int, c1 int, id bigint, home bigint, low int, vec binary, nbrs array<bigint>, scores array<int>, homes array<bigint>, h bigint, h2 bigint"
-LISTS = "space string, c0 int, id bigint, home bigint, nbrs array<bigint>, scores array<int>, homes array<bigint>"
-GRAPH = LISTS + ", fresh array<boolean>"
+#: A list is one binary value of entries, best first: neighbour, its home, cosine in millionths, and
+#: whether the entry is new. Spark moves it as it is, without a loop over elements.
+ENTRY = np.dtype([("nbr", "<i8"), ("home", "<i8"), ("score", "<i4"), ("fresh", "i1")])
+#: low: the score that a node's next entry must reach. h, h2: hashes of the vector.
+GRAPH = "space string, c0 int, id bigint, home bigint, list binary"
+CELLS = GRAPH + ", c1 int, low int, vec binary, h bigint, h2 bigint"
 VISITORS = "space string, c0 int, cell bigint, id bigint, home bigint, low int, vec binary"
 
 
@@ -61,6 +62,32 @@ class Graph(NamedTuple):
     members: DataFrame
 
 
+def _entries(lists_: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a column of lists, and the number in each."""
+    if isinstance(lists_, pa.ChunkedArray):
+        lists_ = lists_.combine_chunks()
+        if isinstance(lists_, pa.ChunkedArray):
+            parts_ = [_entries(c) for c in lists_.chunks] or [(np.zeros(0, ENTRY), np.zeros(0, np.int64))]
+            return tuple(np.concatenate(x) for x in zip(*parts_, strict=True))
+    n = len(lists_)
+    if not n:
+        return np.zeros(0, ENTRY), np.zeros(0, np.int64)
+    off = np.frombuffer(lists_.buffers()[1], np.int64 if pa.types.is_large_binary(lists_.type) else np.int32)[lists_.offset : lists_.offset + n + 1].astype(np.int64)
+    data = lists_.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
+    return flat.view(ENTRY), np.diff(off) // ENTRY.itemsize
+
+
+def _lists(size: np.ndarray, nbr: np.ndarray, home: np.ndarray, score: np.ndarray, fresh: np.ndarray | int = 0) -> pa.Array:
+    """Lists from entries that are ordered by row; `size` has the number of entries of each row."""
+    e = np.empty(len(nbr), ENTRY)
+    e["nbr"], e["home"], e["score"], e["fresh"] = nbr, home, score, fresh
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64) * ENTRY.itemsize
+    if offsets[-1] >= 2**31:
+        raise ValueError("a cell's lists exceed 2 GB")
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(e.view(np.uint8))])
+
+
 def _cell(home: np.ndarray) -> np.ndarray:
     return np.where(home < 0, -1 - home, home)
 
@@ -151,16 +178,44 @@ def _split(x: np.ndarray, ids: np.ndarray, salt: int = 13) -> np.ndarray:
     return out
 
 
+def _true(mask: np.ndarray) -> np.ndarray:
+    """As np.flatnonzero, for masks with few hits: eight entries are looked at at once."""
+    flat = mask.reshape(-1)
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    w, bit = np.nonzero(flat[:whole].reshape(-1, 8)[words])
+    return np.concatenate([words[w] * 8 + bit, whole + np.flatnonzero(flat[whole:])])
+
+
 def _hits(sims: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Entries that reach their row's bound: all of them or, of rows with many, at least the k largest."""
-    hit = np.flatnonzero(sims >= bound[:, None])
-    if len(hit) <= 2 * k * len(sims):
-        return np.divmod(hit, sims.shape[1])
+    mask = sims >= bound[:, None]
+    if np.count_nonzero(mask) <= 2 * k * len(sims):
+        return np.divmod(_true(mask), sims.shape[1])
     r, c = top_k(sims, k)
     ok = sims[r, c] >= bound[r]
     return r[ok], c[ok]
 
 
+def _mutual(x: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of rows whose product reaches one bound, both ways and ordered by row; only half of
+    the products are taken. None if there are more than `k` a row, for which it isn't worth it."""
+    got, many = [], 0
+    for s in range(0, len(x), 256):
+        sims = x[s : s + 256] @ x[s:].T
+        mask = sims >= bound
+        many += np.count_nonzero(mask)
+        if many > k * len(x):
+            return None
+        r, c = np.divmod(_true(mask), sims.shape[1])
+        ok = c > r
+        got.append(np.stack([r[ok], c[ok]]) + s)
+    r, c = np.concatenate(got, 1)
+    r, c = np.concatenate([r, c]), np.concatenate([c, r])
+    order = np.argsort(r, kind="stable")
+    return r[order], c[order]
+
+
 def _bound(low: np.ndarray) -> np.ndarray:
     """Bounds on cosines in single precision that no score of at least `low` misses."""
     return ((low - 2) / 1e6).astype(np.float32)
@@ -178,9 +233,10 @@ def _exact(x64: np.ndarray, y64: np.ndarray, rows: np.ndarray, cols: np.ndarray,
     return have, r, c, np.rint(cos * 1e6).astype(np.int32)
 
 
-def _rows(space: str, ids: np.ndarray, homes: np.ndarray, r: np.ndarray, nbr: np.ndarray, score: np.ndarray, nhome: np.ndarray) -> pa.Table:
+def _rows(space: str, ids: np.ndarray, homes: np.ndarray, r: np.ndarray, nbr: np.ndarray, score: np.ndarray, nhome: np.ndarray, fresh: np.ndarray | int = 0) -> pa.Table:
+    """Nodes with their lists; r is the node's place, for each entry in order."""
     n = len(ids)
-    return pa.table({"space": pa.array([space] * n, pa.string()), "c0": pa.array((_cell(homes) // SPLIT).astype(np.int32)), "id": ids, "home": homes, "nbrs": lists(r, nbr, n, pa.int64()), "scores": lists(r, score, n, pa.int32()), "homes": lists(r, nhome, n, pa.int64())})
+    return pa.table({"space": pa.array([space] * n, pa.string()), "c0": pa.array((_cell(homes) // SPLIT).astype(np.int32)), "id": ids, "home": homes, "list": _lists(np.bincount(r, minlength=n), nbr, nhome, score, fresh)})
 
 
 def _settle(floor: int):
@@ -205,14 +261,18 @@ def _settle(floor: int):
         got = []
         for part in np.unique(home):
             p = np.flatnonzero(home == part)
-            bound = _bound(np.full(len(p), floor))
-            step = max(1, 2_000_000 // len(p))
-            for s in range(0, len(p), step):
-                r, c = _hits(x[p[s : s + step]] @ x[p].T, bound[s : s + step], KEEP + 1)
-                keep = r + s != c
-                r, c = r[keep] + s, c[keep]
-                have, r, c, score = _exact(x64[p], x64[p], r, c, np.full(len(p), floor), ids[p])
-                got.append((p[have[r]], p[c], score))
+            low, y = np.full(len(p), floor), x[p]
+            bound = _bound(low)
+            pairs = _mutual(y, bound[0], 4 * KEEP)
+            if pairs is None:
+                each, step = [], max(1, 2_000_000 // len(p))
+                for s in range(0, len(p), step):
+                    r, c = _hits(y[s : s + step] @ y.T, bound[s : s + step], KEEP + 1)
+                    keep = r + s != c
+                    each.append((r[keep] + s, c[keep]))
+                pairs = tuple(np.concatenate(a) for a in zip(*each, strict=True))
+            have, r, c, score = _exact(x64[p], x64[p], *pairs, low, ids[p])
+            got.append((p[have[r]], p[c], score))
         r, c, score = (np.concatenate(a) for a in zip(*got, strict=True))
         order = np.argsort(r, kind="stable")
         r, c, score = r[order], c[order], score[order]
@@ -239,15 +299,20 @@ def _across(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     out = [_rows(space, ids[:0], homes[:0], ids[:0], ids[:0], low[:0], homes[:0])]
     for one in np.unique(part):
         p = np.flatnonzero(part == one)
-        bound, step, got = _bound(low[p]), max(1, 2_000_000 // len(p)), []
         if (at[p] == at[p[0]]).all():
             continue
-        for s in range(0, len(p), step):
-            # at most KEEP entries that reach the bound are of the same home
-            r, c = _hits(x[p[s : s + step]] @ x[p].T, bound[s : s + step], 2 * KEEP + 1)
-            keep = at[p[r + s]] != at[p[c]]
-            got.append((r[keep] + s, c[keep]))
-        r, c = (np.concatenate(a) for a in zip(*got, strict=True))
+        bound, y = _bound(low[p]), x[p]
+        pairs = _mutual(y, bound.min(), 8 * KEEP)
+        if pairs is None:
+            each, step = [], max(1, 2_000_000 // len(p))
+            for s in range(0, len(p), step):
+                # at most KEEP entries that reach the bound are of the same home
+                r, c = _hits(y[s : s + step] @ y.T, bound[s : s + step], 2 * KEEP + 1)
+                each.append((r + s, c))
+            pairs = tuple(np.concatenate(a) for a in zip(*each, strict=True))
+        r, c = pairs
+        keep = at[p[r]] != at[p[c]]
+        r, c = r[keep], c[keep]
         have, r, c, score = _exact(x64[p], x64[p], r, c, low[p], ids[p])
         out.append(_rows(space, ids[p[have]], homes[p[have]], r, ids[p[c]], score, homes[p[c]]))
     return pa.concat_tables(out)
@@ -309,65 +374,51 @@ def _meet(key: tuple[pa.Scalar, ...], t: pa.Table, guests: pa.Table) -> pa.Table
 
 
 def _merge(key: tuple[pa.Scalar, ...], old: pa.Table, new: pa.Table) -> pa.Table:
-    """One list for each node of a cell from its old list and new ones; `fresh` marks new entries.
-    Lists without news stay as they are."""
-
-
-    def calm(t: pa.Table) -> pa.Table:
-        size = pc.list_value_length(t.column("nbrs")).to_numpy()
-        return t.append_column("fresh", lists(np.repeat(np.arange(len(size)), size), np.zeros(size.sum(), bool), len(size), pa.bool_()))
-
-    old = old.combine_chunks()
-    if not new.num_rows:
-        return calm(old)
+    """One list for each node of a cell from its old list and new ones; new entries are marked."""
     space = key[0].as_py()
-    touched = np.isin(old.column("id").to_numpy(), new.column("id").to_numpy())
-    still = old.filter(pa.array(~touched)).combine_chunks()
-    part = pa.concat_tables([old.filter(pa.array(touched)), new.select(old.column_names)]).combine_chunks()
-    age = np.repeat([0, 1], [int(touched.sum()), new.num_rows])
-    ids, at = np.unique(part.column("id").to_numpy(), return_inverse=True)
-    n = len(ids)
-    homes = np.zeros(n, np.int64)
-    homes[at] = part.column("home").to_numpy()
-    nbr, score, nh = (part.column(c).combine_chunks() for c in ("nbrs", "scores", "homes"))
-    size = np.diff(nbr.offsets.to_numpy())
-    r, age = np.repeat(at, size), np.repeat(age, size)
-    order = np.argsort(r, kind="stable")
-    r = r[order]
-    many = np.bincount(r, minlength=n)
-    place, width = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many), int(many.max(initial=0))
-    gone, top = np.int32(3_000_000), np.iinfo(np.int64).max
-    key_, who, home = np.full((n, width), gone, np.int32), np.full((n, width), top, np.int64), np.zeros((n, width), np.int64)
-    key_[r, place] = 1_000_000 - score.flatten().to_numpy()[order]
-    who[r, place] = nbr.flatten().to_numpy()[order] * 2 + age[order]  # of two equal entries the old one comes first
-    home[r, place] = nh.flatten().to_numpy()[order]
-    o = np.argsort(who, axis=1, kind="stable")
-    o = np.take_along_axis(o, np.argsort(np.take_along_axis(key_, o, 1), axis=1, kind="stable"), 1)
-    key_, who, home = (np.take_along_axis(a, o, 1) for a in (key_, who, home))
-    key_[:, 1:][(who[:, 1:] >> 1) == (who[:, :-1] >> 1)] = gone
-    o = np.argsort(key_, axis=1, kind="stable")[:, :KEEP]
-    key_, who, home = (np.take_along_axis(a, o, 1) for a in (key_, who, home))
-    r, c = np.nonzero(key_ < gone)
-    merged = _rows(space, ids, homes, r, who[r, c] >> 1, 1_000_000 - key_[r, c], home[r, c]).append_column("fresh", lists(r, (who[r, c] & 1) > 0, n, pa.bool_()))
-    return pa.concat_tables([calm(still), merged.cast(calm(still).schema)])
+    (e, many), (f, more) = _entries(old.column("list")), _entries(new.column("list"))
+    if not new.num_rows:
+        if not e["fresh"].any():
+            return old
+        return old.set_column(4, "list", _lists(many, e["nbr"], e["home"], e["score"]))
+    oid, nid = old.column("id").to_numpy(), new.column("id").to_numpy()
+    order = np.argsort(oid, kind="stable")
+    to = order[np.searchsorted(oid[order], nid)]  # every node is in the old table
+    hot = np.zeros(len(oid), bool)
+    hot[to] = True
+    r = np.concatenate([np.repeat(np.arange(len(oid)), many), np.repeat(to, more)])
+    age = np.repeat([0, 1], [len(e), len(f)])
+    every = np.concatenate([e, f])
+    mix = hot[r]
+    # lists with news: by row, cosine, id; of two equal entries the old one comes first
+    m = np.flatnonzero(mix)
+    m = m[np.lexsort((age[m], every["nbr"][m], -every["score"][m], r[m]))]
+    same = np.zeros(len(m), bool)
+    same[1:] = (r[m][1:] == r[m][:-1]) & (every["nbr"][m][1:] == every["nbr"][m][:-1])
+    m = m[~same]
+    rank = np.arange(len(m)) - np.searchsorted(r[m], r[m])
+    m = m[rank < KEEP]
+    rest = np.flatnonzero(~mix)
+    pick = np.concatenate([rest, m])
+    pick = pick[np.argsort(r[pick], kind="stable")]
+    got = every[pick]
+    return old.set_column(4, "list", _lists(np.bincount(r[pick], minlength=len(oid)), got["nbr"], got["home"], got["score"], age[pick]))
 
 
 def _cross(batches):
-    """(space, c0, id, cell): along fresh edges that leave a cell, both ends go to the other's cell."""
+    """(space, c0, id, cell): along new entries that leave a cell, both ends go to the other's cell."""
     for b in batches:
-        nbrs, homes, fresh = (b.column(b.schema.get_field_index(c)) for c in ("nbrs", "homes", "fresh"))
-        size = np.diff(nbrs.offsets.to_numpy())
-        u = np.repeat(b.column("id").to_numpy(), size)
-        hu = _cell(np.repeat(b.column("home").to_numpy(), size))
-        v, hv = nbrs.flatten().to_numpy(), _cell(homes.flatten().to_numpy())
+        e, size = _entries(b.column(b.schema.get_field_index("list")))
         row = np.repeat(np.arange(b.num_rows), size)
+        u, hu = b.column(b.schema.get_field_index("id")).to_numpy()[row], _cell(b.column(b.schema.get_field_index("home")).to_numpy())[row]
+        v, hv = e["nbr"], _cell(e["home"])
         rank = np.arange(len(u)) - np.repeat(np.cumsum(size) - size, size)
-        go = fresh.flatten().to_numpy(zero_copy_only=False).astype(bool) & (hu != hv) & (rank < FOLLOW)
-        for space, rows in spaces(b.column("space")):
+        go = (e["fresh"] > 0) & (hu != hv) & (rank < FOLLOW)
+        for space, rows in spaces(b.column(b.schema.get_field_index("space"))):
             mine = np.zeros(b.num_rows, bool)
             mine[rows] = True
-            e = np.flatnonzero(go & mine[row])
-            trips = np.stack([np.concatenate([hu[e], hv[e]]), np.concatenate([u[e], v[e]]), np.concatenate([hv[e], hu[e]])], 1)
+            i = np.flatnonzero(go & mine[row])
+            trips = np.stack([np.concatenate([hu[i], hv[i]]), np.concatenate([u[i], v[i]]), np.concatenate([hv[i], hu[i]])], 1)
             trips = np.unique(trips, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array([space] * len(trips), pa.string()), pa.array((trips[:, 0] // SPLIT).astype(np.int32)), pa.array(trips[:, 1]), pa.array(trips[:, 2])], names=["space", "c0", "id", "cell"])
 
@@ -396,16 +447,15 @@ def build(vectors: DataFrame, scratch: Scratch, least: float | None = None) -> G
     members = scratch.write(records.select("space", "id", *prints).join(twins, ["space", "h", "h2"]).select("space", "rep", "id").distinct(), "members")
     scratch.drop(records)
     second = cells.select("space", "c1", "id", "home", "low", "vec")
-    news = scratch.write(second.groupBy("space", "c1").applyInArrow(_across, LISTS), "news")
-    graph = cells.select(*[f.split()[0] for f in LISTS.split(", ")])
+    news = scratch.write(second.groupBy("space", "c1").applyInArrow(_across, GRAPH), "news")
+    graph = cells.select(*[f.split()[0] for f in GRAPH.split(", ")])
     seen: DataFrame | None = None
     for step in range(ROUNDS + 1):
         merged = graph.groupBy(*cell).cogroup(news.groupBy(*cell)).applyInArrow(_merge, GRAPH)
         better = scratch.write_bucketed(merged, "graph", buckets, *cell)
         scratch.drop(news, graph)
-        graph = better.drop("fresh")
-        graph._scratch_path, graph._scratch_table = better._scratch_path, better._scratch_table
-        visits = better.select("space", "id", "home", "nbrs", "homes", "fresh").mapInArrow(_cross, "space string, c0 int, id bigint, cell bigint").distinct()
+        graph = better
+        visits = graph.mapInArrow(_cross, "space string, c0 int, id bigint, cell bigint").distinct()
         if step == ROUNDS:
             break
         if seen is not None:
@@ -416,7 +466,7 @@ def build(vectors: DataFrame, scratch: Scratch, least: float | None = None) -> G
         seen = visits if seen is None else seen.unionByName(visits)
         homes = cells.select(*cell, "id", "home", "low", "vec")
         guests = homes.groupBy(*cell).cogroup(visits.groupBy(*cell)).applyInArrow(_fetch, VISITORS)
-        news = scratch.write(homes.groupBy(*cell).cogroup(guests.groupBy(*cell)).applyInArrow(_meet, LISTS), "news")
+        news = scratch.write(homes.groupBy(*cell).cogroup(guests.groupBy(*cell)).applyInArrow(_meet, GRAPH), "news")
     return Graph(graph, cells.select("space", "id", "vec"), members)
 
 
@@ -427,17 +477,34 @@ def _heads(members: DataFrame, k: int) -> DataFrame:
     return members.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k + 1).select("space", "rep", F.col("id").alias("head"))
 
 
+def _edges(batches):
+    """(space, id, home, at, nbr, cosine, single): the entries of lists; a list is single if neither
+    its node nor a neighbour has copies."""
+    for b in batches:
+        e, size = _entries(b.column(b.schema.get_field_index("list")))
+        row = np.repeat(np.arange(b.num_rows), size)
+        home = b.column(b.schema.get_field_index("home")).to_numpy()
+        single = home >= 0
+        single[row[e["home"] < 0]] = False
+        at = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("space")).take(take), b.column(b.schema.get_field_index("id")).take(take), pa.array(home[row]), pa.array(at.astype(np.int32)), pa.array(e["nbr"].copy()), pa.array(e["score"] / 1e6), pa.array(single[row])], names=["space", "id", "home", "at", "nbr", "cosine", "single"])
+
+
+def edges_of(graph: DataFrame) -> DataFrame:
+    return graph.select("space", "id", "home", "list").mapInArrow(_edges, "space string, id bigint, home bigint, at int, nbr bigint, cosine double, single boolean")
+
+
 def neighbours(graph: DataFrame, members: DataFrame, k: int, least: float = -2.0) -> DataFrame:
     """(space, id, nbr, cosine): up to k most similar other records of each record.
 
     Cosines are rounded to 6 places; of equal ones the smaller id comes first. Copies of a vector
     are each other's neighbours with cosine 1.
     """
-    single = graph.filter("home >= 0 and not exists(homes, h -> h < 0)")
-    plain = single.select("space", "id", F.explode(F.expr(f"slice(zip_with(nbrs, scores, (n, c) -> struct(n as nbr, c / 1e6D as cosine)), 1, {k})")).alias("_e")).select("space", "id", "_e.nbr", "_e.cosine")
+    every = edges_of(graph).filter(F.col("cosine") >= least)
+    plain = every.filter((F.col("at") < k) & F.col("single")).select("space", "id", "nbr", "cosine")
     heads = _heads(members, k)
-    touched = graph.filter("home < 0 or exists(homes, h -> h < 0)")
-    edges = touched.select("space", "id", "home", F.explode(F.expr("zip_with(nbrs, scores, (n, c) -> struct(n as n, c / 1e6D as c))")).alias("_e")).select("space", "id", "home", F.col("_e.n").alias("rep"), F.col("_e.c").alias("cosine")).filter(F.col("cosine") >= least)
+    edges = every.filter("not single").select("space", "id", "home", F.col("nbr").alias("rep"), "cosine")
     wide = edges.join(heads, ["space", "rep"], "left").select("space", "id", "home", F.coalesce("head", "rep").alias("nbr"), "cosine")
     alone = wide.filter("home >= 0").select("space", "id", "nbr", "cosine")
     own = heads.select("space", F.col("rep").alias("id"), F.col("head").alias("nbr"), F.lit(1.0).alias("cosine"))
@@ -500,7 +567,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scra
 
     best_first = W.partitionBy("space", "qid").orderBy(F.desc("cosine"), "id")
     state = scratch.write(queries.mapInArrow(begin, schema).withColumn("done", F.lit(False)), "beam")
-    links = graph.select("space", "id", F.explode("nbrs").alias("nbr"))
+    links = edges_of(graph).select("space", "id", "nbr")
     asked = queries.select("space", "qid", F.col("vec").alias("qvec"))
     for _ in range(hops):
         front = state.filter("not done").withColumn("_n", F.row_number().over(best_first)).filter(F.col("_n") <= width).select("space", "qid", "id")
