@@ -38,7 +38,7 @@ from quarryset.runtime import Scratch, parts
 KEEP, CELL, FINE, MOST_SEEDS = 10, 10_000, 250, 4096
 #: Most rounds, the trips (as a share of nodes) that are too few for another one, and how many of a
 #: node's entries are followed in a round (the best of them, as NN-descent samples its neighbours).
-ROUNDS, ENOUGH, FOLLOW = 8, 0.01, 6
+ROUNDS, ENOUGH, FOLLOW = 8, 0.02, 6
 #: Nodes of a space that a search may start from (sampled, broadcast).
 ENTRIES = 4096
 #: Homes are c0 * SPLIT + part; those of nodes with copies are stored as -1 - home.
@@ -159,21 +159,21 @@ def _place(records: DataFrame, seeds: list[dict[str, np.ndarray]], counts: dict[
     return records.select("space", "id", "vec").mapInArrow(place, "space string, c0 int, c1 int, lo bigint, hi bigint, vec binary")
 
 
-def _split(x: np.ndarray, ids: np.ndarray, salt: int = 13) -> np.ndarray:
-    """Part of each row, none of more than twice `CELL` rows: rows go to the nearest of records
+def _split(x: np.ndarray, ids: np.ndarray, aim: int, salt: int = 13) -> np.ndarray:
+    """Part of each row, none of more than twice `aim` rows: rows go to the nearest of records
     drawn from them, and parts that stay too large are split again; what can't be told apart so
     (one direction at many lengths) is cut in the order of ids."""
     n, out = len(x), np.zeros(len(x), np.int64)
-    if n <= 2 * CELL:
+    if n <= 2 * aim:
         return out
-    heads = np.argsort(_chance(ids, salt), kind="stable")[: math.ceil(n / CELL)]
+    heads = np.argsort(_chance(ids, salt), kind="stable")[: math.ceil(n / aim)]
     at, base = nearest(x, x[heads])[1], 0
     if np.bincount(at).max() == n:
-        out[np.argsort(ids, kind="stable")] = np.arange(n) // CELL
+        out[np.argsort(ids, kind="stable")] = np.arange(n) // aim
         return out
     for j in np.unique(at):
         rows = np.flatnonzero(at == j)
-        out[rows] = base + _split(x[rows], ids[rows], salt + 1)
+        out[rows] = base + _split(x[rows], ids[rows], aim, salt + 1)
         base = int(out[rows].max()) + 1
     return out
 
@@ -200,6 +200,9 @@ def _hits(sims: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def _mutual(x: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray] | None:
     """All pairs of rows whose product reaches one bound, both ways and ordered by row; only half of
     the products are taken. None if there are more than `k` a row, for which it isn't worth it."""
+    some = x[:: max(1, len(x) // 128)]
+    if np.count_nonzero(some @ x.T >= bound) > k * len(some):
+        return None
     got, many = [], 0
     for s in range(0, len(x), 256):
         sims = x[s : s + 256] @ x[s:].T
@@ -256,11 +259,11 @@ def _settle(floor: int):
         t = t.take(pa.array(row))
         raw = unpack(t.column("vec"))
         x, x64 = unit(raw), unit64(raw)
-        home = c0 * SPLIT + _split(x, ids)
-        signed = np.where(last > ids, -1 - home, home)
-        got = []
-        for part in np.unique(home):
-            p = np.flatnonzero(home == part)
+        home, got = np.zeros(n, np.int64), []
+        parts_ = _split(x, ids, CELL)
+        for part in np.unique(parts_):
+            p = np.flatnonzero(parts_ == part)
+            home[p] = part
             low, y = np.full(len(p), floor), x[p]
             bound = _bound(low)
             pairs = _mutual(y, bound[0], 4 * KEEP)
@@ -273,6 +276,8 @@ def _settle(floor: int):
                 pairs = tuple(np.concatenate(a) for a in zip(*each, strict=True))
             have, r, c, score = _exact(x64[p], x64[p], *pairs, low, ids[p])
             got.append((p[have[r]], p[c], score))
+        home += c0 * SPLIT
+        signed = np.where(last > ids, -1 - home, home)
         r, c, score = (np.concatenate(a) for a in zip(*got, strict=True))
         order = np.argsort(r, kind="stable")
         r, c, score = r[order], c[order], score[order]
@@ -295,7 +300,7 @@ def _across(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     at = _cell(homes)
     raw = unpack(t.column("vec"))
     x, x64 = unit(raw), unit64(raw)
-    part = _split(x, ids)
+    part = _split(x, ids, CELL)
     out = [_rows(space, ids[:0], homes[:0], ids[:0], ids[:0], low[:0], homes[:0])]
     for one in np.unique(part):
         p = np.flatnonzero(part == one)
@@ -357,7 +362,13 @@ def _meet(key: tuple[pa.Scalar, ...], t: pa.Table, guests: pa.Table) -> pa.Table
                 sims = y[f : f + step] @ x.T
                 r, c = _hits(sims, _bound(yl[f : f + step]), KEEP)
                 theirs.append((r + f, c))
-                r, c = _hits(np.ascontiguousarray(sims.T), _bound(xl), KEEP) if sims.shape[0] > KEEP else np.nonzero(sims.T >= _bound(xl)[:, None])
+                mask = sims >= _bound(xl)
+                if np.count_nonzero(mask) <= 2 * KEEP * len(x):
+                    c, r = np.divmod(_true(mask), len(x))
+                    order = np.argsort(r, kind="stable")
+                    r, c = r[order], c[order]
+                else:
+                    r, c = _hits(np.ascontiguousarray(sims.T), _bound(xl), KEEP)
                 have, r, c, score = _exact(x64, y64, r, c + f, xl, yi)
                 mine.append((have[r], yi[c], score, yh[c]))
             r, c = (np.concatenate(a) for a in zip(*theirs, strict=True))
