@@ -35,7 +35,7 @@ from quarryset.runtime import Scratch, parts
 
 #: Entries kept for each node; records aimed at for each cell, and for each of the seeds it is made
 #: of; most seeds of one space (cells that grow beyond `CELL` for it are split where they lie).
-KEEP, CELL, FINE, MOST_SEEDS = 10, 10_000, 250, 4096
+KEEP, CELL, FINE, MOST_SEEDS = 10, 6000, 80, 8192
 #: Most rounds, the trips (as a share of nodes) that are too few for another one, and how many of a
 #: node's entries are followed in a round (the best of them, as NN-descent samples its neighbours).
 ROUNDS, ENOUGH, FOLLOW = 8, 0.02, 6
@@ -205,15 +205,19 @@ def _mutual(x: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray
         return None
     got, many = [], 0
     for s in range(0, len(x), 256):
-        sims = x[s : s + 256] @ x[s:].T
-        mask = sims >= bound
-        many += np.count_nonzero(mask)
-        if many > k * len(x):
-            return None
-        r, c = np.divmod(_true(mask), sims.shape[1])
-        ok = c > r
-        got.append(np.stack([r[ok], c[ok]]) + s)
-    r, c = np.concatenate(got, 1)
+        for f in range(s, len(x), 2048):  # a tile stays in the cache
+            mask = x[s : s + 256] @ x[f : f + 2048].T >= bound
+            n = np.count_nonzero(mask)
+            if not n:
+                continue
+            many += n
+            if many > k * len(x):
+                return None
+            r, c = np.divmod(_true(mask), mask.shape[1])
+            r, c = r + s, c + f
+            ok = c > r
+            got.append(np.stack([r[ok], c[ok]]))
+    r, c = np.concatenate(got, 1) if got else np.zeros((2, 0), np.int64)
     r, c = np.concatenate([r, c]), np.concatenate([c, r])
     order = np.argsort(r, kind="stable")
     return r[order], c[order]
@@ -268,7 +272,7 @@ def _settle(floor: int):
             bound = _bound(low)
             pairs = _mutual(y, bound[0], 4 * KEEP)
             if pairs is None:
-                each, step = [], max(1, 2_000_000 // len(p))
+                each, step = [], max(1, 1_000_000 // len(p))
                 for s in range(0, len(p), step):
                     r, c = _hits(y[s : s + step] @ y.T, bound[s : s + step], KEEP + 1)
                     keep = r + s != c
@@ -309,7 +313,7 @@ def _across(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         bound, y = _bound(low[p]), x[p]
         pairs = _mutual(y, bound.min(), 8 * KEEP)
         if pairs is None:
-            each, step = [], max(1, 2_000_000 // len(p))
+            each, step = [], max(1, 1_000_000 // len(p))
             for s in range(0, len(p), step):
                 # at most KEEP entries that reach the bound are of the same home
                 r, c = _hits(y[s : s + step] @ y.T, bound[s : s + step], 2 * KEEP + 1)
@@ -351,7 +355,7 @@ def _meet(key: tuple[pa.Scalar, ...], t: pa.Table, guests: pa.Table) -> pa.Table
         x, x64 = unit(x), unit64(x)
         mine = []
         rows = np.flatnonzero(cells == cell)
-        step = max(1, 2_000_000 // len(x))
+        step = max(1, 1_000_000 // len(x))
         for s in range(0, len(rows), 20_000):
             vis = guests.take(pa.array(rows[s : s + 20_000]))
             yi, yh, yl = (vis.column(c).to_numpy() for c in ("id", "home", "low"))
