@@ -50,6 +50,8 @@ ENTRY = np.dtype([("nbr", "<i8"), ("home", "<i8"), ("score", "<i4"), ("fresh", "
 GRAPH = "space string, c0 int, id bigint, home bigint, list binary"
 CELLS = GRAPH + ", c1 int, low int, vec binary, h bigint, h2 bigint"
 VISITORS = "space string, c0 int, cell bigint, id bigint, home bigint, low int, vec binary"
+#: Better entries (`cell` is null) and visitors (`list` is null) in one table.
+NEWS = GRAPH + ", cell bigint, low int, vec binary"
 
 
 class Graph(NamedTuple):
@@ -298,14 +300,15 @@ def _settle(floor: int):
 
 
 def _across(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """A cell of the second partition: better entries between records of different home cells."""
+    """A cell of the second partition: better entries between records of different home cells, and
+    the trips along them, with both ends' vectors at hand."""
     space = key[0].as_py()
     ids, homes, low = (t.column(c).to_numpy() for c in ("id", "home", "low"))
     at = _cell(homes)
     raw = unpack(t.column("vec"))
     x, x64 = unit(raw), unit64(raw)
     part = _split(x, ids, CELL)
-    out = [_rows(space, ids[:0], homes[:0], ids[:0], ids[:0], low[:0], homes[:0])]
+    out, trips = [_rows(space, ids[:0], homes[:0], ids[:0], ids[:0], low[:0], homes[:0])], [np.zeros((2, 0), np.int64)]
     for one in np.unique(part):
         p = np.flatnonzero(part == one)
         if (at[p] == at[p[0]]).all():
@@ -321,10 +324,19 @@ def _across(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
             pairs = tuple(np.concatenate(a) for a in zip(*each, strict=True))
         r, c = pairs
         keep = at[p[r]] != at[p[c]]
-        r, c = r[keep], c[keep]
-        have, r, c, score = _exact(x64[p], x64[p], r, c, low[p], ids[p])
+        have, r, c, score = _exact(x64[p], x64[p], r[keep], c[keep], low[p], ids[p])
         out.append(_rows(space, ids[p[have]], homes[p[have]], r, ids[p[c]], score, homes[p[c]]))
-    return pa.concat_tables(out)
+        go = np.arange(len(r)) - np.searchsorted(r, r) < FOLLOW
+        u, v = p[have[r[go]]], p[c[go]]
+        trips.append(np.concatenate([np.stack([u, at[v]]), np.stack([v, at[u]])], 1))
+    better = pa.concat_tables(out)
+    who, to = np.unique(np.concatenate(trips, 1), axis=1)
+    n, m = better.num_rows, len(who)
+    go = t.take(pa.array(who))
+    visitors = {"space": go.column("space"), "c0": pa.array((to // SPLIT).astype(np.int32)), "id": go.column("id"), "home": go.column("home"), "list": pa.nulls(m, pa.binary()), "cell": to, "low": go.column("low"), "vec": go.column("vec")}
+    for name, kind in (("cell", pa.int64()), ("low", pa.int32()), ("vec", pa.binary())):
+        better = better.append_column(name, pa.nulls(n, kind))
+    return pa.concat_tables([better, pa.table(visitors).cast(better.schema)])
 
 
 def _fetch(key: tuple[pa.Scalar, ...], t: pa.Table, asked: pa.Table) -> pa.Table:
@@ -453,7 +465,7 @@ def build(vectors: DataFrame, scratch: Scratch, least: float | None = None) -> G
     want = {s: 2 * min(MOST_SEEDS, math.ceil(n / FINE)) for s, n in counts.items()}
     drawn = _sample(records, want, counts, 11)
     seeds = [{s: x[i::2] if len(x) > 1 else x for s, x in drawn.items()} for i in (0, 1)]
-    buckets = parts(spark, total, CELL)
+    buckets = parts(spark, total, 25_000)
     cell = ["space", "c0"]
     prints = [F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("h2")]
     placed = _place(records, seeds, counts).select("*", *prints).repartition(buckets, *cell)
@@ -462,26 +474,27 @@ def build(vectors: DataFrame, scratch: Scratch, least: float | None = None) -> G
     members = scratch.write(records.select("space", "id", *prints).join(twins, ["space", "h", "h2"]).select("space", "rep", "id").distinct(), "members")
     scratch.drop(records)
     second = cells.select("space", "c1", "id", "home", "low", "vec")
-    news = scratch.write(second.groupBy("space", "c1").applyInArrow(_across, GRAPH), "news")
-    graph = cells.select(*[f.split()[0] for f in GRAPH.split(", ")])
-    seen: DataFrame | None = None
-    for step in range(ROUNDS + 1):
-        merged = graph.groupBy(*cell).cogroup(news.groupBy(*cell)).applyInArrow(_merge, GRAPH)
+    found = scratch.write(second.groupBy("space", "c1").applyInArrow(_across, NEWS), "news")
+    columns = [f.split()[0] for f in GRAPH.split(", ")]
+    graph, homes = cells.select(*columns), cells.select(*cell, "id", "home", "low", "vec")
+    news, guests = found.filter("cell is null").select(*columns), found.filter("cell is not null").select("space", "c0", "cell", "id", "home", "low", "vec")
+    seen = guests.select("space", F.expr(f"cast(floor(if(home < 0, -1 - home, home) / {SPLIT}) as int)").alias("c0"), "id", "cell")
+    trips = guests.count()
+    for step in range(ROUNDS):
+        met = scratch.write(homes.groupBy(*cell).cogroup(guests.groupBy(*cell)).applyInArrow(_meet, GRAPH), "news") if trips else news.limit(0)
+        merged = graph.groupBy(*cell).cogroup(news.unionByName(met).groupBy(*cell)).applyInArrow(_merge, GRAPH)
         better = scratch.write_bucketed(merged, "graph", buckets, *cell)
-        scratch.drop(news, graph)
-        graph = better
-        visits = graph.mapInArrow(_cross, "space string, c0 int, id bigint, cell bigint").distinct()
-        if step == ROUNDS:
+        scratch.drop(met, graph)
+        graph, news = better, found.limit(0).select(*columns)
+        if not trips or step + 1 == ROUNDS:
             break
-        if seen is not None:
-            visits = visits.join(seen, ["space", "c0", "id", "cell"], "left_anti")
-        visits = scratch.write(visits, "visits")
-        if visits.count() < ENOUGH * total:
+        visits = graph.mapInArrow(_cross, "space string, c0 int, id bigint, cell bigint").distinct()
+        visits = scratch.write(visits.join(seen, ["space", "c0", "id", "cell"], "left_anti"), "visits")
+        trips = visits.count()
+        if trips < ENOUGH * total:
             break
-        seen = visits if seen is None else seen.unionByName(visits)
-        homes = cells.select(*cell, "id", "home", "low", "vec")
+        seen = seen.unionByName(visits)
         guests = homes.groupBy(*cell).cogroup(visits.groupBy(*cell)).applyInArrow(_fetch, VISITORS)
-        news = scratch.write(homes.groupBy(*cell).cogroup(guests.groupBy(*cell)).applyInArrow(_meet, GRAPH), "news")
     return Graph(graph, cells.select("space", "id", "vec"), members)
 
 
