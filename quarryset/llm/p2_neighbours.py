@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryset.llm.p1_clusters import _chance, nearest
-from quarryset.llm.vectors import best, point_vectors, spaces, top_k, unit, unit64, unpack, unpack_list
+from quarryset.llm.vectors import best, point_vectors, spaces, top_k, unit, unit64, unpack, unpack_list, usable_sql
 from quarryset.runtime import Scratch, parts
 
 #: Entries kept for each node; records aimed at for each cell, and for each of the seeds it is made
@@ -39,6 +39,8 @@ KEEP, CELL, FINE, MOST_SEEDS = 10, 6000, 80, 8192
 #: Most rounds, the trips (as a share of nodes) that are too few for another one, and how many of a
 #: node's entries are followed in a round (the best of them, as NN-descent samples its neighbours).
 ROUNDS, ENOUGH, FOLLOW = 8, 0.02, 6
+#: Copies of a vector that one task expands.
+SLICE = 100_000
 #: Nodes of a space that a search may start from (sampled, broadcast).
 ENTRIES = 4096
 #: Homes are c0 * SPLIT + part; those of nodes with copies are stored as -1 - home.
@@ -536,25 +538,27 @@ def neighbours(graph: DataFrame, members: DataFrame, k: int, least: float = -2.0
     wide = edges.join(heads, ["space", "rep"], "left").select("space", "id", "home", F.coalesce("head", "rep").alias("nbr"), "cosine")
     alone = wide.filter("home >= 0").select("space", "id", "nbr", "cosine")
     own = heads.select("space", F.col("rep").alias("id"), F.col("head").alias("nbr"), F.lit(1.0).alias("cosine"))
-    salt = 16  # a vector may have very many copies: its few candidates go to each of 16 slices of them
-    cand = wide.filter("home < 0").select("space", "id", "nbr", "cosine").unionByName(own).withColumnRenamed("id", "rep").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    slices = members.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
+    # a vector may have very many copies: its few candidates go to each of as many slices as these need
+    salts = members.groupBy("space", "rep").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("_salts"))
+    cand = wide.filter("home < 0").select("space", "id", "nbr", "cosine").unionByName(own).withColumnRenamed("id", "rep").join(salts, ["space", "rep"]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    large = salts.filter("_salts > 1")  # at most one row for SLICE rows of members
+    slices = members.join(large, ["space", "rep"], "left").withColumn("_s", F.pmod(F.xxhash64("id"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     copies = slices.join(cand, ["space", "rep", "_s"]).filter("id <> nbr").select("space", "id", "nbr", "cosine")
     w = W.partitionBy("space", "id").orderBy(F.desc("cosine"), "nbr")
     rest = alone.unionByName(copies).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
     return plain.unionByName(rest).filter(F.col("cosine") >= least)
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scratch, k: int, beam: int = 48, width: int = 12, hops: int = 6, members: DataFrame | None = None) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scratch, k: int, beam: int = 64, width: int = 16, hops: int = 32, members: DataFrame | None = None) -> DataFrame:
     """(space, qid, id, cosine): greedy search of the graph for queries (space, qid, vec).
 
     All queries advance together. A query starts at the nearest of a bounded sample of nodes and
     keeps a beam; each hop joins the beam's best unexpanded nodes with their lists, scores the
-    neighbours it hasn't met, and keeps the best. `nodes` is (space, id, vec) with the ids of the
-    graph. With `members`, each node found stands for all ids that have its vector, as in
+    neighbours it hasn't met, and keeps the best. The search ends when no query's beam has a node
+    left to expand (`hops` only guards against endless input). `nodes` is (space, id, vec) with the
+    ids of the graph. With `members`, each node found stands for all ids that have its vector, as in
     `neighbours`; without, for the smallest of them only. A query's own id is left out. Queries in
-    spaces without nodes find nothing. Cosines are rounded to 6 places. Recall depends on `beam`, `width` and `hops`; with these it is
-    0.93 of the 8 nearest over 250,955 points.
+    spaces without nodes find nothing. Cosines are rounded to 6 places.
     """
     counts = {r.space: r["count"] for r in nodes.groupBy("space").count().collect()}
     if not counts:
@@ -595,16 +599,22 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scra
 
     best_first = W.partitionBy("space", "qid").orderBy(F.desc("cosine"), "id")
     state = scratch.write(queries.mapInArrow(begin, schema).withColumn("done", F.lit(False)), "beam")
-    links = edges_of(graph).select("space", "id", "nbr")
+    # lists and vectors stay where they are, in buckets by id: a hop moves beams only
+    buckets = parts(graph.sparkSession, sum(counts.values()), 25_000)
+    links = scratch.write_bucketed(graph.select("space", "id", "home", "list").repartition(buckets, "id"), "links", buckets, "id")
+    stored = scratch.write_bucketed(nodes.select("space", "id", "vec").repartition(buckets, "id"), "stored", buckets, "id")
     asked = queries.select("space", "qid", F.col("vec").alias("qvec"))
     for _ in range(hops):
-        front = state.filter("not done").withColumn("_n", F.row_number().over(best_first)).filter(F.col("_n") <= width).select("space", "qid", "id")
-        met = front.join(links, ["space", "id"]).select("space", "qid", F.col("nbr").alias("id")).distinct().join(state.select("space", "qid", "id"), ["space", "qid", "id"], "left_anti")
-        new = met.join(nodes.select("space", "id", "vec"), ["space", "id"]).join(asked, ["space", "qid"]).mapInArrow(score, schema).withColumn("done", F.lit(False))
+        front = scratch.write(state.filter("not done").withColumn("_n", F.row_number().over(best_first)).filter(F.col("_n") <= width).select("space", "qid", "id"), "front")
+        if front.isEmpty():
+            break
+        reached = links.select(F.col("space").alias("_s"), F.col("id").alias("_i"), "home", "list").join(front, F.col("_i") == F.col("id")).filter("_s = space").select("space", F.col("qid").alias("id"), "home", "list")
+        met = edges_of(reached).select("space", F.col("id").alias("qid"), F.col("nbr").alias("id")).distinct().join(state.select("space", "qid", "id"), ["space", "qid", "id"], "left_anti")
+        new = stored.select(F.col("space").alias("_s"), F.col("id").alias("_i"), "vec").join(met, F.col("_i") == F.col("id")).filter("_s = space").select("space", "id", "vec", "qid").join(asked, ["space", "qid"]).mapInArrow(score, schema).withColumn("done", F.lit(False))
         old = state.join(front.withColumn("_f", F.lit(True)), ["space", "qid", "id"], "left").select("space", "qid", "id", "cosine", F.coalesce(F.col("_f") | F.col("done"), F.col("done")).alias("done"))
         better = old.unionByName(new).withColumn("_n", F.row_number().over(best_first)).filter(F.col("_n") <= beam).drop("_n")
         state, before = scratch.write(better, "beam"), state
-        scratch.drop(before)
+        scratch.drop(before, front)
     found = state.select("space", "qid", "id", "cosine")
     if members is not None:
         # k + 1 nodes have at least k ids besides the query's own, all before those of later nodes
@@ -629,7 +639,7 @@ def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     graph = build(_points(spark, sf), Scratch(spark, "p2"))
     near = neighbours(graph.lists, graph.members, 8)
     w = W.partitionBy("space", "id").orderBy(F.desc("cosine"), "nbr")
-    return near.distinct().select(F.col("space").alias("collection"), F.col("id").alias("uid"), F.row_number().over(w).alias("rank"), F.col("nbr").alias("neighbour"), "cosine")
+    return near.distinct().select(F.col("space").alias("collection"), F.col("id").alias("uid"), F.row_number().over(w).cast("bigint").alias("rank"), F.col("nbr").alias("neighbour"), "cosine")
 
 
 def p2_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -639,3 +649,13 @@ def p2_search(spark: SparkSession, sf: str) -> DataFrame:
     graph = build(points, scratch)
     found = search(graph.lists, graph.nodes, points.filter("id % 20 = 0").select("space", F.col("id").alias("qid"), "vec"), scratch, 8, members=graph.members)
     return found.select(F.col("space").alias("collection"), "qid", F.col("id").alias("uid"), "cosine")
+
+
+_NEAR = (
+    f"with {usable_sql('points', 'uid', 'v')}, s as (select a.space, a.id, b.id as nbr, round(list_cosine_similarity(a.v, b.v), 6) as cosine from v a join v b on a.space = b.space and a.id <> b.id), "
+    "r as (select *, row_number() over (partition by space, id order by cosine desc, nbr) as rank from s) "
+)
+SQL = {
+    "p2_found": _NEAR + "select distinct least(id, nbr) as uid_lo, greatest(id, nbr) as uid_hi from r where rank <= 8 and cosine >= 0.86",
+    "p2_neighbours": _NEAR + "select space as collection, id as uid, rank, nbr as neighbour, cosine from r where rank <= 8",
+}

@@ -1,18 +1,21 @@
 """Deduplicating new batches against all history with a pivot-distance table.
 
-The history is stored as (space, pivot, theta, ord, vec): each vector under its nearest of a few
-fixed pivots, with its angle to it. Batches are appended as they come; `compact` range-partitions
-the table by (space, pivot, theta), so that file statistics let a batch skip what it cannot match.
-Angles between unit vectors are a metric, so a vector within `radius` of a query
+The history is stored as (space, pivot, theta, ring, ord, vec): each vector under its nearest of a
+few fixed pivots, with its angle to it, range-partitioned and sorted by (space, pivot, theta).
+Beside it lies a small table of how many rows each ring of a pivot holds. Angles between unit
+vectors are a metric, so a vector within `radius` of a query
 
 * lies within `radius` of the query's own angle to that pivot (ring bound), and
 * cannot belong to a pivot whose half-space lies farther than the radius from the query
   (hyperplane bound, from the distances to the query's nearest pivots).
 
-A batch therefore meets only the buckets that those bounds leave: ranges of neighbouring rings of
-a pivot that hold up to `BUCKET` rows together. A ring with more rows is split by salt and its
-queries go to each part. What is left is compared by matrix products and verified by the true
-cosine in double precision. New rows are appended to the table; the history isn't rewritten.
+The pivots and angles that a batch can match are known before the history is touched. They become a
+filter on the stored table, which the scan uses to skip files and row groups, and an exact join
+with the rings visited drops the rest before anything is shuffled. A batch therefore meets only the
+buckets that those bounds leave: ranges of neighbouring rings of a pivot that hold up to `BUCKET`
+rows together. A ring with more rows is split by salt and its queries go to each part. What is left
+is compared by matrix products and verified by the true cosine in double precision. New rows are
+appended to the table; the history isn't rewritten (`compact` joins many small parts).
 
 Equal vectors of a batch are one query, so that copies cost nothing.
 """
@@ -20,6 +23,7 @@ Equal vectors of a batch are one query, so that copies cost nothing.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,14 @@ from pyspark.sql import functions as F
 
 from quarryset.llm.p1_clusters import nearest
 from quarryset.llm.p2_neighbours import _sample
-from quarryset.llm.vectors import point_vectors, spaces, unit, unit64, unpack
+from quarryset.llm.vectors import point_vectors, spaces, unit, unit64, unpack, usable_sql
 from quarryset.runtime import Scratch
 
 #: Least cosine of a repeat; most pivots and sampled rows of a space; rows to a pivot; bucket size.
-LEAST, PIVOTS, SAMPLE, PER_PIVOT, BUCKET = 0.99, 256, 2048, 4000, 8000
+#: The pivots follow the number of rows up to what a task can compare a vector with.
+LEAST, PIVOTS, SAMPLE, PER_PIVOT, BUCKET = 0.99, 2048, 4096, 4000, 8000
+#: Ranges that are spelled out in a filter on the history; more are merged by space.
+RANGES = 64
 TABLE = "space string, pivot int, theta double, ring int, ord bigint, vec binary"
 
 
@@ -58,6 +65,10 @@ def choose(sample: np.ndarray, n: int) -> np.ndarray:
     return np.array(picked, np.float32)
 
 
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
 class PivotHistory:
     """All that was accepted so far; `ord` gives the order of arrival."""
 
@@ -65,6 +76,7 @@ class PivotHistory:
         self.scratch, self.pivots, self.least = scratch, pivots, least
         self.radius = math.acos(least) + 1e-6
         self.parts: list[DataFrame] = []
+        self.rings: list[DataFrame] = []
 
     @classmethod
     def begin(cls, vectors: DataFrame, scratch: Scratch, least: float = LEAST) -> PivotHistory:
@@ -87,21 +99,40 @@ class PivotHistory:
 
         return vectors.select("space", "id", "vec").mapInArrow(place, TABLE)
 
+    def _store(self, rows: DataFrame) -> None:
+        order = ["space", "pivot", "theta"]
+        part = self.scratch.write(rows.repartitionByRange(*order).sortWithinPartitions(*order), "history")
+        self.parts.append(part)
+        self.rings.append(self.scratch.write(part.groupBy("space", "pivot", "ring").agg(F.count(F.lit(1)).alias("_rows")), "rings"))
+
     def append(self, vectors: DataFrame) -> None:
         """Stores (space, id as order, vec). Spaces without pivots are kept under pivot 0."""
-        self.parts.append(self.scratch.write(self._rows(vectors), "history"))
+        self._store(self._rows(vectors))
 
     def compact(self) -> None:
         """One table in the order of (space, pivot, theta) instead of a part for each batch."""
-        old = self.parts
-        self.parts = [self.scratch.write(self.history().repartitionByRange("space", "pivot", "theta").sortWithinPartitions("space", "pivot", "theta"), "history")]
+        old, self.parts, self.rings = [*self.parts, *self.rings], [], []
+        self._store(union([p for p in old if "vec" in p.columns]))
         self.scratch.drop(*old)
 
+    def reached(self, visits: DataFrame) -> DataFrame:
+        """The part of the history that the pivots and angles of a batch's visits leave."""
+        bounds = visits.groupBy("space", "pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("space", "pivot").collect()  # at most one row a pivot
+        by_space: dict[str, list] = {}
+        for r in bounds:
+            by_space.setdefault(r.space, []).append(r)
+        ok = F.lit(False)
+        for space, mine in by_space.items():
+            between = lambda lo, hi: (F.col("theta") >= lo * self.radius - 1e-6) & (F.col("theta") <= (hi + 1) * self.radius + 1e-6)
+            if len(bounds) <= RANGES:
+                for r in mine:
+                    ok = ok | ((F.col("space") == space) & (F.col("pivot") == r.pivot) & between(r.lo, r.hi))
+            else:
+                ok = ok | ((F.col("space") == space) & F.col("pivot").isin([r.pivot for r in mine]) & between(min(r.lo for r in mine), max(r.hi for r in mine)))
+        return self.history().filter(ok)
+
     def history(self) -> DataFrame:
-        out = self.parts[0]
-        for p in self.parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return union(self.parts)
 
     def visits(self, batch: DataFrame) -> DataFrame:
         """(space, pivot, lo, hi, theta, qid, vec): pivots and rings that may hold a match."""
@@ -137,15 +168,16 @@ class PivotHistory:
     def repeats(self, batch: DataFrame) -> DataFrame:
         """Ids of (space, id, vec) with a vector of smaller order in the history, or in the batch
         itself, whose cosine is at least the bound. The batch isn't appended."""
-        spark = batch.sparkSession
         queries = self.scratch.write(batch.groupBy("space", "vec").agg(F.min("id").alias("id")), "queries")
         copies = batch.select("id").join(queries.select("id"), "id", "left_anti")
         own = self._rows(queries)
-        stored = own if not self.parts else self.history().unionByName(own)
-        visits = self.visits(queries)
+        visits = self.scratch.write(self.visits(queries), "visits")
+        stored = own if not self.parts else self.reached(visits).unionByName(own)
         # rings of a pivot, in order, packed into slots of up to BUCKET rows: one small row a pivot
+        counts = union([*self.rings, own.groupBy("space", "pivot", "ring").agg(F.count(F.lit(1)).alias("_rows"))]).groupBy("space", "pivot", "ring").agg(F.sum("_rows").alias("_rows"))
+        met = visits.select("space", "pivot", "lo", "hi").distinct().select("space", "pivot", F.explode(F.sequence("lo", "hi")).alias("ring")).distinct()
         before = F.sum("_rows").over(W.partitionBy("space", "pivot").orderBy("ring")) - F.col("_rows")
-        rings = stored.groupBy("space", "pivot", "ring").agg(F.count(F.lit(1)).alias("_rows")).select("space", "pivot", "ring", F.floor(before / BUCKET).cast("int").alias("slot"), F.ceil(F.col("_rows") / BUCKET).cast("int").alias("salts"))
+        rings = counts.join(met, ["space", "pivot", "ring"], "left_semi").select("space", "pivot", "ring", F.floor(before / BUCKET).cast("int").alias("slot"), F.ceil(F.col("_rows") / BUCKET).cast("int").alias("salts"))
         rings = self.scratch.write(rings, "rings")
         bucket = ["space", "pivot", "slot", "salt"]
         salted = stored.join(rings, ["space", "pivot", "ring"]).withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("ord", "vec"), F.col("salts"))).otherwise(0).cast("int"))
@@ -196,7 +228,30 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows, and rows that repeat something accepted earlier, of each batch."""
-    found = p5_found(spark, sf).withColumn("_repeat", F.lit(1))
-    rows = spark.read.parquet(f"{sf}/upserts.parquet").select("seq", "batch_no")
-    return rows.join(found, "seq", "left").groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.count("_repeat").alias("repeats"))
+    """Rows, and rows that repeat something accepted earlier, of each batch: batch by batch in the
+    order of arrival, each against the history so far, to which it is then appended."""
+    points, upserts = vectors_of(spark, sf)
+    table = spark.read.parquet(f"{sf}/upserts.parquet")
+    scratch = Scratch(spark, "p5")
+    history = PivotHistory.begin(points, scratch)
+    history.append(points)
+    rows = scratch.write(upserts.join(table.select(F.col("seq").alias("id"), "batch_no").distinct(), "id"), "upserts", ("batch_no",))
+    batches = [r.batch_no for r in table.groupBy("batch_no").agg(F.min("seq").alias("s")).orderBy("s").collect()]
+    found = []
+    for n in batches:
+        batch = rows.filter(F.col("batch_no").eqNullSafe(F.lit(n))).select("space", "id", "vec")
+        found.append(scratch.write(history.repeats(batch), "found"))
+        history.append(batch)
+    out = table.select("seq", "batch_no")
+    every = union(found).select(F.col("id").alias("seq"), F.lit(1).alias("_repeat")) if found else out.limit(0).select("seq", F.lit(1).alias("_repeat"))
+    return out.join(every, "seq", "left").groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.count("_repeat").alias("repeats"))
+
+
+P5_SQL = (
+    f"with {usable_sql('upserts', 'seq', 'v')}, {usable_sql('points', 'uid', 'u')}, p as (select distinct space, v from u), "
+    "r as (select distinct v.id from v where exists (select 1 from p where p.space = v.space and list_cosine_similarity(p.v, v.v) >= 0.99) or exists (select 1 from v w where w.space = v.space and w.id < v.id and list_cosine_similarity(w.v, v.v) >= 0.99)) "
+)
+SQL = {
+    "p5_found": P5_SQL + "select id as seq from r",
+    "p5_batches": P5_SQL + "select batch_no, count(*) as n, count(r.id) as repeats from upserts left join r on r.id = upserts.seq group by batch_no",
+}

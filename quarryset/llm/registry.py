@@ -26,4 +26,6 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "p3_percentiles": p3_percentiles.P3_SQL,
+    **p2_neighbours.SQL,
+    **p5_history.SQL,
 }

@@ -159,6 +159,15 @@ def point_vectors(points: DataFrame, collections: DataFrame, id_col: str = "uid"
     return usable(joined, F.col("collection"), id_col, "vector", F.col("_dim"))
 
 
+def usable_sql(table: str, id_col: str, name: str) -> str:
+    """The same as SQL: a named query with (id, space, v), v in double precision."""
+    return (
+        f"{name} as (select distinct {id_col} as id, t.collection as space, list_transform(vector, lambda x: x::double) as v from {table} t "
+        "join (select distinct name, dim from collections) c on c.name = t.collection where len(vector) = dim "
+        f"and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 and {id_col} is not null)"
+    )
+
+
 def top_k(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column indices of at least the k largest entries of each row (few more, or ties).
 

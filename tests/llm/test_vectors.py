@@ -208,6 +208,32 @@ def test_history_one_request_and_batches_agree_with_brute_force(spark, monkeypat
     assert got == want
 
 
+def test_parts_of_any_cell_are_bounded():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    x[:1000] = x[0]  # one direction can't be told apart
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    part = p2_neighbours._split(x, np.arange(3000), 100)
+    assert np.bincount(part).max() <= 200 and len(part) == 3000
+
+
+def test_a_batch_reads_only_the_ranges_it_can_match(spark, monkeypatch):
+    monkeypatch.setattr(p5_history, "PER_PIVOT", 100)
+    rng = np.random.default_rng(2)
+    data = [("a", i, np.round(rng.normal(size=8), 4)) for i in range(3000)]
+    p, c = tables(spark, data)
+    u, _ = tables(spark, [("a", 5000, data[7][2]), ("a", 5001, np.round(rng.normal(size=8), 4))])
+    h = p5_history.PivotHistory.begin(point_vectors(p, c), Scratch(spark, "t"))
+    h.append(point_vectors(p, c))
+    visits = h.scratch.write(h.visits(point_vectors(u, c)), "visits")
+    left = h.reached(visits)
+    plan = left._jdf.queryExecution().explainString(left._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
+    assert "pivot" in pushed and "theta" in pushed
+    assert left.count() < 1500
+    assert {r.id for r in h.repeats(point_vectors(u, c)).collect()} >= {5000}
+
+
 def test_history_may_be_empty(spark):
     p, c = tables(spark, [])
     u, _ = tables(spark, [("a", 1, [1.0] * 8), ("a", 2, [1.0] * 8)])
