@@ -469,7 +469,7 @@ def build(vectors: DataFrame, scratch: Scratch, least: float | None = None) -> G
     seeds = [{s: x[i::2] if len(x) > 1 else x for s, x in drawn.items()} for i in (0, 1)]
     buckets = parts(spark, total, 25_000)
     cell = ["space", "c0"]
-    prints = [F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("h2")]
+    prints = [F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("h2")]
     placed = _place(records, seeds, counts).select("*", *prints).repartition(buckets, *cell)
     cells = scratch.write_bucketed(placed.groupBy(*cell).applyInArrow(_settle(floor), CELLS), "cells", buckets, *cell)
     twins = cells.filter("home < 0").select("space", F.col("id").alias("rep"), "h", "h2")

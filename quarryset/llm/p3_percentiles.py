@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quarryset.runtime import Scratch
 
@@ -113,11 +114,29 @@ def combine(kept: DataFrame, group: list[str], span: list[str], probs: dict[str,
     return proof.groupBy(*span, "n").agg(*cols)
 
 
+def _digest(df: DataFrame, seed: int) -> Column:
+    """64-bit hash of all columns of a row. Hashing skips nulls and runs over the ends of arrays, so
+    where nulls stand, and how long arrays are, is hashed beside the values."""
+    values, shape = [], []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        shape.append(F.when(c.isNull(), "-").otherwise("+"))
+        if isinstance(f.dataType, ArrayType):
+            shape.append(F.size(c).cast("string"))
+            c = F.array_join(c.cast("array<string>"), "\x1f", "\x00")
+        values.append(c)
+    return F.xxhash64(F.lit(seed), *values, F.concat(*shape))
+
+
 def valid(slowlog: DataFrame) -> DataFrame:
     """(verb, day, value): rows repeated verbatim once, without null or negative durations and
-    null or empty commands (or verbs); late rows belong to the day of `ts`."""
-    clean = slowlog.filter("duration >= 0 and size(command) > 0 and command[0] <> '' and ts is not null").distinct()
-    return clean.select(F.upper(F.col("command")[0]).alias("verb"), F.to_date("ts").alias("day"), F.col("duration").alias("value"))
+    null or empty commands (or verbs); late rows belong to the day of `ts`.
+
+    Repeated rows are told by 128 bits of all columns, so that only these, and not whole commands,
+    are shuffled."""
+    clean = slowlog.filter("duration >= 0 and size(command) > 0 and command[0] <> '' and ts is not null")
+    one = clean.select(F.upper(F.col("command")[0]).alias("verb"), F.to_date("ts").alias("day"), F.col("duration").alias("value"), _digest(clean, 1).alias("_a"), _digest(clean, 2).alias("_b"))
+    return one.distinct().select("verb", "day", "value")
 
 
 def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryset.llm.p1_clusters import hashed_features, nearest
-from quarryset.llm.p2_neighbours import FINE, MOST_SEEDS, _sample, blocks
+from quarryset.llm.p2_neighbours import CELL, FINE, MOST_SEEDS, _sample, _split, blocks
 from quarryset.llm.vectors import from_binary, point_vectors, spaces, to_binary, unit, unpack, unpack_list
 from quarryset.runtime import Scratch
 
@@ -133,9 +133,14 @@ def subset(points: DataFrame, vectors: DataFrame, scratch: Scratch, k: int = K)
         t = t.take(pa.array(np.argsort(t.column("id").to_numpy(), kind="stable")))
         x = from_binary(t.column("feat"))
         v = np.ascontiguousarray(x[:, :-SLOTS])
-        step = max(1, 8_000_000 // len(v))
-        support = np.concatenate([(v[s : s + step] @ v.T >= NEAR * (1 - PAYLOAD)).sum(1) for s in range(0, len(v), step)])
-        return pick(t, support, x)
+        part, out = _split(v, t.column("id").to_numpy(), CELL), []
+        for one in np.unique(part):  # cells are bounded; what outgrows them is split where it lies
+            p = np.flatnonzero(part == one)
+            y = v[p]
+            step = max(1, 1_000_000 // len(y))
+            support = np.concatenate([(y[s : s + step] @ y.T >= NEAR * (1 - PAYLOAD)).sum(1) for s in range(0, len(y), step)])
+            out.append(pick(t.take(pa.array(p)), support, x[p]))
+        return pa.concat_tables(out)
 
     def again(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.argsort(t.column("id").to_numpy(), kind="stable")))

@@ -43,6 +43,7 @@ _CLOSED = regex.compile(rf"[{_END}][\"'”“»」)\]]*$")
 _INNER = regex.compile(r"(?<=[\p{L}\p{N})\"”][.!?])\s+(?=[\"“(«]?\p{Lu})|(?<=[。！？])(?=\S)")
 _LIST = regex.compile(r"^(?:\(?\d{1,3}[.)]\s|[-*•·›»>|#+]|[—–]\s*\S)")
 _NOT_PROSE = regex.compile(r"[|·•{}=;<>*_\\@\t©]|https?:|^\P{L}*\d+\s*/\s*\d+\W*$|^\W*\S{0,3}\s?(?:19|20)\d\d\s+\S+(?:\s+\S+){0,5}$")
+_CONTACT = regex.compile(r"(?:@|https?:|www\.)\S*\W*$")
 _LETTERS = regex.compile(r"[\p{L}\p{M}\s,'’.!?:-]")
 _DIGITS = regex.compile(r"\d+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]$")
@@ -70,11 +71,20 @@ def token(word: str) -> str:
     return word[-2:] if _UNSPACED.search(word) else word
 
 
-def unclosed(line: str) -> bool:
-    """True if a quote or bracket opened in the line isn't closed in it."""
+def unclosed(block: str) -> bool:
+    """True if a quote or bracket opened in a block isn't closed in it, by a stack automaton.
+
+    A straight double quote closes the one on top of the stack or else opens one; after a digit it
+    is a measure. A closing sign that nothing opened is ignored, and so is what it would have closed
+    further down."""
     stack: list[str] = []
-    for c in line:
-        if stack and c in _CLOSE and stack[-1] in _PAIR.get(c, ""):
+    for i, c in enumerate(block):
+        if c == '"':
+            if stack and stack[-1] == c:
+                stack.pop()
+            elif not (i and block[i - 1].isdigit()):
+                stack.append(c)
+        elif stack and c in _CLOSE and stack[-1] in _PAIR.get(c, ""):
             stack.pop()
         elif c in _OPEN:
             stack.append(c)
@@ -85,8 +95,9 @@ def ending(text: str | None) -> tuple[str, str, str]:
     """(state, last line as it stands, last word).
 
     States: `none` (nothing to cut), `closed`, `element` (list, address, sign-off, code),
-    `several` (open, after whole sentences in the same paragraph), `marked` (open, with a
-    remnant or mark of omission), `bracket` (open, with an unclosed quote or bracket), `single`.
+    `bracket` (open, and a quote or bracket too: the stack isn't empty), `marked` (open, with a
+    remnant or mark of omission), `several` (open, after whole sentences in the same paragraph),
+    `single`.
     """
     rest = _INVISIBLE.sub("", text or "")
     if not rest:
@@ -108,16 +119,18 @@ def ending(text: str | None) -> tuple[str, str, str]:
     if _CLOSED.search(line):
         return "closed", whole, ""
     letters = sum(1 for _ in _LETTERS.finditer(line))
-    if _LIST.search(line) or _NOT_PROSE.search(line) or letters < 0.76 * len(line) or not regex.search(r"\p{L}", line):
+    several = _INNER.search(line) is not None
+    # signs of markup within several sentences of prose are remnants, not an element of the page
+    signs = _NOT_PROSE.search(line) is not None and not (several and letters >= 0.94 * len(line) and not _CONTACT.search(line))
+    if _LIST.search(line) or signs or letters < 0.76 * len(line) or not regex.search(r"\p{L}", line):
         return "element", whole, ""
     if regex.search(r"[^\p{L}\p{M}\p{N}\s,;:'’–—(“„«%$€-]$", line):
         return "element", whole, ""  # ends in a sign that no sentence breaks off at
     words = _TOKEN.findall(line)
     last = token(words[-1]) if words else ""
-    several = _INNER.search(line) is not None
     if _LABEL.search(line) and not several and not marked:
         return "element", whole, ""  # a teaser: a label and what it leads to
-    state = "marked" if marked else "several" if several else "bracket" if unclosed(line) else "single"
+    state = "bracket" if unclosed(line) else "marked" if marked else "several" if several else "single"
     return state, whole, last
 
 
@@ -175,7 +188,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                         final[w] += n
                 lines = [x for x in (p.strip() for p in text.splitlines()) if x]
                 for i, x in enumerate(lines):
-                    if len(x) <= 160 and not _LIST.search(x):
+                    if not _LIST.search(x):
                         at = pattern(x), int(i + 1 < len(lines))
                         times[at] += 1
                         many = seen.setdefault(at, set())
