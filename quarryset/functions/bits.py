@@ -45,13 +45,19 @@ def bitcount(value: Column, start: int = 0, stop: int = -1) -> Column:
     return F.aggregate(to_bytes(part), F.lit(0), lambda a, b: a + F.bit_count(b).cast("int")).cast("bigint")
 
 
-def bitpos(value: Column, bit: int) -> Column:
-    """Place of the first bit with this value, -1 if there is none; a zero lies after the end of a
-    value of ones only."""
-    n = F.octet_length(value)
-    found = F.when(n > 0, F.array_position(F.transform(F.sequence(F.lit(0), n * 8 - 1), lambda i: getbit(value, i)), bit)).otherwise(F.lit(0))
-    beyond = F.lit(-1) if bit else F.when(n > 0, n * 8).otherwise(F.lit(0))
-    return F.when(found > 0, found - 1).otherwise(beyond).cast("bigint")
+def bitpos(value: Column, bit: int, start: int = 0, stop: int | None = None) -> Column:
+    """Place of the first bit with this value in a range of bytes (inclusive, negatives from the
+    end), -1 if there is none. Without a `stop` a zero lies after the end of a value of ones only."""
+    from quarryset.functions.text import byte_range
+
+    whole = F.coalesce(value.cast("binary"), F.lit(b""))
+    size = F.octet_length(whole)
+    first = F.lit(start) if start >= 0 else F.greatest(size + start, F.lit(0))
+    part = whole if start == 0 and stop is None else byte_range(whole, start, -1 if stop is None else stop)
+    n = F.octet_length(part)
+    found = F.when(n > 0, F.array_position(F.transform(F.sequence(F.lit(0), n * 8 - 1), lambda i: getbit(part, i)), bit)).otherwise(F.lit(0))
+    beyond = F.lit(-1) if bit or stop is not None else F.when(n > 0, (first + n) * 8).when(size == 0, F.lit(0)).otherwise(F.lit(-1))
+    return F.when(found > 0, found - 1 + first * 8).otherwise(beyond).cast("bigint")
 
 
 def bitnot(value: Column) -> Column:

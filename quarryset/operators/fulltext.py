@@ -68,3 +68,50 @@ def spelled_like(vocabulary: DataFrame, word: str, distance: int) -> DataFrame:
     """Known terms within an edit distance of a word, nearest and most frequent first."""
     d = F.levenshtein(F.col("term"), F.lit(word), distance)
     return vocabulary.withColumn("distance", d).filter("distance >= 0").orderBy("distance", F.desc("df"), "term")
+
+
+def parse(text: str) -> tuple[list[str], list[str], list[str]]:
+    """(must, should, must_not) of a query text.
+
+    Terms separated by blanks must all occur; `a|b` means one of them; `-a` must not occur;
+    `@field:a` and `@field:{tag}` bind a term to a field. Terms are folded as texts are, tags stay
+    as they stand. `*` alone means every document and gives no terms.
+    """
+    must, should, must_not = [], [], []
+    for word in text.split():
+        if word == "*":
+            continue
+        negative, word = word.startswith("-"), word.lstrip("-")
+        field = ""
+        if word.startswith("@") and ":" in word:
+            field, _, word = word[1:].partition(":")
+        tag = word.startswith("{") and word.endswith("}")
+        parts = [p for p in (word[1:-1] if tag else word.strip("()")).split("|") if p]
+        terms = [(f"{field}:" if field else "") + (p if tag else p.lower()) for p in parts]
+        (must_not if negative else must if len(terms) == 1 else should).extend(terms)
+    return must, should, must_not
+
+
+def query(index: DataFrame, docs: DataFrame, doc: str, text: str, sort_by: str | None = None, descending: bool = False, offset: int = 0, count: int = 10, scores: bool = True, content: list[str] | None = None) -> DataFrame:
+    """A page of the documents that meet a query text (`parse`).
+
+    Ordered by a column of `docs` (nulls last) or, without one, by tf-idf of the query's terms, then
+    by id. `scores` adds `score`; `content` names the columns of `docs` to return (None: the id only).
+    An empty query meets every document.
+    """
+    must, should, must_not = parse(text)
+    hits = search(index, must, should, must_not) if must or should else docs.select(F.col(doc).alias("doc_id")).distinct()
+    if must_not and not (must or should):
+        hits = hits.join(search(index, should=must_not), "doc_id", "left_anti")
+    wanted = [t.rpartition(":")[2] for t in [*must, *should]]
+    n = docs.agg(F.count_distinct(doc).alias("n"))  # one row
+    post = index.filter(F.col("term").isin(wanted)).groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row for each term of the query
+    score = post.join(F.broadcast(df), "term").crossJoin(F.broadcast(n)).groupBy("doc_id").agg(F.round(F.sum(F.col("tf") * F.log(F.col("n") / F.col("df"))), 6).alias("score"))
+    out = hits.join(score, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    extra = [c for c in dict.fromkeys([*(content or []), *([sort_by] if sort_by else [])])]
+    if extra:
+        out = out.join(docs.select(F.col(doc).alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in extra]), "doc_id")
+    first = (F.desc_nulls_last if descending else F.asc_nulls_last)(f"_{sort_by}") if sort_by else F.desc("score")
+    page = out.orderBy(first, "doc_id").offset(offset).limit(count)
+    return page.select("doc_id", *(["score"] if scores else []), *[F.col(f"_{c}").alias(c) for c in (content or [])])

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarryset.functions.distance import l2_squared, score
+from quarryset.functions.distance import score
+from quarryset.operators import quantize
 from quarryset.operators.vectors import knn
 
 
 @dataclass(frozen=True)
 class IvfConfig:
-    """`codec` is `flat`, `sq8` or `pq`; the codes of the last two pick candidates only."""
+    """`codec` is `flat`, `sq8` or `pq`; the codes of the last two pick candidates, exact scores decide."""
 
     lists: int = 1024
     probes: int = 32
@@ -33,26 +36,80 @@ def train(points: DataFrame, config: IvfConfig, seed: int = 7, sample: int = 200
     return points.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list_id int, centroid array<double>")
 
 
+def _matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and centroids, collected: `lists` rows of the index's configuration."""
+    rows = centroids.orderBy("list_id").collect()
+    return np.array([r.list_id for r in rows], np.int64), np.array([r.centroid for r in rows], np.float64)
+
+
+def _ranked(x: np.ndarray, ids: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest lists of each row, nearest first; ties take the smaller id."""
+    d = np.round(np.maximum(0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T), 9)
+    return ids[np.argsort(d, axis=1, kind="stable")[:, :n]]
+
+
+def _nearest_lists(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
+    """Adds `_lists`, the n nearest lists: one matrix product a batch, no shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(_matrix(centroids))
+
+    def run(batches):
+        ids, c = shared.value
+        for b in batches:
+            v = b.column(b.schema.get_field_index("_v"))
+            off = v.offsets.to_numpy()
+            x = v.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].reshape(b.num_rows, -1)
+            near = _ranked(x, ids, c, n) if b.num_rows else np.zeros((0, n), np.int64)
+            keep = [m for m in b.schema.names if m != "_v"]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(m)) for m in keep), lists], names=[*keep, "_lists"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.withColumn("_v", F.col("vector").cast("array<double>")).mapInArrow(run, f"{schema}, _lists array<int>")
+
+
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Adds `list_id`, the nearest centroid (ties: the smaller). Centroids are `lists` rows."""
-    cs = centroids.agg(F.array_sort(F.collect_list(F.struct("list_id", "centroid"))).alias("_c"))
-    # the best so far is carried along, so that one pass over the centroids is enough
-    best = F.aggregate(F.transform("_c", lambda c: F.struct(F.round(l2_squared(F.col("vector"), c["centroid"]), 9).alias("d"), c["list_id"].alias("list_id"))), F.struct(F.lit(float("inf")).alias("d"), F.lit(-1).alias("list_id")), lambda a, b: F.when(b["d"] < a["d"], b).otherwise(a))
-    return points.crossJoin(F.broadcast(cs)).withColumn("list_id", best["list_id"]).drop("_c")
+    """Adds `list_id`, the nearest centroid (ties: the smaller). Vectors must have the centroids' length."""
+    return _nearest_lists(points, centroids, 1).withColumn("list_id", F.col("_lists")[0]).drop("_lists")
 
 
 def probes(centroids: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """(qid, list_id): the n lists nearest to each query (qid, vector)."""
-    pairs = queries.crossJoin(F.broadcast(centroids)).select("qid", F.col("vector").alias("query"), "list_id", F.round(l2_squared(F.col("vector"), F.col("centroid")), 9).alias("_d"))
-    w = W.partitionBy("qid").orderBy("_d", "list_id")
-    return pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).select("qid", "query", "list_id")
+    """(qid, query, list_id): the n lists nearest to each query (qid, vector)."""
+    return _nearest_lists(queries.select("qid", "vector"), centroids, n).select("qid", F.col("vector").alias("query"), F.explode("_lists").alias("list_id"))
+
+
+def encode(stored: DataFrame, config: IvfConfig, dim: int, m: int = 8, nbits: int = 8) -> tuple[DataFrame, DataFrame | None]:
+    """Adds `codes` to (id, vector, list_id) by the configured codec, and returns what decodes them
+    (ranges or a codebook; None for `flat`)."""
+    if config.codec == "flat":
+        return stored, None
+    if config.codec == "sq8":
+        ranges = quantize.sq8_train(stored)
+        return quantize.sq8_encode(stored, ranges), ranges
+    if config.codec == "pq":
+        book = quantize.pq_train(stored, m, 1 << nbits, dim, config.rounds)
+        return stored.join(quantize.pq_assign(stored, book, m, dim), "id"), book
+    raise ValueError(f"unknown codec {config.codec}")
 
 
-def search(stored: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, config: IvfConfig) -> DataFrame:
+def search(stored: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, config: IvfConfig, decoder: DataFrame | None = None, oversample: int = 4) -> DataFrame:
     """(qid, id, score, rank). `stored` has `list_id`; if it is partitioned by it on disk, the join
-    with the probes prunes its partitions at run time."""
-    hits = stored.join(probes(centroids, queries, config.probes), "list_id").select("qid", "id", F.round(score(F.col("vector"), F.col("query"), config.metric), 6).alias("score"))
-    w = W.partitionBy("qid").orderBy(F.asc("score") if config.metric == "l2" else F.desc("score"), "id")
+    with the probes prunes its partitions at run time.
+
+    With the codecs `sq8` and `pq` (`stored` and `decoder` from `encode`) the codes pick
+    `oversample` x k candidates of each query, whose exact scores decide.
+    """
+    order = F.asc("score") if config.metric == "l2" else F.desc("score")
+    w = W.partitionBy("qid").orderBy(order, "id")
+    asked = probes(centroids, queries, config.probes)
+    if config.codec != "flat":
+        coded = stored.select("id", "list_id", "codes")
+        decoded = quantize.sq8_decode(coded, decoder) if config.codec == "sq8" else quantize.pq_decode(coded, decoder, 0)
+        rough = decoded.join(asked, "list_id").select("qid", "id", F.round(score(F.col("decoded"), F.col("query"), config.metric), 6).alias("score"))
+        few = rough.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k * oversample).select("qid", "id")
+        hits = few.join(stored.select("id", "vector"), "id").join(queries.select("qid", F.col("vector").alias("query")), "qid")
+    else:
+        hits = stored.join(asked, "list_id")
+    hits = hits.select("qid", "id", F.round(score(F.col("vector"), F.col("query"), config.metric), 6).alias("score"))
     return hits.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 

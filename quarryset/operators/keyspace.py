@@ -42,13 +42,32 @@ def dbsize(keys: DataFrame, now_ms: int) -> DataFrame:
 
 
 def randomkey(keys: DataFrame, now_ms: int, seed: int) -> DataFrame:
-    return visible(keys, now_ms).select("key").orderBy(F.xxhash64(F.col("key"), F.lit(seed)), "key").limit(1)
+    return visible(keys, now_ms).select("key").orderBy(F.md5(F.concat(F.col("key"), F.lit(f"/{seed}"))), "key").limit(1)
 
 
 def delete(table: DataFrame, gone: DataFrame) -> DataFrame:
     return table.join(gone.select("key").distinct(), "key", "left_anti")
 
 
+def deleted(table: DataFrame, gone: DataFrame) -> DataFrame:
+    """(n): how many of the keys were there."""
+    return table.select("key").distinct().join(gone.select("key").distinct(), "key", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dump(table: DataFrame, key) -> DataFrame:
+    """All rows of a key, to be stored or moved to another keyspace with `restore`."""
+    return table.filter(F.col("key") == F.lit(key))
+
+
+def restore(table: DataFrame, rows: DataFrame, key, replace: bool = False) -> DataFrame:
+    """Dumped rows under a (new) key. A key that exists stays as it is unless `replace`."""
+    new = rows.withColumn("key", F.lit(key)).select(*table.columns)
+    if replace:
+        return table.filter(~F.col("key").eqNullSafe(F.lit(key))).unionByName(new)
+    there = table.agg(F.count_if(F.col("key") == F.lit(key)).alias("_c"))
+    return table.unionByName(new.crossJoin(F.broadcast(there)).filter("_c = 0").drop("_c"))
+
+
 def rename(table: DataFrame, old: str, new: str, only_new: bool = False) -> DataFrame:
     """Re-keys rows, expiry included; what the new key held is replaced. With `only_new` an
     existing target leaves all as it is. A missing old key changes nothing."""
@@ -99,7 +118,7 @@ def evict(keys: DataFrame, limit: int, policy: str, now_ms: int, seed: int = 0)
     Policies: `allkeys-lru`, `volatile-lru`, `volatile-ttl`, `allkeys-random`, `volatile-random`;
     volatile ones only drop keys that have an expiry. Needs `size` and `last_ms`.
     """
-    order = {"lru": F.col("last_ms"), "ttl": F.col("expire_at_ms"), "random": F.xxhash64(F.col("key"), F.lit(seed))}[policy.split("-")[1]]
+    order = {"lru": F.col("last_ms"), "ttl": F.col("expire_at_ms"), "random": F.md5(F.concat(F.col("key"), F.lit(f"/{seed}")))}[policy.split("-")[1]]
     can = F.lit(True) if policy.startswith("allkeys") else F.col("expire_at_ms").isNotNull()
     live = visible(keys, now_ms)
     total = live.agg((F.sum("size") - limit).alias("_over"))

@@ -30,7 +30,7 @@ def renumbered(items: DataFrame) -> DataFrame:
 def push(items: DataFrame, new: DataFrame, left: bool, only_existing: bool = False) -> DataFrame:
     """Pushes (key, value, seq) in the order of seq; with `only_existing` lists must be there."""
     ends = items.groupBy("key").agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
-    numbered = new.withColumn("_k", F.row_number().over(W.partitionBy("key").orderBy("seq"))).join(ends, "key", "inner" if only_existing else "left")
+    numbered = accumulated(new, "key", ["seq"], None, "_k").join(ends, "key", "inner" if only_existing else "left")
     pos = F.coalesce("_lo", F.lit(0)) - F.col("_k") if left else F.coalesce("_hi", F.lit(-1)) + F.col("_k")
     return items.select("key", "pos", "value").unionByName(numbered.select("key", pos.cast("bigint").alias("pos"), "value"))
 

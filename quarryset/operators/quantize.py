@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,26 +44,74 @@ def sq8_blocks(patches: DataFrame, block: int = 32) -> DataFrame:
 
 
 def fp16(vector: Column) -> Column:
-    """A vector after a round trip through half precision."""
+    """A vector after a round trip through half precision, a whole batch at once."""
 
-    @F.pandas_udf("array<float>")
-    def trip(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda v: None if v is None else np.asarray(v, np.float16).astype(np.float32))
+    @F.arrow_udf("array<float>")
+    def trip(v: pa.Array) -> pa.Array:
+        flat = v.values.to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
+        return pa.ListArray.from_arrays(v.offsets, pa.array(flat), mask=v.is_null() if v.null_count else None)
 
     return trip(vector)
 
 
+def sq8_distance(coded: DataFrame, ranges: DataFrame, query: list[float], metric: str = "l2", levels: int = 254) -> DataFrame:
+    """(id, score) of coded vectors (id, codes) to a query, without decoding them first.
+
+    With x = mid + step * code per dimension, the dot product is dot(mid, q) + sum(code * (step * q)),
+    so the query is scaled once and codes are multiplied as they are; the squared distance follows
+    the same way.
+    """
+    q = F.array(*[F.lit(float(x)) for x in query])
+    fold = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    plan = ranges.select(F.expr("transform(arrays_zip(lo, hi), z -> (z.lo + z.hi) / 2)").alias("_mid"), F.expr(f"transform(arrays_zip(lo, hi), z -> (z.hi - z.lo) / {levels}D)").alias("_step"))
+    if metric == "dot":
+        plan = plan.select(fold(F.zip_with("_mid", q, lambda m, x: m * x)).alias("_base"), F.zip_with("_step", q, lambda w, x: w * x).alias("_scaled"))
+        score = F.col("_base") + fold(F.zip_with("codes", "_scaled", lambda c, x: c * x))
+    else:
+        plan = plan.select(F.zip_with(q, "_mid", lambda x, m: x - m).alias("_off"), "_step")
+        score = F.sqrt(fold(F.zip_with(F.zip_with("codes", "_step", lambda c, w: c * w), "_off", lambda x, o: (x - o) * (x - o))))
+    return coded.crossJoin(F.broadcast(plan)).select("id", F.round(score, 6).alias("score"))  # one row
+
+
+def _book(codebook: DataFrame, m: int) -> list[np.ndarray]:
+    """Centroids of each slice in the order of codes: at most m x 2^nbits rows, collected."""
+    rows = codebook.select("sub", "code", F.col("centroid").cast("array<double>").alias("centroid")).orderBy("sub", "code").collect()
+    return [np.array([r.centroid for r in rows if r["sub"] == s], np.float64) for s in range(m)]
+
+
 def pq_assign(points: DataFrame, codebook: DataFrame, m: int, dim: int, vector: str = "vector", id_col: str = "id") -> DataFrame:
     """(id, codes): nearest centroid of each of m slices; ties take the smaller code.
 
-    `codebook` is (sub, code, centroid), of at most m x 256 rows.
+    `codebook` is (sub, code, centroid) with codes from 0 without gaps, of at most m x 2^nbits rows
+    (64k for 256 slices of 8 bits). One matrix product a slice and batch; no shuffle. Vectors of
+    another length have no row.
     """
-    width = dim // m
-    subs = points.select(F.col(id_col).alias("id"), F.explode(F.expr(f"transform(sequence(0, {m - 1}), s -> struct(s as sub, slice(cast({vector} as array<double>), s * {width} + 1, {width}) as part))")).alias("_s")).select("id", "_s.sub", "_s.part")
-    d = F.aggregate(F.zip_with("part", F.col("centroid").cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    best = subs.join(F.broadcast(codebook), "sub").groupBy("id", "sub").agg(F.min(F.struct(F.round(d, 9).alias("d"), "code")).alias("_b"))
-    return best.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", F.col("_b.code").alias("code")))), lambda x: x["code"]).alias("codes"))
+    book, width = _book(codebook, m), dim // m
+    shared = points.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches):
+        for b in batches:
+            v = b.column(1)
+            if not b.num_rows:
+                continue
+            off = v.offsets.to_numpy()
+            x = v.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].reshape(b.num_rows, dim)
+            codes = np.zeros((b.num_rows, m), np.int32)
+            for s, c in enumerate(shared.value):
+                part = x[:, s * width : (s + 1) * width]
+                d = np.round(((part[:, None, :] - c[None]) ** 2).sum(2), 9) if len(c) * width <= 4096 else np.round((part * part).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * part @ c.T, 9)
+                codes[:, s] = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), m).cast(pa.list_(pa.int32()))], names=["id", "codes"])
+
+    rows = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") == dim)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, codes array<int>")
+
+
+def pq_decode(coded: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
+    """Adds `decoded`: the centroids behind the codes, one after the other."""
+    book = codebook.groupBy("sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", F.col("centroid").cast("array<double>").alias("c")))), lambda x: x["c"]).alias("cs"))
+    one = book.agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "cs"))), lambda x: x["cs"]).alias("_book"))  # the codebook as one row
+    return coded.crossJoin(F.broadcast(one)).withColumn("decoded", F.flatten(F.zip_with("codes", "_book", lambda c, cs: F.get(cs, c)))).drop("_book")
 
 
 def pq_table(codebook: DataFrame, query: list[float], m: int) -> DataFrame:
@@ -77,25 +123,45 @@ def pq_table(codebook: DataFrame, query: list[float], m: int) -> DataFrame:
 
 
 def pq_search(coded: DataFrame, table: DataFrame, k: int) -> DataFrame:
-    """(id, score): squared distances added up from the table of the query, nearest first."""
-    rows = coded.select("id", F.posexplode("codes").alias("sub", "code"))
-    return rows.join(F.broadcast(table), ["sub", "code"]).groupBy("id").agg(F.round(F.sum("d"), 6).alias("score")).orderBy("score", "id").limit(k)
+    """(id, score): squared distances added up from the table of the query, nearest first. The table
+    has one row for each centroid; it goes to every row as one nested array."""
+    subs = table.groupBy("sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "d"))), lambda x: x["d"]).alias("ds"))
+    one = subs.agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "ds"))), lambda x: x["ds"]).alias("_t"))
+    score = F.aggregate(F.zip_with("codes", "_t", lambda c, ds: F.get(ds, c)), F.lit(0.0), lambda a, x: a + x)
+    return coded.crossJoin(F.broadcast(one)).select("id", F.round(score, 6).alias("score")).orderBy("score", "id").limit(k)
 
 
 def pq_train(points: DataFrame, m: int, k: int, dim: int, rounds: int = 10, vector: str = "vector", id_col: str = "id") -> DataFrame:
-    """(sub, code, centroid) by Lloyd rounds; the first k ids give the first centroids.
+    """(sub, code, centroid) by Lloyd rounds; the first k ids give the first centroids (k = 2^nbits).
 
-    The codebook is the only thing collected: m x k centroids.
+    Each task adds up its vectors by code before anything moves: a round shuffles m x k sums a task,
+    and the codebook is the only thing collected.
     """
     spark, width = points.sparkSession, dim // m
-    rows = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") == dim)
     first = rows.orderBy("id").limit(k).collect()
-    book = [(s, c, [float(x) for x in r.vector[s * width : (s + 1) * width]]) for s in range(m) for c, r in enumerate(first)]
-    schema = "sub int, code int, centroid array<double>"
+    book = [np.array([r.v[s * width : (s + 1) * width] for r in first], np.float64) for s in range(m)]
     for _ in range(rounds):
-        coded = pq_assign(rows, spark.createDataFrame(book, schema), m, dim)
-        flat = rows.join(coded, "id").select(F.posexplode("codes").alias("sub", "code"), "vector").select("sub", "code", F.posexplode(F.expr(f"slice(vector, sub * {width} + 1, {width})")).alias("i", "x"))
-        means = flat.groupBy("sub", "code", "i").agg(F.avg("x").alias("x")).groupBy("sub", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("centroid")).collect()
-        new = {(r.sub, r.code): list(r.centroid) for r in means}
-        book = [(s, c, new.get((s, c), v)) for s, c, v in book]
-    return spark.createDataFrame(book, schema)
+        shared = spark.sparkContext.broadcast(book)
+
+        def add(batches, shared=shared):
+            total = [np.zeros((len(c), width + 1)) for c in shared.value]
+            for b in batches:
+                v = b.column(0)
+                off = v.offsets.to_numpy()
+                x = v.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].reshape(b.num_rows, dim)
+                for s, c in enumerate(shared.value):
+                    part = x[:, s * width : (s + 1) * width]
+                    d = np.round((part * part).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * part @ c.T, 9)
+                    np.add.at(total[s], d.argmin(1), np.concatenate([part, np.ones((len(part), 1))], 1))
+            for s, t in enumerate(total):
+                hit = np.flatnonzero(t[:, -1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), s, np.int32)), pa.array(hit.astype(np.int32)), pa.array(t[hit].tolist(), pa.list_(pa.float64()))], names=["sub", "code", "t"])
+
+        sums = rows.select("v").mapInArrow(add, "sub int, code int, t array<double>").select("sub", "code", F.posexplode("t").alias("i", "x"))
+        means = sums.groupBy("sub", "code", "i").agg(F.sum("x").alias("x")).groupBy("sub", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("t")).collect()
+        shared.unpersist()
+        book = [c.copy() for c in book]
+        for r in means:
+            book[r["sub"]][r.code] = np.array(r.t[:-1]) / r.t[-1]
+    return spark.createDataFrame([(s, c, [float(x) for x in v]) for s, part in enumerate(book) for c, v in enumerate(part)], "sub int, code int, centroid array<double>")

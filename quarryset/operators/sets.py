@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarryset.functions.text import glob
+from quarryset.operators.ordering import accumulated
+
 
 def sadd(s: DataFrame, new: DataFrame) -> DataFrame:
     return s.select("key", "member").unionByName(new.select("key", "member")).filter("member is not null").distinct()
@@ -30,9 +32,12 @@ def smembers(s: DataFrame, key) -> DataFrame:
     return s.filter(F.col("key") == key).select("member").distinct()
 
 
-def sscan(s: DataFrame, key, after, count: int) -> DataFrame:
-    """One page of a key's members in order, after the last one seen."""
+def sscan(s: DataFrame, key, after, count: int, pattern: str | None = None) -> DataFrame:
+    """One page of a key's members in order, after the last one seen; the pattern applies before
+    the page is cut."""
     page = smembers(s, key)
+    if pattern is not None:
+        page = page.filter(glob(F.col("member").cast("string"), pattern))
     return (page if after is None else page.filter(F.col("member") > F.lit(after))).orderBy("member").limit(count)
 
 
@@ -67,13 +72,15 @@ def store(members: DataFrame, key) -> DataFrame:
 
 
 def srandmember(s: DataFrame, key, n: int, seed: int) -> DataFrame:
-    """n > 0: up to n distinct members. n < 0: exactly -n draws with replacement."""
+    """n > 0: up to n distinct members. n < 0: exactly -n draws with replacement (none of an empty
+    set). The order, and so the draw, depends on the member and the seed only."""
     mine = smembers(s, key)
     if n >= 0:
-        return mine.orderBy(F.xxhash64(F.col("member"), F.lit(seed)), "member").limit(n)
-    numbered = mine.withColumn("_i", F.row_number().over(W.orderBy("member")) - 1).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy()))
-    draws = s.sparkSession.range(-n).select(F.rand(seed).alias("_r"))
-    return draws.join(numbered, F.floor(F.col("_r") * F.col("_n")) == F.col("_i")).select("member")
+        return mine.orderBy(F.md5(F.concat(F.col("member").cast("string"), F.lit(f"/{seed}"))), "member").limit(n)
+    numbered = accumulated(mine.withColumn("_k", F.lit(0)), "_k", ["member"], None, "_i").select("member", "_i")
+    total = numbered.agg(F.max("_i").alias("_n"))  # one row
+    draws = s.sparkSession.range(-n).crossJoin(F.broadcast(total)).select((F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"/{seed}"))), 1, 12), 16, 10).cast("bigint"), F.col("_n")) + 1).alias("_i"))
+    return numbered.join(draws, "_i").select("member")
 
 
 def spop(s: DataFrame, key, n: int, seed: int) -> DataFrame:

@@ -31,3 +31,13 @@ def sort_by(elements: DataFrame, weights: DataFrame | None = None, by: str | Non
     if count is not None:
         out = out.limit(count)
     return out.drop("_by", "_w")
+
+
+def store(ordered: DataFrame, target) -> DataFrame:
+    """The result of a sort as the list of a key (key, pos, value). It is one top-k or one list, whose
+    order is taken as it comes: numbered by partition and row, which keep the order of a sort."""
+    from quarryset.operators.lists import renumbered
+
+    value = ordered.columns[1] if len(ordered.columns) > 1 else "element"
+    rows = ordered.select(F.lit(target).alias("key"), F.monotonically_increasing_id().alias("pos"), F.col(value).cast("string").alias("value"))
+    return renumbered(rows)

@@ -66,5 +66,17 @@ def incrby(existing: DataFrame, deltas: DataFrame) -> DataFrame:
     return existing.join(add, "key", "full").select("key", F.try_add(F.when(F.col("value").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("value").try_cast("bigint")), F.coalesce("_d", F.lit(0).cast("bigint"))).alias("value"))
 
 
+def incrbyfloat(existing: DataFrame, deltas: DataFrame) -> DataFrame:
+    """As `incrby`, in double precision; text that is no number, and results that are not finite, give null."""
+    add = deltas.groupBy("key").agg(F.sum("delta").alias("_d"))
+    total = F.when(F.col("value").isNull(), F.lit(0.0)).otherwise(F.col("value").try_cast("double")) + F.coalesce("_d", F.lit(0.0))
+    return existing.join(add, "key", "full").select("key", F.when(F.abs(total) < float("inf"), total).alias("value"))
+
+
+def get(existing: DataFrame, key) -> DataFrame:
+    """(key, value) of one key, no row if it is absent."""
+    return existing.filter(F.col("key") == F.lit(key)).select("key", "value")
+
+
 def strlen(value: Column) -> Column:
     return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")

@@ -105,11 +105,9 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
 
 
 def knn_join(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """As `knn_batch`, as one plan of joins: for few queries, whose block Spark may broadcast."""
-    s = F.round(score(F.col("p.vector"), F.col("q.vector"), metric), 6)
-    pairs = queries.alias("q").join(points.alias("p"), F.size("p.vector") == F.size("q.vector")).select("q.qid", "p.id", s.alias("score"))
-    w = W.partitionBy("qid").orderBy(F.desc("score") if metric in SIMILARITIES else F.asc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    """(qid, id, score, rank): the k nearest points of each row of another table, of any size. The
+    queries are taken in blocks of bounded bytes (`knn_batch`); no pairs are shuffled."""
+    return knn_batch(points, queries, k, metric)
 
 
 def upsert(points: DataFrame, new: DataFrame) -> DataFrame:
@@ -144,3 +142,27 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(qid, recall): share of the true neighbours (qid, id) that were found."""
     hit = truth.join(found.select("qid", "id").distinct().withColumn("_f", F.lit(1)), ["qid", "id"], "left")
     return hit.groupBy("qid").agg((F.count("_f") / F.count(F.lit(1))).alias("recall"))
+
+
+def create_collection(collections: DataFrame, name: str, dim: int, metric: str = "cosine", m: int = 16, ef_construction: int = 200) -> DataFrame:
+    """The collections with a new one; one that exists stays as it is."""
+    row = collections.sparkSession.createDataFrame([(name, dim, metric, m, ef_construction)], "name string, dim int, metric string, m int, ef_construction int")
+    return collections.unionByName(row.join(collections.select("name"), "name", "left_anti").select(*collections.columns))
+
+
+def drop_collection(collections: DataFrame, points: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Collections and points without one collection."""
+    return collections.filter(~F.col("name").eqNullSafe(F.lit(name))), points.filter(~F.col("collection").eqNullSafe(F.lit(name)))
+
+
+def collection_exists(collections: DataFrame, names: list[str]) -> DataFrame:
+    """(name, found) of the asked names."""
+    asked = collections.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    there = collections.select("name").distinct().withColumn("_f", F.lit(True))
+    return asked.join(there, "name", "left").select("name", F.coalesce("_f", F.lit(False)).alias("found"))
+
+
+def get_points(points: DataFrame, ids: DataFrame, with_payload: bool = True, with_vector: bool = False) -> DataFrame:
+    """Points of asked (collection, id), with what is asked for beside; unknown ids have no row."""
+    cols = ["collection", "id", *(["payload"] if with_payload else []), *(["vector"] if with_vector else [])]
+    return points.select(*cols).join(ids.select("collection", "id").distinct(), ["collection", "id"], "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarryset.functions.text import in_slice, within_lex, within_score
+from quarryset.functions.text import glob, in_slice, within_lex, within_score
 from quarryset.operators.ordering import accumulated
 
 
@@ -89,9 +89,12 @@ def _page(hit: DataFrame, offset: int, count: int | None, reverse: bool) -> Data
     return (out if count is None else out.filter(F.col("_n") <= offset + count)).drop("_n")
 
 
-def zscan(z: DataFrame, key, after: tuple[float, str] | None, count: int) -> DataFrame:
-    """One page of a key in the order of (score, member), after the last pair seen."""
+def zscan(z: DataFrame, key, after: tuple[float, str] | None, count: int, pattern: str | None = None) -> DataFrame:
+    """One page of a key in the order of (score, member), after the last pair seen; the pattern
+    applies before the page is cut."""
     page = z.filter(F.col("key") == F.lit(key))
+    if pattern is not None:
+        page = page.filter(glob(F.col("member").cast("string"), pattern))
     if after is not None:
         s, m = after
         page = page.filter((F.col("score") > s) | ((F.col("score") == s) & (F.col("member") > m)))
@@ -106,6 +109,11 @@ def zlexcount(z: DataFrame, low: str, high: str) -> DataFrame:
     return z.groupBy("key").agg(F.count_if(within_lex(F.col("member"), low, high)).alias("n"))
 
 
+def zscore(z: DataFrame, asked: DataFrame) -> DataFrame:
+    """Asked pairs (key, member) with their score, null where there is none."""
+    return asked.select("key", "member").join(z.select("key", "member", "score"), ["key", "member"], "left")
+
+
 def zcard(z: DataFrame) -> DataFrame:
     return z.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 

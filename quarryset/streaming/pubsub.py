@@ -5,6 +5,7 @@ All of them work on static and streaming inputs unless said otherwise.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,11 @@ def deliveries(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     Patterns without wildcards are joined by equality; only real patterns are matched one by one.
     Subscriptions are the static side.
     """
-    to_regex = F.udf(lambda p: None if p is None else glob_to_regex(p), "string")
+
+    @F.pandas_udf("string")
+    def to_regex(patterns: pd.Series) -> pd.Series:
+        return patterns.map(lambda p: None if p is None else glob_to_regex(p))
+
     wild = F.col("pattern").rlike(r"[*?\[\\]")
     exact = messages.join(subscriptions.filter(~wild).distinct(), F.col("channel") == F.col("pattern"))
     by_pattern = subscriptions.filter(wild).distinct().withColumn("_r", to_regex("pattern"))
@@ -67,8 +72,12 @@ def blocking_pops(pushes: DataFrame, pops: DataFrame) -> DataFrame:
 def watch_conflicts(watches: DataFrame, writes: DataFrame) -> DataFrame:
     """Watches (client, key, seq, exec_seq) with `aborted`: whether any client wrote the key in
     between (static)."""
-    hit = watches.alias("a").join(writes.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("b.seq") > F.col("a.seq")) & (F.col("b.seq") < F.col("a.exec_seq")), "left_semi").select("client", "key", "seq", F.lit(True).alias("_x"))
-    return watches.join(hit, ["client", "key", "seq"], "left").withColumn("aborted", F.coalesce("_x", F.lit(False))).drop("_x")
+    w = writes.select("key", F.col("seq").alias("_at"), F.lit(0).alias("_o"), F.col("seq").alias("_w"), *[F.lit(None).cast(f.dataType).alias(f"_{f.name}") for f in watches.schema.fields])
+    a = watches.select("key", F.col("exec_seq").alias("_at"), F.lit(-1).alias("_o"), F.lit(None).cast("bigint").alias("_w"), *[F.col(f).alias(f"_{f}") for f in watches.columns])
+    # the latest write before EXEC tells whether any lies in between, without pairs of watches and writes
+    order = ["_at", "_o", "_w", "_client", "_seq"]
+    last = accumulated(w.unionByName(a), "key", order, "_w", "_last", op="max").filter("_o = -1")
+    return last.select(*[F.col(f"_{f}").alias(f) for f in watches.columns], F.coalesce(F.col("_last") > F.col("_seq"), F.lit(False)).alias("aborted"))
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
@@ -89,5 +98,38 @@ def latencies(log: DataFrame, *by: str) -> DataFrame:
     return log.filter("duration is not null").groupBy(*by).agg(p(0.5).cast("bigint").alias("p50"), p(0.95).cast("bigint").alias("p95"), p(0.99).cast("bigint").alias("p99"))
 
 
+def slowlog_len(log: DataFrame, at_least_us: int = 0) -> DataFrame:
+    return log.filter(F.col("duration") >= at_least_us).agg(F.count(F.lit(1)).alias("n"))
+
+
+def slowlog_reset(log: DataFrame, node: str | None = None) -> DataFrame:
+    """An empty log, or the log without the entries of one node."""
+    return log.limit(0) if node is None else log.filter(~F.col("node").eqNullSafe(F.lit(node)))
+
+
+def monitor(oplog: DataFrame) -> DataFrame:
+    """(ts_ms, line): each command as a monitor shows it, its texts quoted (also on a stream)."""
+    quoted = F.transform("argv", lambda a: F.concat(F.lit('"'), F.regexp_replace(a, r'(["\\])', r"\\$1"), F.lit('"')))
+    stamp = F.concat(F.floor(F.col("ts_ms") / 1000).cast("string"), F.lit("."), F.lpad((F.col("ts_ms") % 1000 * 1000).cast("string"), 6, "0"))
+    return oplog.filter("size(argv) > 0").select("ts_ms", F.concat(stamp, F.lit(" ["), F.col("db").cast("string"), F.lit("] "), F.array_join(quoted, " ")).alias("line"))
+
+
+def expirations(keys: DataFrame, since_ms: int, now_ms: int) -> DataFrame:
+    """(channel, message) of keys whose time ran out in (since, now]."""
+    gone = keys.filter((F.col("expire_at_ms") > since_ms) & (F.col("expire_at_ms") <= now_ms))
+    return _both(gone, F.col("db").cast("string"), F.col("key"), F.lit("expired"))
+
+
+def evictions(keys: DataFrame, dropped: DataFrame) -> DataFrame:
+    """(channel, message) of keys dropped for space; `dropped` is what `keyspace.evict` returns."""
+    gone = keys.join(dropped.select("key"), "key", "left_semi")
+    return _both(gone, F.col("db").cast("string"), F.col("key"), F.lit("evicted"))
+
+
+def _both(rows: DataFrame, db, key, event) -> DataFrame:
+    pair = F.array(F.struct(F.concat(F.lit("__keyspace@"), db, F.lit("__:"), key).alias("channel"), event.alias("message")), F.struct(F.concat(F.lit("__keyevent@"), db, F.lit("__:"), event).alias("channel"), key.alias("message")))
+    return rows.select(F.explode(pair).alias("n")).select("n.channel", "n.message")
+
+
 def slowest(log: DataFrame, k: int, at_least_us: int = 0) -> DataFrame:
     return log.filter(F.col("duration") >= at_least_us).orderBy(F.desc("duration"), "node", "id").limit(k)
