@@ -103,7 +103,7 @@ def search(stored: DataFrame, centroids: DataFrame, queries: DataFrame, k: int,
     asked = probes(centroids, queries, config.probes)
     if config.codec != "flat":
         coded = stored.select("id", "list_id", "codes")
-        decoded = quantize.sq8_decode(coded, decoder) if config.codec == "sq8" else quantize.pq_decode(coded, decoder, 0)
+        decoded = quantize.sq8_decode(coded, decoder) if config.codec == "sq8" else quantize.pq_decode(coded, decoder)
         rough = decoded.join(asked, "list_id").select("qid", "id", F.round(score(F.col("decoded"), F.col("query"), config.metric), 6).alias("score"))
         few = rough.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k * oversample).select("qid", "id")
         hits = few.join(stored.select("id", "vector"), "id").join(queries.select("qid", F.col("vector").alias("query")), "qid")

@@ -107,7 +107,7 @@ def pq_assign(points: DataFrame, codebook: DataFrame, m: int, dim: int, vector:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, codes array<int>")
 
 
-def pq_decode(coded: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
+def pq_decode(coded: DataFrame, codebook: DataFrame) -> DataFrame:
     """Adds `decoded`: the centroids behind the codes, one after the other."""
     book = codebook.groupBy("sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", F.col("centroid").cast("array<double>").alias("c")))), lambda x: x["c"]).alias("cs"))
     one = book.agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "cs"))), lambda x: x["cs"]).alias("_book"))  # the codebook as one row

@@ -241,16 +241,20 @@ def srem(s, d):
     return sets.srem(p, p.join(load(s, d, "part").filter("p_size < 10").select(F.col("p_partkey").alias("member")), "member", "left_semi"))
 
 
-@query(f"with {_SETS} select least(count(*), 5) as n, true as all_members from t where key = 3")
+@query(f"with {_SETS} select member from t where key = 3 order by md5(member || '/42'), member limit 5")
 def srandmember(s, d):
-    p = _parts(s, d)
-    got = sets.srandmember(p, 3, 5, 42)
-    return got.join(sets.smembers(p, 3).withColumn("_m", F.lit(1)), "member", "left").agg(F.count_distinct("member").alias("n"), (F.count("_m") == F.count(F.lit(1))).alias("all_members"))
+    return sets.srandmember(_parts(s, d), 3, 5, 42)
+
+
+@query(f"""with {_SETS}, m as (select member, row_number() over (order by member) as i, count(*) over () as n from (select distinct member from t where key = 3)),
+g as (select cast('0x' || substr(md5(i || '/42'), 1, 12) as bigint) as h from (select unnest(range(40)) as i)) select member from g join m on m.i = g.h % m.n + 1""")
+def srandmember_repeats(s, d):
+    return sets.srandmember(_parts(s, d), 3, -40, 42)
 
 
-@query(f"with {_SETS} select count(*) - 4 as n from t")
+@query(f"with {_SETS} select key, member from t where not (key = 3 and member in (select member from t where key = 3 order by md5(member || '/42'), member limit 4))")
 def spop(s, d):
-    return sets.spop(_parts(s, d), 3, 4, 42).agg(F.count(F.lit(1)).alias("n"))
+    return sets.spop(_parts(s, d), 3, 4, 42)
 
 
 # ---- lists: order priorities of customers, in the order of keys
@@ -350,9 +354,11 @@ def _hash(s, d):
     return hashes.from_columns(c, "c_custkey", ["name", "nation", "segment"])
 
 
-@query(f"with {_HASH} select * from h")
+@query(f"with {_HASH} select key, string_agg(field || '=' || value, ';' order by field) as fields from h group by key")
 def hgetall(s, d):
-    return _hash(s, d)
+    h = hashes.hgetall(_hash(s, d))
+    pairs = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return h.select("key", F.array_join(pairs, ";").alias("fields"))
 
 
 @query(f"with {_HASH} select key, value from h where field = 'segment'")
@@ -438,11 +444,11 @@ def getset(s, d):
     return strings.getset(load(s, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq")))
 
 
-@query("select l_suppkey as key, seq, cast(sum(l_linenumber) over (partition by l_suppkey order by seq) as bigint) as value from (select *, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as seq from lineitem) where seq in (select seq from (select l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as seq from lineitem) group by seq having count(*) = 1)")
+@query("select l_suppkey as key, seq, cast(sum(sum(l_linenumber)) over (partition by l_suppkey order by seq) as bigint) as value from (select *, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as seq from lineitem) group by l_suppkey, seq")
 def incr_running(s, d):
+    """Rows of one key that fall on one moment are one increment by their sum."""
     rows = load(s, d, "lineitem").select(F.col("l_suppkey").alias("key"), F.expr("l_orderkey * 1000000 + l_partkey * 10 + l_linenumber").alias("seq"), F.col("l_linenumber").cast("bigint").alias("delta"))
-    once = rows.groupBy("seq").count().filter("count = 1").select("seq")
-    return strings.running(rows.join(once, "seq", "left_semi"))
+    return strings.running(rows.groupBy("key", "seq").agg(F.sum("delta").alias("delta")))
 
 
 @query("select coalesce(c_custkey, k) as key, coalesce(c_nationkey, 0) + coalesce(v, 0) as value from customer full join (select o_custkey as k, count(*) as v from orders group by 1) on c_custkey = k")
@@ -498,10 +504,12 @@ def bitcount(s, d):
     return load(s, d, "part").select("p_partkey", bits.bitcount(F.col("p_name")).alias("n"))
 
 
-@query("select p_partkey, cast(instr(lpad(bin(ascii(p_name)), 8, '0'), '1') - 1 as bigint) as one, cast(0 as bigint) as zero, cast((ascii(p_name) >> 6) & 1 as integer) as bit1 from part")
+@query("""select p_partkey, cast(instr(b, '1') - 1 as bigint) as one, cast(instr(b, '0') - 1 as bigint) as zero, cast(instr(substr(b, 9, 16), '1') + 7 as bigint) as second_one,
+cast(instr(substr(b, length(b) - 7, 8), '1') + length(b) - 9 as bigint) as last_one, cast((ascii(p_name) >> 6) & 1 as integer) as bit1
+from (select p_partkey, p_name, string_agg(lpad(bin(ascii(substr(p_name, cast(i as bigint), 1))), 8, '0'), '' order by i) as b from part, lateral (select unnest(generate_series(1, length(p_name))) as i) group by p_partkey, p_name)""")
 def bitpos(s, d):
     v = F.col("p_name").cast("binary")
-    return load(s, d, "part").select("p_partkey", bits.bitpos(v, 1).alias("one"), bits.bitpos(v, 0).alias("zero"), bits.getbit(v, 1).cast("int").alias("bit1"))
+    return load(s, d, "part").select("p_partkey", bits.bitpos(v, 1).alias("one"), bits.bitpos(v, 0).alias("zero"), bits.bitpos(v, 1, 1, 2).alias("second_one"), bits.bitpos(v, 1, -1).alias("last_one"), bits.getbit(v, 1).cast("int").alias("bit1"))
 
 
 def _bitop(op, fold):
@@ -564,10 +572,9 @@ def dbsize(s, d):
     return keyspace.dbsize(_keys(s, d), _NOW)
 
 
-@query("select true as one_of_them")
+@query(f"with {_KEYS} select key from k where {_ALIVE} order by md5(key || '/5'), key limit 1")
 def randomkey(s, d):
-    k = _keys(s, d)
-    return keyspace.randomkey(k, _NOW, 5).join(keyspace.visible(k, _NOW), "key").agg((F.count(F.lit(1)) == 1).alias("one_of_them"))
+    return keyspace.randomkey(_keys(s, d), _NOW, 5)
 
 
 @query(f"with {_KEYS} select key, case when not {_ALIVE} then -2 when expire_at_ms is null then -1 else expire_at_ms - {_NOW} end as ttl_ms from k union all select 'missing' as key, cast(-2 as bigint) as ttl_ms")
@@ -802,7 +809,7 @@ def mset(s, d):
 @query("select distinct event_type as channel from events where event_type like '%i%'")
 def pubsub_channels(s, d):
     e = load(s, d, "events").select(F.col("event_type").alias("pattern"), F.col("user_id").alias("subscriber"))
-    return pubsub.channels(e.unionByName(e.limit(3).withColumn("pattern", F.lit("x*i*"))), "*i*")
+    return pubsub.channels(e.unionByName(e.withColumn("pattern", F.lit("x*i*"))), "*i*")
 
 
 @query("select node, cast(quantile_disc(duration, 0.5) as bigint) as p50, cast(quantile_disc(duration, 0.95) as bigint) as p95, cast(quantile_disc(duration, 0.99) as bigint) as p99 from slowlog where duration is not null group by node")
@@ -820,3 +827,96 @@ def replayed_counters(s, d):
     out = replay.replay(e.drop("event_type").unionByName(b.drop("event_type")))
     last = out.groupBy("group", (F.col("seq") % 2).alias("_k")).agg(F.max_by(F.col("reply").cast("bigint"), "seq").alias("v"))
     return last.groupBy(F.col("group").cast("bigint").alias("key")).agg(F.max(F.when(F.col("_k") == 0, F.col("v"))).alias("n"), F.max(F.when(F.col("_k") == 1, F.col("v"))).alias("bought"))
+
+
+# ---- variants of the operators above
+
+
+@query(f"with {_KEYS} select case when key = 'Customer#000000003' then 'fresh' else key end as key, type, db, expire_at_ms from k")
+def renamenx(s, d):
+    return keyspace.rename(_keys(s, d), "Customer#000000003", "fresh", only_new=True)
+
+
+@query("select c_custkey as key, c_mktsegment as value from customer where c_custkey = 11")
+def get(s, d):
+    return strings.get(load(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value")), 11)
+
+
+@query("select coalesce(c_custkey, k) as key, round(coalesce(c_acctbal, 0) + coalesce(v, 0), 2) as value from customer full join (select o_custkey as k, sum(o_totalprice) as v from orders group by 1) on c_custkey = k")
+def incrbyfloat(s, d):
+    c = load(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").cast("string").alias("value"))
+    return strings.incrbyfloat(c, load(s, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("delta"))).select("key", F.round("value", 2).alias("value"))
+
+
+@query(f"with {_KEYS} select count(*) as n from k where key < 'Customer#000000010'")
+def del_count(s, d):
+    k = _keys(s, d)
+    return keyspace.deleted(k, k.filter("key < 'Customer#000000010'").select("key").unionByName(k.limit(0).select("key")))
+
+
+@query(f"with {_SETS} select key, member from t union all select 999 as key, member from t where key = 3")
+def dump_restore(s, d):
+    p = _parts(s, d)
+    return keyspace.restore(p, keyspace.dump(p, 3), 999)
+
+
+@query(f"with {_SETS} select member from t where key = 3 and member > 50 and cast(member as varchar) like '%1%' order by member limit 10")
+def sscan_match(s, d):
+    return sets.sscan(_parts(s, d), 3, 50, 10, "*1*")
+
+
+@query(f"with {_PRICES} select key, member, score from p where key = 'Brand#2' and member like '%7' order by score, member limit 10")
+def zscan_match(s, d):
+    return zsets.zscan(_prices(s, d), "Brand#2", None, 10, "*7")
+
+
+@query("select row_number() over (order by p_name) - 1 as pos, 'sorted' as key, p_name as value from (select distinct p_name from part order by p_name limit 12)")
+def sort_store(s, d):
+    e = load(s, d, "part").select(F.col("p_name").alias("element")).distinct()
+    return sorting.store(sorting.sort_by(e, alpha=True, count=12), "sorted")
+
+
+@query(f"""with {_LISTS}, f as (select key, min(pos) as p from l where value = '1-URGENT' group by key),
+e as (select key, pos, 1 as o, value from l union all select key, p, 2 as o, 'new' as value from f) select key, row_number() over (partition by key order by pos, o) - 1 as pos, value from e""")
+def linsert_after(s, d):
+    return lists.linsert(_orders(s, d), "1-URGENT", "new", before=False)
+
+
+@query("select event_type as channel, count(distinct user_id) as n from events group by 1")
+def pubsub_numsub(s, d):
+    return pubsub.numsub(load(s, d, "events").select(F.col("event_type").alias("pattern"), F.col("user_id").alias("subscriber")))
+
+
+@query("select count(distinct user_id) as n from events")
+def pubsub_numpat(s, d):
+    return pubsub.numpat(load(s, d, "events").select(F.concat(F.lit("all*"), F.col("event_type").substr(1, 0)).alias("pattern"), F.col("user_id").alias("subscriber")))
+
+
+@query("select count(*) as n from slowlog where duration >= 10000")
+def slowlog_len(s, d):
+    return pubsub.slowlog_len(load(s, d, "slowlog"), 10_000)
+
+
+@query(f"""with {_KEYS}, x as (select key, db from k where expire_at_ms <= {_NOW} and expire_at_ms > 0)
+select '__keyspace@' || db || '__:' || key as channel, 'expired' as message from x union all select '__keyevent@' || db || '__:expired' as channel, key as message from x""")
+def expired_events(s, d):
+    return pubsub.expirations(_keys(s, d), 0, _NOW)
+
+
+def _evict(policy: str, order: str, only: str):
+    @query(f"""with {_KEYS}, l as (select k.*, length(type) as size, ascii(substr(key, length(key), 1)) as last_ms from k where {_ALIVE}),
+    o as (select key, coalesce(sum(size) over (order by {order}, key rows between unbounded preceding and 1 preceding), 0) as before from l where {only})
+    select key from o where before < (select sum(size) - 4000 from l)""", f"evict_{policy.replace('-', '_')}")
+    def run(s, d):
+        k = _keys(s, d).withColumn("size", F.length("type")).withColumn("last_ms", F.ascii(F.substring("key", -1, 1)))
+        return keyspace.evict(k, 4000, policy, _NOW, 9)
+
+
+for _policy, _order, _only in (("allkeys-lru", "last_ms", "true"), ("volatile-lru", "last_ms", "expire_at_ms is not null"), ("allkeys-random", "md5(key || '/9')", "true"), ("volatile-random", "md5(key || '/9')", "expire_at_ms is not null")):
+    _evict(_policy, _order, _only)
+
+
+@query("select c_custkey as ts_ms, printf('%d.%03d000 [%d] \"SET\" \"%s\" \"%s\"', c_custkey // 1000, c_custkey % 1000, c_nationkey, c_name, c_mktsegment) as line from customer")
+def monitor(s, d):
+    ops = load(s, d, "customer").select(F.col("c_custkey").alias("ts_ms"), F.col("c_nationkey").alias("db"), F.array(F.lit("SET"), "c_name", "c_mktsegment").alias("argv"))
+    return pubsub.monitor(ops)
