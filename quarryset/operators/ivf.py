@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,16 +50,20 @@ def _ranked(x: np.ndarray, ids: np.ndarray, c: np.ndarray, n: int) -> np.ndarray
 
 
 def _nearest_lists(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
-    """Adds `_lists`, the n nearest lists: one matrix product a batch, no shuffle."""
+    """Adds `_lists`, the n nearest lists: one matrix product a batch, no shuffle. Null vectors, and
+    those of another length than the centroids, get list -1."""
     shared = rows.sparkSession.sparkContext.broadcast(_matrix(centroids))
 
     def run(batches):
         ids, c = shared.value
         for b in batches:
             v = b.column(b.schema.get_field_index("_v"))
-            off = v.offsets.to_numpy()
-            x = v.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].reshape(b.num_rows, -1)
-            near = _ranked(x, ids, c, n) if b.num_rows else np.zeros((0, n), np.int64)
+            size, dim = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False), c.shape[1] if len(c) else 0
+            ok = np.flatnonzero(size == dim) if dim else np.zeros(0, np.int64)
+            near = np.full((b.num_rows, min(n, max(1, len(ids)))), -1, np.int64)
+            if len(ok):
+                x = v.take(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(len(ok), dim)
+                near[ok] = _ranked(x, ids, c, n)
             keep = [m for m in b.schema.names if m != "_v"]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel().astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(m)) for m in keep), lists], names=[*keep, "_lists"])
@@ -68,13 +73,13 @@ def _nearest_lists(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
 
 
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Adds `list_id`, the nearest centroid (ties: the smaller). Vectors must have the centroids' length."""
+    """Adds `list_id`, the nearest centroid (ties: the smaller), -1 for vectors of another length."""
     return _nearest_lists(points, centroids, 1).withColumn("list_id", F.col("_lists")[0]).drop("_lists")
 
 
 def probes(centroids: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(qid, query, list_id): the n lists nearest to each query (qid, vector)."""
-    return _nearest_lists(queries.select("qid", "vector"), centroids, n).select("qid", F.col("vector").alias("query"), F.explode("_lists").alias("list_id"))
+    return _nearest_lists(queries.select("qid", "vector"), centroids, n).select("qid", F.col("vector").alias("query"), F.explode("_lists").alias("list_id")).filter("list_id >= 0")
 
 
 def encode(stored: DataFrame, config: IvfConfig, dim: int, m: int = 8, nbits: int = 8) -> tuple[DataFrame, DataFrame | None]:

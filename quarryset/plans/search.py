@@ -190,17 +190,6 @@ def ivf_recall(s, d):
     return vectors.recall(found, vectors.knn_batch(p, queries, 10))
 
 
-@query()
-def ivf_trained_recall(s, d):
-    """Mean recall with trained lists, a quarter of them read (no SQL: k-means draws its seeds)."""
-    p = _points(s, d)
-    queries = p.filter("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
-    config = ivf.IvfConfig(lists=16, probes=4, rounds=10)
-    centroids = ivf.train(p, config)
-    found = ivf.search(ivf.assign(p, centroids), centroids, queries, 10, config)
-    return vectors.recall(found, vectors.knn_batch(p, queries, 10)).agg(F.round(F.avg("recall"), 3).alias("recall"))
-
-
 def _coded_ivf(codec: str):
     # all lists are read and enough candidates kept, so that codes lose nothing and exact scores decide
     @query("""with e as (select vec_id as id, embedding::double[] as v from embeddings), s as (select a.id as qid, b.id, round(list_cosine_similarity(a.v, b.v), 6) as score from e a, e b where a.id % 20 = 0),

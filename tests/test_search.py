@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from quarryset.functions import distance, payload
 from quarryset.operators import fulltext, ivf, maxsim, quantize, vectors
+from quarryset.operators.ordering import accumulated
 from quarryset.plans import planner
+from quarryset.streaming import pubsub
 
 
 def points(spark, x):
@@ -122,3 +124,50 @@ def test_full_text(spark):
     assert fulltext.tfidf(index, n, ["red", "fox"], 5).first().doc_id == 1
     syn = spark.createDataFrame([("fox", 1), ("vixen", 1), ("hen", 2)], "term string, group_id int")
     assert sorted(r.term for r in fulltext.with_synonyms(spark.createDataFrame([("fox",)], "term string"), syn).collect()) == ["fox", "vixen"]
+
+
+def test_trained_lists_recall(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=16) * 0.2]) for i in range(600)]
+    p = spark.createDataFrame(rows, "id bigint, vector array<float>")
+    queries = p.filter("id % 20 = 0").withColumnRenamed("id", "qid")
+    truth = vectors.knn_batch(p, queries, 5)
+    for codec in ("flat", "sq8", "pq"):
+        config = ivf.IvfConfig(lists=12, probes=3, rounds=8, codec=codec)
+        centroids = ivf.train(p, config)
+        stored, decoder = ivf.encode(ivf.assign(p, centroids).select("id", "vector", "list_id"), config, 16, 4, 5)
+        found = ivf.search(stored, centroids, queries, 5, config, decoder, oversample=12)
+        assert vectors.recall(found, truth).agg({"recall": "avg"}).first()[0] >= 0.9, codec
+
+
+def test_lists_of_unusable_vectors(spark):
+    p = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0])], "id bigint, vector array<float>")
+    c = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0])], "list_id int, centroid array<double>")
+    assert {r.id: r.list_id for r in ivf.assign(p, c).collect()} == {1: 1, 2: -1, 3: -1, 4: -1}
+    assert ivf.assign(p, c.limit(0)).filter("list_id <> -1").count() == 0
+
+
+def test_query_texts():
+    assert fulltext.parse("Red a|b -x @f:{T}") == (["red", "f:T"], ["a", "b"], ["x"])
+    assert fulltext.parse("*") == ([], [], [])
+
+
+def test_monitor_quotes(spark):
+    ops = spark.createDataFrame([(1500, 2, ["SET", 'a"b', "c\\d"]), (1, 0, [])], "ts_ms bigint, db int, argv array<string>")
+    assert [r.line for r in pubsub.monitor(ops).collect()] == ['1.500000 [2] "SET" "a\\"b" "c\\\\d"']
+
+
+def test_running_values_of_a_hot_key_spread(spark):
+    rows = spark.createDataFrame([("hot" if i % 10 else None if i % 20 else "cold", i, (i * 7) % 13 - 6) for i in range(2000)], "key string, seq int, x bigint")
+    for op, exclusive in (("sum", False), ("sum", True), ("max", False), ("max", True)):
+        got = {(r.key, r.seq): r.y for r in accumulated(rows, "key", ["seq"], "x", "y", op=op, exclusive=exclusive).collect()}
+        seen = {}
+        for r in sorted(rows.collect(), key=lambda r: r.seq):
+            before = seen.get(r.key)
+            after = (before or 0) + r.x if op == "sum" else r.x if before is None else max(before, r.x)
+            assert got[r.key, r.seq] == ((before if before is not None else 0 if op == "sum" else None) if exclusive else after)
+            seen[r.key] = after
+    parts = accumulated(rows, "key", ["seq"], None, "n", "of")
+    assert parts.filter("key = 'hot'").agg({"n": "max", "of": "max"}).first()[0] == 1800
+    assert accumulated(rows.limit(0), "key", ["seq"], "x", "y").count() == 0
