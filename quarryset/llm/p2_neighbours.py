@@ -113,8 +113,8 @@ def _sample(nodes: DataFrame, want: dict[str, int], counts: dict[str, int], salt
     return out
 
 
-def blocks(seeds: np.ndarray, each: float) -> np.ndarray:
-    """Block of each seed. Seeds near each other share a block of about `CELL` records; a dense
+def blocks(seeds: np.ndarray, each: float, aim: int) -> np.ndarray:
+    """Block of each seed. Seeds near each other share a block of about `aim` records; a dense
     spot with more records than that gets several blocks, each around one of its seeds."""
     sims = seeds @ seeds.T
     free, groups = np.ones(len(seeds), bool), []
@@ -127,13 +127,13 @@ def blocks(seeds: np.ndarray, each: float) -> np.ndarray:
     out, block, filled = np.zeros(len(seeds), np.int32), 0, 0.0
     for mine in groups:
         size = len(mine) * each
-        if size > 1.5 * CELL:
-            heads = mine[: math.ceil(size / CELL)]
+        if size > 1.5 * aim:
+            heads = mine[: math.ceil(size / aim)]
             block += filled > 0
             out[mine] = block + sims[np.ix_(mine, heads)].argmax(1)
             block, filled = block + len(heads), 0.0
         else:
-            if filled and filled + size > CELL:
+            if filled and filled + size > aim:
                 block, filled = block + 1, 0.0
             out[mine] = block
             filled += size
@@ -143,7 +143,7 @@ def blocks(seeds: np.ndarray, each: float) -> np.ndarray:
 def _place(records: DataFrame, seeds: list[dict[str, np.ndarray]], counts: dict[str, int]) -> DataFrame:
     """(space, c0, c1, lo, hi, vec): cells of two independent partitions. Equal vectors of a batch
     become one row with their smallest and largest id, so that copies don't travel."""
-    maps = [{s: (x, blocks(x, counts[s] / len(x))) for s, x in one.items()} for one in seeds]
+    maps = [{s: (x, blocks(x, counts[s] / len(x), CELL)) for s, x in one.items()} for one in seeds]
     shared = records.sparkSession.sparkContext.broadcast(maps)
 
     def place(batches):

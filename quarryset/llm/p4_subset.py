@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryset.llm.p1_clusters import hashed_features, nearest
-from quarryset.llm.p2_neighbours import CELL, FINE, MOST_SEEDS, _sample, _split, blocks
+from quarryset.llm.p2_neighbours import _sample, _split, blocks
 from quarryset.llm.vectors import from_binary, point_vectors, spaces, to_binary, unit, unpack, unpack_list
 from quarryset.runtime import Scratch
 
 #: Points picked of each collection; slots and weight of payload features; similar points that
 #: make support, and the cosine that makes them similar; distance that counts as covered; pool.
 K, SLOTS, PAYLOAD, SUPPORT, NEAR, COVER, POOL = 200, 32, 0.2, 3, 0.6, 0.3, 20_000
+#: Points aimed at for a cell and for each of its seeds, and most seeds of a collection. Support is
+#: counted within a cell, so cells are larger than those of problem 2.
+CELL, FINE, MOST_SEEDS = 10_000, 250, 1024
 _WORD = re.compile(r"[^\W\d_]{1,24}")
 
 
@@ -114,7 +117,7 @@ def subset(points: DataFrame, vectors: DataFrame, scratch: Scratch, k: int = K)
     if not counts:
         return spark.createDataFrame([], "space string, id bigint, rank int, gap double, support bigint")
     seeds = _sample(data, {s: min(MOST_SEEDS, math.ceil(n / FINE)) for s, n in counts.items()}, counts, 41)
-    shared = spark.sparkContext.broadcast({s: (x, blocks(x, counts[s] / len(x))) for s, x in seeds.items()})
+    shared = spark.sparkContext.broadcast({s: (x, blocks(x, counts[s] / len(x), CELL)) for s, x in seeds.items()})
 
     def features(batches):
         for b in batches:
@@ -137,7 +140,7 @@ def subset(points: DataFrame, vectors: DataFrame, scratch: Scratch, k: int = K)
         for one in np.unique(part):  # cells are bounded; what outgrows them is split where it lies
             p = np.flatnonzero(part == one)
             y = v[p]
-            step = max(1, 1_000_000 // len(y))
+            step = max(1, 8_000_000 // len(y))
             support = np.concatenate([(y[s : s + step] @ y.T >= NEAR * (1 - PAYLOAD)).sum(1) for s in range(0, len(y), step)])
             out.append(pick(t.take(pa.array(p)), support, x[p]))
         return pa.concat_tables(out)
